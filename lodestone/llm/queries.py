@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontamination, licences, mixing, oracles
+from lodestone.llm import decontamination, licences, mixing, oracles, quality_classifier, token_shards, toxicity
 
+VOCABULARY = "word_bpe_49k.json"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -15,10 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """The place of the public vocabulary file; it is never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
@@ -27,7 +43,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_license_scan, op6_decontamination, op7_mixing)}
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.export(table(spark, sf_dir, "documents"), vocabulary())
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op4_license_scan, op5_toxicity, op6_decontamination, op7_mixing, op9_token_shards)}
 ORACLES: dict[str, str] = {
     "op4_license_scan": oracles.licences(),
     "op6_decontamination": oracles.DECONTAMINATION,
