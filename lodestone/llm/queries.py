@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontamination, licences, mixing, oracles, quality_classifier, token_shards, toxicity
+from lodestone.llm import decontamination, language_id, licences, mixing, oracles, perplexity, pseudonyms, quality_classifier, token_shards, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judged(table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predicted(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,24 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.export(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op4_license_scan, op5_toxicity, op6_decontamination, op7_mixing, op9_token_shards)}
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_perplexity_rules,
+        op3_language_id,
+        op4_license_scan,
+        op5_toxicity,
+        op6_decontamination,
+        op7_mixing,
+        op9_token_shards,
+        op10_pseudonyms,
+    )
+}
 ORACLES: dict[str, str] = {
     "op4_license_scan": oracles.licences(),
     "op6_decontamination": oracles.DECONTAMINATION,
