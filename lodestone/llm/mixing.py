@@ -93,3 +93,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3)
     out = sized.join(by_source, F.col("source").eqNullSafe(F.col("s")))
     copies: Column = whole + more.cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3) -> DataFrame:
+    """docs with each row as often as the mix takes it (not at all, once or more); columns as they were."""
+    copies = mix(docs, weights, cap).select(F.col("doc_id").alias("mix_doc"), F.col("size").alias("mix_size"), F.col("source").alias("mix_source"), F.col("copies").alias("mix_copies")).distinct()
+    taken = docs.join(copies.filter("mix_copies > 0"), docs["doc_id"].eqNullSafe(F.col("mix_doc")) & docs["source"].eqNullSafe(F.col("mix_source")) & (F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long") == F.col("mix_size")))
+    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*[docs[c] for c in docs.columns])

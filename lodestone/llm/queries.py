@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontamination, language_id, licences, mixing, oracles, perplexity, pseudonyms, quality_classifier, token_shards, toxicity
+import corpus_pipeline
+from lodestone.llm import decontamination, language_id, licences, mixing, ngram_join, oracles, perplexity, pseudonyms, quality_classifier, token_shards, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +52,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.export(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -59,6 +64,10 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -69,12 +78,15 @@ QUERIES: dict[str, Query] = {
         op5_toxicity,
         op6_decontamination,
         op7_mixing,
+        op8_ngram_jaccard_join,
         op9_token_shards,
         op10_pseudonyms,
+        pipeline,
     )
 }
 ORACLES: dict[str, str] = {
     "op4_license_scan": oracles.licences(),
     "op6_decontamination": oracles.DECONTAMINATION,
     "op7_mixing": oracles.MIXING,
+    "op8_ngram_jaccard_join": oracles.JOIN,
 }
