@@ -23,14 +23,15 @@ LEVEL_DIGITS = 3  # hex digits of the hash that one histogram level adds: 4096 b
 LEVELS = 3
 
 
+def hashed(doc_id: Column) -> Column:
+    """9 hex digits of an md5."""
+    return F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, LEVEL_DIGITS * LEVELS)
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h): one slim row per document; h is 9 hex digits of an md5."""
-    return docs.select(
-        "doc_id",
-        "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, LEVEL_DIGITS * LEVELS).alias("h"),
-    )
+    """(doc_id, source, size, h): one slim row per document."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    return docs.select("doc_id", "source", size, hashed(F.col("doc_id")).alias("h"))
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
@@ -82,21 +83,34 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     return cut.select("source", "cut", (F.col("bar") - F.col("rest") <= F.col("rest")).alias("keep_cut"))
 
 
+def plan(sized: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
+    """(s, source_size, target, cut, keep_cut): one row for each source s, all that a copy count needs."""
+    goals = shared_table(targets(sized, weights, cap), "mix-targets")
+    cuts = thresholds(sized, goals)
+    both = goals.join(cuts, goals["source"].eqNullSafe(cuts["source"]), "left")
+    return shared_table(both.select(goals["source"].alias("s"), "source_size", "target", "cut", "keep_cut"), "mix-plan")
+
+
+def copies(h: Column) -> Column:
+    """How often the mix takes a document with hash h, beside the plan's row of its source."""
+    more = F.coalesce((h < F.col("cut")) | ((h == F.col("cut")) & F.col("keep_cut")), F.lit(False))
+    return F.floor(F.col("target") / F.greatest("source_size", F.lit(1))) + more.cast("long")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken), one row per row of docs."""
     sized = shared_table(sizes(docs), "mix-sizes")
-    goals = shared_table(targets(sized, weights, cap), "mix-targets")
-    cuts = thresholds(sized, goals)
-    by_source = goals.join(cuts, goals["source"].eqNullSafe(cuts["source"]), "left").select(goals["source"].alias("s"), "source_size", "target", "cut", "keep_cut")
-    whole = F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))
-    more = F.coalesce((F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & F.col("keep_cut")), F.lit(False))
-    out = sized.join(by_source, F.col("source").eqNullSafe(F.col("s")))
-    copies: Column = whole + more.cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    out = sized.join(plan(sized, weights, cap), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies(F.col("h")))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3) -> DataFrame:
-    """docs with each row as often as the mix takes it (not at all, once or more); columns as they were."""
-    copies = mix(docs, weights, cap).select(F.col("doc_id").alias("mix_doc"), F.col("size").alias("mix_size"), F.col("source").alias("mix_source"), F.col("copies").alias("mix_copies")).distinct()
-    taken = docs.join(copies.filter("mix_copies > 0"), docs["doc_id"].eqNullSafe(F.col("mix_doc")) & docs["source"].eqNullSafe(F.col("mix_source")) & (F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long") == F.col("mix_size")))
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    """docs with each row as often as the mix takes it (not at all, once or more); columns as they were.
+
+    The plan has one row for each source and is joined by source, so texts are not dealt out anew.
+    """
+    own = plan(shared_table(sizes(docs), "mix-sizes"), weights, cap)
+    own = own.select(F.col("s").alias("mix_s"), F.struct("source_size", "target", "cut", "keep_cut").alias("mix_plan"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    taken = rows.join(own, F.col("row.source").eqNullSafe(F.col("mix_s"))).select("row", "mix_plan.*").withColumn("times", copies(hashed(F.col("row.doc_id"))))
+    return taken.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
