@@ -1,4 +1,8 @@
 """All registered queries of the engine itself and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from lodestone.plans import code, corpus, graph, prompts, search
+from lodestone.plans.shared import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "code", "corpus", "graph", "prompts", "search"]
