@@ -1 +1,59 @@
+"""Queries that assemble prompts and contexts."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+from lodestone.operators import prompts
+from lodestone.plans.search import SPLIT, CANDIDATES, candidates
+from lodestone.plans.shared import CHUNKS_SQL, chunks, query
+from lodestone.operators import rerank, search
+
+INTRO_SQL = prompts.INTRO.replace("'", "''")
+
+
+@query(f"""WITH {CANDIDATES}, best AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) AS rank FROM relevance) WHERE rank <= 5)
+SELECT query_id, '{INTRO_SQL}' || chr(10) || chr(10) || '### Relevant Code:' || chr(10) || string_agg('### Snippet ' || rank || chr(10) || 'File: ' || source || chr(10) || 'Type: file' || chr(10) || '```python' || chr(10) ||
+regexp_replace(d.text, '^\\s+|\\s+$', '', 'g') || chr(10) || '```', chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || '### Question:' || chr(10) || b.text || chr(10) || chr(10) || '### Answer:' AS prompt
+FROM best JOIN documents d ON d.doc_id = id JOIN benchmark b ON b.item_id = query_id GROUP BY query_id, b.text""")
+def rag_prompt(load, spark):
+    """The prompt of each question from its five most relevant documents."""
+    scored = candidates(load).select("query_id", "id", F.round(rerank.relevance(F.col("query"), F.col("text")), 6).alias("score"))
+    best = search.best(scored, 5, "query_id").select("query_id", "id", "rank")
+    docs = load("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_path"), F.lit("file").alias("type"), F.col("text").alias("code"))
+    asked = load("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return prompts.rag_prompts(best.join(docs, "id").join(asked, "query_id"))
+
+
+ROUTE_SQL = " OR ".join(f"contains(lower(text), '{w}')" for w in prompts.ROUTE_WORDS)
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN len({SPLIT.format('text')}) <= 5 AND NOT ({ROUTE_SQL}) THEN 'vector' WHEN contains(lower(text), 'trace') OR contains(lower(text), 'dependency') THEN 'graph' ELSE 'agent' END AS route FROM conversations""")
+def query_router(load, spark):
+    """P15."""
+    return load("conversations").select("conv_id", "turn", prompts.route(F.col("text")).alias("route"))
+
+
+@query("""SELECT doc_id, array_to_string(list_slice(l, greatest(m - 1, 1), m + 1), chr(10)) AS context FROM (SELECT doc_id, string_split(text, chr(10)) AS l, (len(string_split(text, chr(10))) + 1) // 2 AS m FROM documents)""")
+def line_context(load, spark):
+    """The lines around one line, here each document's middle."""
+    lines = load("documents").select("doc_id", F.split("text", "\n").alias("l"))
+    return lines.select("doc_id", F.array_join(prompts.around(F.col("l"), F.floor((F.size("l") + 1) / 2).cast("int"), 1), "\n").alias("context"))
+
+
+@query(f"""WITH c AS (SELECT * FROM {CHUNKS_SQL}), first AS (SELECT name, min({{'file': file_path, 'line': 1, 'kind': type}}) AS s FROM c GROUP BY name),
+d AS (SELECT id, unnest(range(1, len(dependencies) + 1)) AS i, dependencies FROM c), e AS (SELECT id, i, dependencies[i] AS dep FROM d WHERE i <= 5)
+SELECT id, string_agg(dep || coalesce(': ' || upper(s.kind[1]) || s.kind[2:] || ' defined in ' || string_split(s.file, '/')[-1] || ':' || s.line, ''), chr(10) ORDER BY i) AS context FROM e LEFT JOIN first ON name = dep GROUP BY id""")
+def dependency_context(load, spark):
+    """Where a chunk's dependencies are defined."""
+    c = chunks(spark)
+    symbols = c.select("name", F.col("file_path").alias("file"), F.lit(1).alias("line"), F.col("type").alias("kind"))
+    return prompts.dependency_context(c, symbols)
+
+
+@query(f"""SELECT id, 'Summarize this ' || language || ' ' || type || '.' || chr(10) || 'Domain: ' || CASE {' '.join('WHEN ' + ' OR '.join(f"contains(lower(file_path), '{n}')" for n in ns) + f" THEN '{name}'" for ns, name in T.PROMPT_DOMAINS)} ELSE 'General code' END
+|| chr(10) || chr(10) || code || chr(10) || chr(10) || 'Summary:' AS prompt FROM {CHUNKS_SQL}""")
+def summary_prompts(load, spark):
+    """S3, S5."""
+    return chunks(spark).select("id", prompts.summary_prompt(T.prompt_domain(F.col("file_path")), F.col("type"), F.col("language"), F.col("code")).alias("prompt"))

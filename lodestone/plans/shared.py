@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 CHUNK_COLUMNS = "id string, type string, name string, file_path string, language string, code string, parent string, dependencies array<string>, defines array<string>"
 CHUNKS = [
-    ("c01", "class", "Store", "app/models/store.py", "python", "class Store(Base):\n    pass", None, ["Base"], ["Store"]),
+    ("c01", "class", "Store", "app/models/store.py", "python", "class Store(Base):\n    pass", None, ["Base", "Reader"], ["Store"]),
     ("c02", "method", "save", "app/models/store.py", "python", "def save(self):\n    import json\n    return json.dumps(self.rows)", "Store", ["json"], ["save"]),
     ("c03", "method", "load", "app/models/store.py", "python", "def load(self):\n    for row in Reader(self.path):\n        if row: self.rows.append(row)", "Store", ["Reader"], ["load"]),
     ("c04", "function", "build", "app/core/build.py", "python", "def build(path):\n    store = Store(path)\n    return store.load()", None, ["Store", "load"], ["build"]),
