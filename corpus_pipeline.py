@@ -18,8 +18,9 @@ LEAST_SCORE = 0.35  # below it the language is as good as unknown
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or with next to no evidence for any, go."""
-    tagged = language_id.tagged(docs, language_id.learned(docs))
-    known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    tag = "_".join(["tag", *docs.columns])  # no column of docs can be called so
+    tagged = language_id.tagged(docs, language_id.learned(docs), (f"{tag}_lang", f"{tag}_score"))
+    known = (F.col(f"{tag}_lang") != language_id.UNKNOWN) & (F.col(f"{tag}_score") >= LEAST_SCORE)
     return tagged.filter(known).select(*docs.columns)
 
 

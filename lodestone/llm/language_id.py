@@ -148,9 +148,9 @@ def learned(docs: DataFrame, by: int = 3, held_out: int = 1) -> tuple:
     return names, place, np.concatenate((np.zeros((1, len(names))), weights[used])).astype(np.float32), bias
 
 
-def tagged(docs: DataFrame, model: tuple) -> DataFrame:
-    """docs with lang_pred and score added (in place of columns so named); all else as it was."""
-    docs = docs.drop("lang_pred", "score")
+def tagged(docs: DataFrame, model: tuple, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its score added under names that docs doesn't have; all else as it was."""
+    lang_name, score_name = names
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -170,6 +170,6 @@ def tagged(docs: DataFrame, model: tuple) -> DataFrame:
                     lang[known] = np.array(names, object)[best[known]]
                     score[known] = p[np.arange(texts.n), best][known]
                 own = [batch.column(k).slice(texts.first, texts.n) for k in range(batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names, lang_name, score_name])
 
-    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField(lang_name, StringType()), StructField(score_name, DoubleType())]))
