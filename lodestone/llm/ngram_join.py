@@ -41,6 +41,7 @@ from lodestone.llm.shared import shared_table
 WORDS = 5
 PERCENT = 75
 CLUSTER = 4_000_000  # n-grams of one cluster that one task takes
+SENT = 1_000_000  # rows of two numbers that are broadcast
 FLUSH = 1 << 21  # n-grams that a task gathers before it deals them
 
 
@@ -362,8 +363,10 @@ def roots(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT, clus
     """(cls, root) of the classes that have a link to another class."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = shared_table(shared(docs, words_each, percent, parts), "shared-sets")
-    near = components(clusters(table, percent, parts), "clusters")
-    sized = table.join(near, table["cls"] == near["node"]).select("cls", "n", "tokens", F.col("root").alias("cluster"))
+    near = shared_table(components(clusters(table, percent, parts), "clusters"), "cluster-roots")
+    # two numbers for each clustered class: sent to the sets while few enough, or else dealt like them
+    small_enough = near.count() <= SENT
+    sized = table.join(F.broadcast(near) if small_enough else near, table["cls"] == near["node"]).select("cls", "n", "tokens", F.col("root").alias("cluster"))
     weight = sized.groupBy("cluster").agg(F.sum(F.length("tokens") / 8).alias("held"))
     large = shared_table(weight.filter(F.col("held") > cluster), "large-clusters")
     if not large.limit(1).count():
@@ -395,5 +398,5 @@ def linked(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT, clu
 def one_of_each(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each component: the one with the smallest doc_id; columns as they were."""
     keep = linked(docs, words_each, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    stay = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["kept_id"]), "left_semi")
     return stay.dropDuplicates(["doc_id"])
