@@ -9,6 +9,7 @@ from lodestone.functions import text as T
 
 # Words that send a query to the graph or to an agent.
 ROUTE_WORDS = ["trace", "impact", "affect", "dependency", "related", "refactor"]
+# The opening of every prompt.
 INTRO = 'You are a senior Python developer who knows the codebase inside out.\nAnswer the question using ONLY the provided code snippets. If the answer isn\'t there, say "I don\'t know".'
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import rerank, search, validate
-from lodestone.plans.shared import query
+from lodestone.plans.code import CHUNKS_SQL, counted, worded
+from lodestone.plans.shared import chunks, query
 
 EVERY = 50  # rows whose number this divides are the queries
 
@@ -415,3 +417,59 @@ def quality_overall(load, spark):
     }
     score, good = validate.overall(passed)
     return validate.ready(load("embeddings")).select("vec_id", F.round(score, 6).alias("overall"), good.alias("passed"), validate.reasons(passed).alias("reasons"))
+
+
+# ---------------------------------------------------------------- validators that need code beside the vector
+
+CODE = f"""code AS (SELECT doc_id, text, lang, {worded('def class function if else elif for while try except finally import from')} + len(regexp_extract_all(text, '@[\\p{{L}}\\p{{N}}_]+'))
++ {counted(['='])} - ({counted(['=='])}) - ({counted(['!='])}) + {counted(['(', '{', '['])} AS syntax, len(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) AS tokens FROM documents)"""
+
+
+def described(load):
+    """Vectors with the text of the same number."""
+    docs = load("documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("code"), F.col("lang").alias("language"))
+    return validate.ready(load("embeddings").join(docs, "vec_id"))
+
+
+@query(f"""WITH {MOMENTS}, {CODE} SELECT vec_id, tokens > 0 AND variance / greatest(tokens, 1) > 1e-6 AND variance / greatest(tokens, 1) * entropy > 1e-6 AND variance * 1000 / greatest(syntax, 1) > 0.01
+AND variance * 1000 / greatest(syntax, 1) < 100 AND variance > 1e-8 AS passed FROM r JOIN code ON doc_id = vec_id""")
+def validate_semantic(load, spark):
+    """O6."""
+    tokens = T.token_count(F.col("code"))
+    return described(load).select("vec_id", ((tokens > 0) & validate.semantic(T.syntax_complexity(F.col("code")), tokens)).alias("passed"))
+
+
+@query(f"""WITH {MOMENTS}, {CODE}, f AS (SELECT doc_id, contains(text, 'import ') :: INT + contains(text, 'from ') :: INT AS hints, {worded('if for while def class')} AS branches FROM documents),
+a AS (SELECT vec_id, v, n, variance, entropy, hints, branches, CASE WHEN hints + branches = 0 THEN NULL ELSE variance * entropy * 1000 / (hints + branches) END AS ratio FROM r JOIN f ON doc_id = vec_id)
+SELECT vec_id, round(CASE WHEN ratio IS NULL THEN 0.0 WHEN ratio < 0.1 THEN ratio / 0.1 WHEN ratio > 10 THEN 10 / ratio ELSE 1.0 END, 6) AS alignment,
+hints > 0 AND variance > 1e-6 AND entropy > 0.1 AND len(list_filter(v, lambda x: x > 0)) / n > 0.3 AND len(list_filter(v, lambda x: x > 0)) / n < 1 AND
+coalesce(CASE WHEN ratio < 0.1 THEN ratio / 0.1 WHEN ratio > 10 THEN 10 / ratio ELSE 1.0 END, 0.0) > 0.3 AND ratio IS NOT NULL AS passed FROM a""")
+def validate_domain(load, spark):
+    """How the vector's complexity stands to the code's."""
+    code = F.col("code")
+    hints = code.contains("import ").cast("int") + code.contains("from ").cast("int")
+    branches = F.regexp_count(code, F.lit(r"(?U)\bif\b|\bfor\b|\bwhile\b|\bdef\b|\bclass\b"))
+    rows = described(load).withColumn("hints", hints).withColumn("branches", branches)
+    aligned = validate.alignment(F.col("hints"), F.col("branches"))
+    return rows.select("vec_id", F.round(aligned, 6).alias("alignment"), validate.domain(F.col("hints"), F.col("branches"), F.lit(True)).alias("passed"))
+
+
+@query(f"""SELECT id, len(dependencies) = 0 OR len(list_intersect(dependencies, regexp_extract_all(code, '[A-Za-z_][A-Za-z0-9_]*'))) > 0 AS passed FROM {CHUNKS_SQL}""")
+def validate_dependency(load, spark):
+    """Something declared is found in the code, or nothing is declared."""
+    names = F.regexp_extract_all("code", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
+    return chunks(spark).select("id", validate.dependency(F.col("dependencies"), names).alias("passed"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber BETWEEN 2 AND 4 AND l_quantity >= 10")
+def payload_range(load, spark):
+    """Ranges over integer payload fields, pushed into the scan."""
+    return load("lineitem").filter(F.col("l_linenumber").between(2, 4) & (F.col("l_quantity") >= 10)).select("l_orderkey", "l_linenumber")
+
+
+@query(f"""WITH c AS (SELECT * FROM {CHUNKS_SQL}) SELECT t.id AS test_id, c.id FROM c t JOIN c ON list_contains(t.dependencies, c.name) WHERE contains(t.file_path, 'test')""")
+def related_tests(load, spark):
+    """P10: tests and the chunks that they depend on, by name."""
+    c = chunks(spark)
+    tests = c.filter(F.col("file_path").contains("test")).select(F.col("id").alias("test_id"), F.explode("dependencies").alias("name"))
+    return tests.join(c.select("id", "name"), "name").select("test_id", "id")
