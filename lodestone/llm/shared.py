@@ -8,6 +8,7 @@ more than the tasks of the running stage.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -51,5 +52,6 @@ def _clean() -> None:
     for spark, path in _written:
         try:
             remove(spark, path)
-        except Exception:  # the session may be gone already
-            return
+        except Exception:  # the session may be gone already; a folder of this machine can still go
+            if path.startswith("file://"):
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
