@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import decontamination, language_id, mixing, ngram_join, token_shards
 from lodestone.llm.shared import shared_table
 
+REMEMBERED = 100_000  # words that a worker's encoder keeps: workers go on to other stages with them
 LEAST_SCORE = 0.35  # below it the language is as good as unknown
 
 
@@ -43,7 +44,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids in shards; what the files hold of each document."""
     from lodestone.llm.queries import vocabulary
 
-    return token_shards.export(docs, vocabulary())
+    return token_shards.export(docs, vocabulary(), remembered=REMEMBERED)
 
 
 STAGES = [

@@ -74,7 +74,7 @@ class Encoder:
     whole tokenizer.
     """
 
-    def __init__(self, vocabulary: str, end_id: int, pattern: str = CUT):
+    def __init__(self, vocabulary: str, end_id: int, remembered: int | None = None, pattern: str = CUT):
         import regex
         from tokenizers import Tokenizer
 
@@ -82,7 +82,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.cut = regex.compile(pattern).findall
         self.letters = byte_letters()
-        self.end = end_id
+        self.end, self.most = end_id, remembered or REMEMBERED
         self.place: dict[bytes, int] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
         self.ids = array("I")
@@ -93,7 +93,7 @@ class Encoder:
         if ids is None:
             text = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
             ids = tuple(t.id for t in self.model.tokenize(text))
-            if len(self.parts) < REMEMBERED:
+            if len(self.parts) < self.most:
                 self.parts[part] = ids
         return ids
 
@@ -138,19 +138,20 @@ class Encoder:
         out[:-1] = ids[np.arange(len(out) - 1) + np.repeat(start - ends + size, size)]
         out[-1] = self.end
         del ids, begin  # or the arrays could not grow
-        if len(self.place) > REMEMBERED:
-            self.trim(REMEMBERED)
+        if len(self.place) > self.most:
+            self.trim(self.most)
         return out
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple[str, int, int], Encoder] = {}
 
 
-def encoder(vocabulary: str, end_id: int) -> Encoder:
+def encoder(vocabulary: str, end_id: int, remembered: int) -> Encoder:
     """The one of this Python worker; its words serve all its tasks."""
-    if (vocabulary, end_id) not in _encoders:
-        _encoders[vocabulary, end_id] = Encoder(vocabulary, end_id)
-    return _encoders[vocabulary, end_id]
+    key = (vocabulary, end_id, remembered)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 # ---------------------------------------------------------------- files
@@ -281,7 +282,7 @@ class Reader:
 # ---------------------------------------------------------------- tables
 
 
-def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, shards: int | None = None) -> DataFrame:
+def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, shards: int | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """Write the shards of docs below folder; (path, first_id, n, tokens) of each, in key order."""
     spark = docs.sparkSession
     slim = docs.select("doc_id", F.col("text"), F.xxhash64("text").alias("h"))
@@ -296,7 +297,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, shards: in
             ids = batch.column(0).to_pylist()
             for texts in pieces(batch.column(1)):
                 if writer is None:
-                    encode, writer = encoder(vocabulary, end_id).encode, Writer(path)
+                    encode, writer = encoder(vocabulary, end_id, remembered).encode, Writer(path)
                 for i in range(texts.n):
                     writer.add(key_of(ids[texts.first + i]), encode(texts.raw(i)))
         if writer is not None:
@@ -338,8 +339,8 @@ def read(spark: SparkSession, shards: list[tuple[str, int]]) -> DataFrame:
     return table.mapInArrow(work, ENTRY)
 
 
-def export(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
+def export(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """Write docs as shards, then the digest of what the files hold."""
     spark = docs.sparkSession
     folder = folder or new_path(spark, "shards")
-    return read(spark, manifest(spark, write(docs, folder, vocabulary, end_id)))
+    return read(spark, manifest(spark, write(docs, folder, vocabulary, end_id, remembered=remembered)))
