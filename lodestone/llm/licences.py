@@ -1,12 +1,16 @@
 """Licence recognition by sentence rules (DataFrame functions only).
 
-A text is cut into sentences; each is normalised (lower case, runs of other characters than a-z and
-0-9 become one blank) and looked up among known licence sentences.  The identifiers of those found,
+A text is cut at line ends and behind [.!?:;] with blanks; the pieces are normalised (lower case, runs
+of other characters than a-z and 0-9, so also comment marks, become one blank; dnl and rem in front of
+a line go).  One or more pieces that follow each other and make up a known licence sentence are it, the
+longest first: so sentences are found wrapped over lines, behind comment marks and with such signs
+inside.  The identifiers of those found,
 in order, form a sequence, which ordered rules consume: a rule names a licence and the identifiers
 that must follow each other; what it matched is taken out before the next rule is tried, so the rules
 for longer sequences come first.  Sentences that no rule took are reported as left over.
 
-Documents without any of the anchor words, which every known sentence has, skip the lookup.  All is
+Documents without any of the anchor words, one of which every known sentence has, skip the lookup;
+anchors of several words, which a line end may part, are not asked for.  All is
 done within the row: no join, no shuffle.
 
 Defined cases: a null or empty text has no sentences, so licences and sequence are empty; repeated
@@ -92,13 +96,17 @@ def known(sentences: dict[str, str]) -> dict[str, str]:
 
 def sequence(text: Column, sentences: dict[str, str], anchors: list[str]) -> Column:
     """The identifiers of known sentences of a text, in order."""
+    anchors = [a for a in anchors if " " not in a]
     if bare := [s for s in known(sentences) if not any(a in s for a in anchors)]:
         raise ValueError(f"no anchor word in: {bare}")
     low = F.lower(text)
-    ends = F.split(F.regexp_replace(low, r"([.!?:;])[ \t\r\n]+", "$1\n"), "\n")
+    lines = F.regexp_replace(F.translate(low, "|", ","), r"(?m)^([^a-z0-9\n]*)@?(?:dnl|rem)(?=[ \t\r]|$)", "$1")
+    cut = F.concat(F.lit("|"), F.regexp_replace(lines, r"[.!?:;][ \t\r\n]+|\n", "|"), F.lit("|"))
+    whole = F.regexp_replace(F.regexp_replace(cut, "[^a-z0-9|]+", " "), r" ?\|[ |]*", "|")
+    longest = sorted(known(sentences), key=len, reverse=True)
+    wanted = r"(?<=\|)(?:" + "|".join(s.replace(" ", "[ |]") for s in longest) + r")(?=\|)"
     ids = F.create_map(*[F.lit(x) for pair in known(sentences).items() for x in pair])
-    each = F.transform(ends, lambda s: F.element_at(ids, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))))
-    found = F.filter(each, lambda x: x.isNotNull())
+    found = F.transform(F.regexp_extract_all(whole, F.lit(wanted), F.lit(0)), lambda s: F.element_at(ids, F.translate(s, "|", " ")))
     may = F.lit(False)
     for a in anchors:
         may = may | low.contains(a)
