@@ -12,8 +12,8 @@ the disk budget nor be held by each worker).
 N-grams that stand only once are no evidence but of the one document they come from, which would then
 foretell itself: they count in totals and discounts, and their share goes to the lower orders.
 
-Should a language have more than MOST n-grams, those counted least are left out of the arrays and
-scored by backing off, as usual for such models.
+No n-gram is left out, however many there are.  Spark sums up those that stand once, by context; all
+others are held as arrays, 12 bytes for each and for each context, by the driver and each worker.
 
 A document is kept unless a base rule fails or its log-perplexity lies outside its language's band,
 which spans REACH robust deviations around the median of all its documents that pass the base rules
@@ -38,7 +38,6 @@ from lodestone.llm.shared import shared_table
 
 ORDER = 5
 FOLD = 12
-MOST = 6_000_000  # n-grams of one language that are held as arrays
 LEAST = 2  # an n-gram that stands once in all documents tells nothing of any other document
 REACH = 6.0
 BIN = 0.005  # width of the histogram bins of log-perplexity
@@ -101,9 +100,13 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """One language's arrays: for each order sorted hashes and log-probabilities, contexts and weights."""
+    """One language's arrays: for each order sorted hashes and log-probabilities, contexts and weights.
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER, least: int = LEAST):
+    N-grams that stand once may come as sums instead: ones is how many there are, and alone the sorted
+    contexts of keys that some of them have, with how many.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER, least: int = LEAST, ones: int = 0, alone: tuple[np.ndarray, np.ndarray] | None = None):
         levels, k, c = [], keys.astype(np.uint64), counts.astype(np.float64)
         held = c >= least
         for n in range(order, 0, -1):
@@ -114,11 +117,13 @@ class Model:
         self.levels: list[tuple] = []
         low = (np.zeros(0, np.uint64), np.zeros(0))
         for n, k, c, held in reversed(levels):
-            own = c - self.discounts(c)[np.minimum(c, 3).astype(np.int64)]
+            own = c - self.discounts(c, ones if n == order else 0)[np.minimum(c, 3).astype(np.int64)]
             context = k >> np.uint64(FOLD)
             first = np.flatnonzero(np.concatenate((np.ones(min(1, len(k)), bool), context[1:] != context[:-1])))
             which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(k))))
             total = np.bincount(which, c, len(first))
+            if n == order and alone is not None:
+                total[np.searchsorted(context[first], alone[0])] += alone[1]
             spared = total - np.bincount(which[held], own[held], len(first))  # what is left for lower orders
             ending = k[held] & np.uint64((1 << FOLD * (n - 1)) - 1)
             below = low[1][np.searchsorted(low[0], ending)] if n > 1 else np.full(len(ending), 1.0 / (1 << FOLD))
@@ -128,9 +133,9 @@ class Model:
             self.levels.append((k[held], np.log(p).astype(np.float32), context[first][used], np.log(np.maximum(spared / total, 1e-12))[used].astype(np.float32)))
 
     @staticmethod
-    def discounts(c: np.ndarray) -> np.ndarray:
-        """0 and the discounts of counts 1, 2 and 3 or more."""
-        n1, n2, n3, n4 = (float((c == i).sum()) for i in (1, 2, 3, 4))
+    def discounts(c: np.ndarray, ones: int = 0) -> np.ndarray:
+        """0 and the discounts of counts 1, 2 and 3 or more; ones: counts of 1 besides c."""
+        n1, n2, n3, n4 = (float((c == i).sum()) + (ones if i == 1 else 0) for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         each = [1 - 2 * y * n2 / n1 if n1 else y, 2 - 3 * y * n3 / n2 if n2 else y, 3 - 4 * y * n4 / n3 if n3 else y]
         return np.array([0.0, *(min(max(d, 0.05), i + 0.95) for i, d in enumerate(each))])
@@ -156,23 +161,21 @@ class Model:
 
 
 def models(docs: DataFrame) -> dict[str | None, Model]:
-    """Each language's model; what is collected is bounded by MOST for each."""
+    """Each language's model, of all its n-grams."""
     table = shared_table(counted(docs), "ngrams")
-    least = {}
-    levels = table.groupBy("lang", F.least("n", F.lit(1000)).alias("n")).count().collect()
-    for lang in {r["lang"] for r in levels}:
-        held, want = 0, 1001
-        for n, many in sorted(((r["n"], r["count"]) for r in levels if r["lang"] == lang), reverse=True):
-            if held and held + many > MOST:
-                break
-            held, want = held + many, n
-        least[lang] = want
+    # n-grams that stand once come to the driver as sums, for contexts that others have too
+    by_context = table.groupBy("lang", F.shiftright("key", FOLD).alias("context")).agg(F.count_if(F.col("n") < LEAST).alias("alone"), F.max("n").alias("most"))
+    by_context = shared_table(by_context.filter(F.col("alone") > 0), "contexts")
+    ones = {r["lang"]: r["ones"] for r in by_context.groupBy("lang").agg(F.sum("alone").alias("ones")).collect()}
     out = {}
-    for lang, want in least.items():
-        got = table.filter(F.col("lang").eqNullSafe(F.lit(lang).cast("string")) & (F.col("n") >= want)).select("key", "n").toArrow()
+    for lang in {r["lang"] for r in table.select("lang").distinct().collect()}:
+        mine = F.col("lang").eqNullSafe(F.lit(lang).cast("string"))
+        got = table.filter(mine & (F.col("n") >= LEAST)).select("key", "n").toArrow()
         keys, n = got["key"].to_numpy().astype(np.uint64), got["n"].to_numpy()
         order = np.argsort(keys)
-        out[lang] = Model(keys[order], n[order])
+        few = by_context.filter(mine & (F.col("most") >= LEAST)).select("context", "alone").toArrow()
+        contexts, alone = few["context"].to_numpy().astype(np.uint64), few["alone"].to_numpy()
+        out[lang] = Model(keys[order], n[order], ones=ones.get(lang, 0), alone=(contexts, alone))
     return out
 
 
