@@ -16,8 +16,9 @@ No n-gram is left out, however many there are.  Spark sums up those that stand o
 others are held as arrays, 12 bytes for each and for each context, by the driver and each worker.
 
 A document is kept unless a base rule fails or its log-perplexity lies outside its language's band,
-which spans REACH robust deviations around the median of all its documents that pass the base rules
-(the spread of short texts is allowed for).
+which spans REACH robust deviations around the median of all its different texts that pass the base
+rules (the spread of short texts is allowed for).  Models and bands count equal texts of a language
+once, so copies, however many, don't move them.
 
 Words: ``[^\\x20\\x09-\\x0D]+``.  Defined cases: null text has no words and fails; a null language is
 one of its own; repeated rows are judged alike; an empty table gives an empty result; other columns
@@ -43,7 +44,7 @@ REACH = 6.0
 BIN = 0.005  # width of the histogram bins of log-perplexity
 SYMBOL = np.zeros(256, np.uint8)
 SYMBOL[list(b"#*$%&|<>")] = 1
-SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, log_ppl double"
+SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, log_ppl double, text_hash string"
 
 
 def hashed(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -236,16 +237,16 @@ def scored(docs: DataFrame, model: dict[str | None, Model]) -> DataFrame:
                     if mine.any():
                         log_p[mine] = shared.value[lang].log_p(key[mine])
                 mean = -np.diff(np.concatenate(([0.0], np.cumsum(log_p)))[bounds]) / np.maximum(size, 1)
-                kept = [batch.column(k).slice(texts.first, texts.n) for k in (0, 1)]
+                kept = [batch.column(k).slice(texts.first, texts.n) for k in (0, 1, 3)]
                 numbers = [pa.array(x.astype(np.int64)) for x in (*counts(texts), size)]
-                yield pa.RecordBatch.from_arrays([*kept, *numbers, pa.array(mean, mask=size == 0)], names=[c.split()[0] for c in SCORED.split(", ")])
+                yield pa.RecordBatch.from_arrays([*kept[:2], *numbers, pa.array(mean, mask=size == 0), kept[2]], names=[c.split()[0] for c in SCORED.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(work, SCORED)
+    return docs.select(F.col("doc_id").cast("long"), "lang", "text", F.md5("text")).mapInArrow(work, SCORED)
 
 
 def bands(table: DataFrame) -> list[tuple]:
-    """(lang, middle, low, high, typical): the median and robust deviations below and above, from histograms."""
-    good = table.filter(~F.col("base_failed") & F.col("log_ppl").isNotNull())
+    """(lang, middle, below, above): the median of different texts and robust deviations, from histograms."""
+    good = table.filter(~F.col("base_failed") & F.col("log_ppl").isNotNull()).select("lang", "text_hash", "log_ppl", "n_chars").dropDuplicates(["lang", "text_hash"])
     rows = good.groupBy("lang", F.floor(F.col("log_ppl") / BIN).alias("bin")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")).collect()
     out = []
     for lang in {r["lang"] for r in rows}:
@@ -258,7 +259,8 @@ def bands(table: DataFrame) -> list[tuple]:
 
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, kept, log_ppl and the band, for every row of docs."""
-    table = scored(docs, models(docs)).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    different = docs.select("lang", "text", F.md5("text").alias("text_hash")).dropDuplicates(["lang", "text_hash"])
+    table = scored(docs, models(different)).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     table = shared_table(table, "perplexities")
     band = docs.sparkSession.createDataFrame(bands(table), "band_lang string, middle double, below double, above double")
     # a text of few characters strays further: its mean has a larger error
