@@ -11,6 +11,11 @@ ISO dates and day-first dates (days that exist, 1900 to 2099), e-mail addresses
 hexadecimal secrets (32 characters or more, with digits and letters).  Punctuation, letter case and
 length stay; check digits are made right again.
 
+A match that fails its validation may hold a value beside other numbers or words (a card before its CVV
+or expiry date, behind a list number).  Of a card's run of digit groups all spans of whole groups are
+tried, those grouped as cards are first, then the longest; an IBAN is tried with fewer groups; then the
+other kinds and later starts.
+
 Defined cases: a null text stays null; a text without any value is returned as it is; repeated rows
 and values get the same pseudonyms; an empty table gives an empty result; other columns are ignored.
 """
@@ -48,6 +53,12 @@ FOUND = re.compile(
     r"|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]))"
 )
 
+EACH = [(part[4 : part.index(">")], re.compile(part)) for part in re.split(r"\|(?=\(\?P<)", FOUND.pattern)]
+OTHERS = re.compile("|".join(pattern.pattern for kind, pattern in EACH if kind != "card"))
+RUN = re.compile(r"\d+(?:[ -]\d+)*")
+# how cards are printed: sizes of their groups
+SHAPES = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 5), (4, 4, 4, 4, 1), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3)} | {(n,) for n in range(13, 20)}
+
 
 def permuted(value: int, size: int, tweak: bytes, key: bytes, back: bool = False) -> int:
     """A keyed permutation of range(size); back inverts it."""
@@ -169,18 +180,80 @@ def pseudonym(kind: str, text: str, key: bytes = KEY, back: bool = False) -> str
     return spelled(text, tweak, key, back, hexadecimal=True)
 
 
+def at(text: str, start: int, pattern: re.Pattern, kind: str, key: bytes, back: bool) -> tuple[int, str, str] | None:
+    """(end, kind, pseudonym) of a value of this kind that begins at start; of IBANs the longest valid one."""
+    if not (match := pattern.match(text, start)):
+        return None
+    ends = [match.end()]
+    if kind == "iban":
+        ends += [i for i in range(match.end() - 1, start + 14, -1) if text[i] == " "]
+    for end in ends:
+        if (new := pseudonym(kind, text[start:end], key, back)) is not None:
+            return end, kind, new
+    return None
+
+
+def first(text: str, start: int, match: re.Match, key: bytes, back: bool) -> tuple[int, str, str] | None:
+    """The first kind that is valid where a match begins, from the match's own kind on."""
+    kinds = [kind for kind, _ in EACH]
+    for kind, pattern in EACH[kinds.index(match.lastgroup) :]:
+        if found := at(text, start, pattern, kind, key, back):
+            return found
+    return None
+
+
+def within(text: str, start: int, end: int, key: bytes, back: bool) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, pseudonym) of the values in a run of digit groups that is no card as a whole."""
+    out, pos = [], start
+    while (match := OTHERS.search(text, pos)) and match.start() < end:
+        new = pseudonym(match.lastgroup, match[0], key, back)
+        if new is not None:
+            out.append((match.start(), match.end(), match.lastgroup, new))
+        pos = match.start() + 1 if new is None else match.end()
+    groups = [m.span() for m in re.compile(r"\d+").finditer(text, start, end)]
+    spans = []
+    for i in range(len(groups)):
+        sizes: tuple[int, ...] = ()
+        for a, b in groups[i:]:
+            sizes += (b - a,)
+            if sum(sizes) > 19:
+                break
+            if sum(sizes) >= 13 and luhn(re.sub(r"\D", "", text[groups[i][0] : b])) % 10 == 0:
+                spans.append((sizes not in SHAPES, -sum(sizes), groups[i][0], b))
+    taken = [False] * (end - start)
+    for a, b, _, _ in out:
+        taken[a - start : min(b, end) - start] = [True] * (min(b, end) - a)
+    for _, _, a, b in sorted(spans):
+        if not any(taken[a - start : b - start]):
+            taken[a - start : b - start] = [True] * (b - a)
+            out.append((a, b, "card", pseudonym("card", text[a:b], key, back)))
+    return sorted(out)
+
+
 def replaced(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many values of each kind it has."""
     seen: dict[str, int] = {}
-
-    def one(match: re.Match) -> str:
-        new = pseudonym(match.lastgroup, match[0], key, back)
-        if new is None:
-            return match[0]
-        seen[match.lastgroup] = seen.get(match.lastgroup, 0) + 1
-        return new
-
-    return FOUND.sub(one, text), seen
+    out, done, pos = [], 0, 0
+
+    def put(start: int, end: int, kind: str, new: str) -> int:
+        out.extend((text[done:start], new))
+        seen[kind] = seen.get(kind, 0) + 1
+        return end
+
+    while match := FOUND.search(text, pos):
+        start = match.start()
+        if (new := pseudonym(match.lastgroup, match[0], key, back)) is not None:
+            pos = done = put(start, match.end(), match.lastgroup, new)
+        elif match.lastgroup == "card":
+            pos = RUN.match(text, start).end()
+            for a, b, kind, new in within(text, start, pos, key, back):
+                done = put(a, b, kind, new)
+            pos = max(pos, done)
+        elif found := first(text, start, match, key, back):
+            pos = done = put(start, *found)
+        else:
+            pos = start + 1
+    return "".join([*out, text[done:]]), seen
 
 
 def pseudonymised(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
