@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.llm.batches import LOWER, Texts, grams, hashes, mixed, pieces, words
 from lodestone.llm.components import components
@@ -384,19 +385,52 @@ def roots(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT, clus
 
 
 def linked(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT, cluster: int = CLUSTER) -> DataFrame:
-    """(doc_id, n_shingles, component_id, cls) for every row of docs."""
+    """(doc_id, n_shingles, component_id, cls, root) for every row of docs; root numbers the component."""
     rows = shared_table(classes(docs, words_each), "set-classes")
     heads = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("head"))
     root = roots(docs, words_each, percent, cluster)
     named = heads.join(root, "cls", "left").select("cls", "head", F.coalesce("root", "cls").alias("root"))
     named = shared_table(named, "class-roots")
     first = named.groupBy("root").agg(F.min("head").alias("component_id"))
-    of_class = named.join(first, "root").select(F.col("cls").alias("c"), "component_id")
-    return rows.join(of_class, F.col("cls") == F.col("c"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "cls")
+    of_class = named.join(first, "root").select(F.col("cls").alias("c"), "component_id", "root")
+    return rows.join(of_class, F.col("cls") == F.col("c"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "cls", "root")
+
+
+def with_class(docs: DataFrame, name: str, words_each: int) -> DataFrame:
+    """docs with each row's class number as one more column."""
+    at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in pieces(batch.column(at)):
+                tokens, bounds = sets(texts, words_each)
+                own = batch.slice(texts.first, texts.n)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(class_numbers(tokens, bounds), mask=np.diff(bounds) == 0)], names=[*own.schema.names, name])
+
+    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def one_of_each(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id; columns as they were."""
-    keep = linked(docs, words_each, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["kept_id"]), "left_semi")
-    return stay.dropDuplicates(["doc_id"])
+    """docs with one document of each component: the one with the smallest doc_id; columns as they were.
+
+    Rows whose doc_id is null or stands in several rows are told apart by their class, so each component
+    keeps one row, also if it has no id or shares it with others.  Of those with the empty set, which
+    are their own components, one row of each doc_id and text stays.
+    """
+    rows = shared_table(linked(docs, words_each, percent), "linked")
+    lead = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    many = rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("many_id"))
+    many = shared_table(many, "repeated-ids")
+    own = docs["doc_id"].cast("long")
+    plain = lead.filter("doc_id is not null").select(F.col("doc_id").alias("kept_id")).join(many, F.col("kept_id") == F.col("many_id"), "left_anti")
+    stay = docs.join(plain, own == plain["kept_id"], "left_semi")
+    if not many.limit(1).count() and not rows.filter("doc_id is null").limit(1).count():
+        return stay
+    tag = "_".join(["class", *docs.columns])  # no column of docs can be called so
+    odd = docs.join(many, own == many["many_id"], "left_semi").unionByName(docs.filter(own.isNull()))
+    odd = with_class(odd, tag, words_each).withColumn(f"{tag}_text", F.when(F.col(tag).isNull(), F.md5("text")))
+    odd = odd.dropDuplicates(["doc_id", tag, f"{tag}_text"])
+    heads = lead.filter("cls is not null").groupBy("root").agg(F.min("doc_id").alias("head_id"), F.min("cls").alias("head_cls"))
+    heads = heads.select("head_id", "head_cls")
+    first = odd.join(heads, (odd[tag] == heads["head_cls"]) & odd["doc_id"].cast("long").eqNullSafe(heads["head_id"]), "left_semi")
+    return stay.unionByName(first.unionByName(odd.filter(odd[tag].isNull())).select(*docs.columns))
