@@ -20,10 +20,17 @@ def shingles(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", F.array_sort(F.array_distinct(found)).alias("grams")).filter(F.col("grams").isNotNull()).withColumn("n", F.size("grams"))
 
 
+def members(docs: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, head): each document with shingles and the smallest doc_id of its equal set, which stands for it in pairs."""
+    own = shingles(docs, words).select("doc_id", "n", F.xxhash64("grams").alias("h")).persist(StorageLevel.DISK_ONLY)
+    heads = own.groupBy("h", "n").agg(F.min("doc_id").alias("head"))
+    return own.join(heads, ["h", "n"]).select("doc_id", "head")
+
+
 def pairs(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """(doc_a, doc_b, jaccard) of different texts at or over the threshold.
 
-    Equal sets are one class, stood for by its smallest doc_id, so large groups of copies never meet
+    Equal sets are one class, stood for by its smallest doc_id (members() names it for each document), so large groups of copies never meet
     each other.  N-grams of one class only cannot make a pair and are left out; of the others a class
     brings its rarest ones, as many as any similar class must share one of, to the join.
     """

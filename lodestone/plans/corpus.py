@@ -89,6 +89,17 @@ def near_duplicates(load, spark):
     return near.pairs(load("documents").select("doc_id", "text"))
 
 
+@query(r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5)),
+sets AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS h FROM s GROUP BY doc_id)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS head FROM sets
+""")
+def near_duplicate_members(load, spark):
+    """For each document the one that stands for its equal set in near_duplicates."""
+    return near.members(load("documents").select("doc_id", "text"))
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.page') AS page FROM events")
 def json_field(load, spark):
     """Fields of nested JSON text; bad JSON gives null."""
