@@ -141,6 +141,12 @@ def initial_candidates(load, spark):
     return search.top(hits, 50)
 
 
+@query(dense_sql(50))
+def initial_candidates_each(load, spark):
+    """K2: the first fifty by score of every stated query."""
+    return search.dense(points(load), vector_queries(load), 50)
+
+
 @query(f"SELECT query_id, vec_id AS id, round({METRIC['cosine']}, 6) AS score FROM (SELECT vec_id, embedding AS v FROM embeddings), ({QUERY_VECTORS})")
 def cosine_similarity(load, spark):
     """L1: a stated set of queries against all points."""
