@@ -6,16 +6,21 @@ factors of the value's range, walked on until it lands within the range.  So equ
 pseudonyms in all documents, different ones different, and the key's holder can invert them.
 
 Formats and their validation: payment cards (13 to 19 digits, Luhn), IBANs (mod 97), IPv4 addresses
-(octets to 255), North American phone numbers, US social security numbers (area and group in use),
-ISO dates and day-first dates (days that exist, 1900 to 2099), e-mail addresses (the local part) and
-hexadecimal secrets (32 characters or more, with digits and letters).  Punctuation, letter case and
-length stay; check digits are made right again.
+(octets to 255), North American phone numbers (area and exchange in 200 to 999 without N11), US social
+security numbers (area and group in use), dates (ISO, day-first, or month-first where the day is over
+12; days that exist, 1900 to 2099), e-mail addresses (the local part) and hexadecimal secrets (32
+characters or more, with digits and letters).  Punctuation, letter case and length stay; check digits
+are made right again, and a pseudonym passes the validation that its value passed.  Ten digits behind
++1 whose area or exchange isn't assigned are a phone number all the same; their pseudonym isn't
+assigned either.  Days over 12 stay over 12, so a date has one pseudonym however it is written.
 
 A match that fails its validation may hold a value beside other numbers or words (a card before its CVV
-or expiry date, behind a list number).  Of a card's run of digit groups all spans of whole groups are
-tried, those grouped as cards are first, then the longest; an IBAN is tried with fewer groups; then the
+or expiry date, behind a list number).  Of a card's run of digit groups all spans of whole groups that
+are grouped as cards are (SHAPES) are tried, the longest first; an IBAN is tried with fewer groups; then the
 other kinds and later starts.
 
+The key has no default: who has it can invert every pseudonym.
+
 Defined cases: a null text stays null; a text without any value is returned as it is; repeated rows
 and values get the same pseudonyms; an empty table gives an empty result; other columns are ignored.
 """
@@ -37,7 +42,6 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.batches import pieces
 
-KEY = b"lodestone example key"  # a parameter; set your own
 ROUNDS = 8
 KINDS = ("card", "iban", "ip", "phone", "ssn", "date", "email", "secret")
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -48,8 +52,8 @@ FOUND = re.compile(
     r"|(?P<secret>(?<![A-Za-z0-9])(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9]))"
     r"|(?P<date>(?<![\d.-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d-]))"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
-    r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<phone>(?<!\d)(?:\+1[ .-]?)?(?:\(\d{3}\) ?|(?<=\+1[ .-])\d{3}[ .-]|(?<![\d-])\d{3}[.-])\d{3}[ .-]\d{4}(?![\d-]))"
+    r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])|(?<![\d-])(?<!\d )\d{3} \d{2} \d{4}(?![\d-]| \d))"
+    r"|(?P<phone>(?<!\d)(?:\+1[ .-]?)?(?:\(\d{3}\) ?|(?<=\+1[ .-])\d{3}[ .-]|(?<![\d-])\d{3}[.-])\d{3}[ .-]\d{4}(?![\d-])|(?<![\d-])(?<!\d )\d{3} \d{3} \d{4}(?![\d-]| \d))"
     r"|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]))"
 )
 
@@ -90,6 +94,33 @@ def permuted(value: int, size: int, tweak: bytes, key: bytes, back: bool = False
             return value
 
 
+def walked(value: int, size: int, tweak: bytes, key: bytes, back: bool, inside) -> int:
+    """The keyed permutation of those values below size for which inside is true."""
+    while not inside(value := permuted(value, size, tweak, key, back)):
+        pass
+    return value
+
+
+AREAS = [n for n in range(200, 1000) if n % 100 != 11]  # area codes and exchanges that may be assigned
+AREA_AT = {n: i for i, n in enumerate(AREAS)}
+
+
+def assigned(number: int) -> bool:
+    """Whether a North American number of ten digits may be assigned."""
+    return number // 10**7 in AREA_AT and number // 10**4 % 1000 in AREA_AT
+
+
+def date_of(text: str) -> tuple[datetime.date, str] | None:
+    """The date that a text of ten characters writes, and its form."""
+    forms = ["%Y-%m-%d"] if text[4] == "-" else [f"%d{text[2]}%m{text[5]}%Y"] + [f"%m{text[2]}%d{text[5]}%Y"] * (text[2] == "/")
+    for form in forms:
+        try:
+            return datetime.datetime.strptime(text, form).date(), form
+        except ValueError:
+            pass
+    return None
+
+
 def luhn(digits: str) -> int:
     """The sum that is a multiple of ten for valid numbers."""
     return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits)))
@@ -130,7 +161,7 @@ def number(digits: str, tweak: bytes, key: bytes, back: bool) -> str:
 
 
 @lru_cache(1 << 16)
-def pseudonym(kind: str, text: str, key: bytes = KEY, back: bool = False) -> str | None:
+def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | None:
     """The pseudonym of a value, or None if it isn't a valid one; back: the value of a pseudonym."""
     tweak = kind.encode()
     digits = re.sub(r"\D", "", text)
@@ -153,8 +184,15 @@ def pseudonym(kind: str, text: str, key: bytes = KEY, back: bool = False) -> str
         value = permuted(int.from_bytes(bytes(map(int, octets)), "big"), 1 << 32, tweak, key, back)
         return ".".join(map(str, value.to_bytes(4, "big")))
     if kind == "phone":
-        lead = len(digits) - 10
-        return refilled(text, digits[:lead] + number(digits[lead:], tweak, key, back))
+        lead, value = len(digits) - 10, int(digits[-10:])
+        if assigned(value):
+            value = (AREA_AT[value // 10**7] * len(AREAS) + AREA_AT[value // 10**4 % 1000]) * 10**4 + value % 10**4
+            value, line = divmod(permuted(value, len(AREAS) ** 2 * 10**4, tweak, key, back), 10**4)
+            area, exchange = divmod(value, len(AREAS))
+            return refilled(text, f"{digits[:lead]}{AREAS[area]}{AREAS[exchange]}{line:04d}")
+        if not lead:
+            return None
+        return refilled(text, f"{digits[:lead]}{walked(value, 10**10, tweak, key, back, lambda x: not assigned(x)):010d}")
     if kind == "ssn":
         area, group, serial = int(digits[:3]), int(digits[3:5]), int(digits[5:])
         if not (1 <= area <= 899 and area != 666 and group and serial):
@@ -162,18 +200,16 @@ def pseudonym(kind: str, text: str, key: bytes = KEY, back: bool = False) -> str
         value = (((area - 1 - (area > 666)) * 99 + group - 1) * 9999) + serial - 1
         value, serial = divmod(permuted(value, 898 * 99 * 9999, tweak, key, back), 9999)
         area, group = divmod(value, 99)
-        return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
+        return refilled(text, f"{area + 1 + (area >= 665):03d}{group + 1:02d}{serial + 1:04d}")
     if kind == "date":
-        iso = text[4] == "-"
-        year, month, day = (int(x) for x in ((text[:4], text[5:7], text[8:]) if iso else (text[6:], text[3:5], text[:2])))
-        try:
-            value = datetime.date(year, month, day).toordinal() - FIRST_DAY
-        except ValueError:
+        if (found := date_of(text)) is None or (text[4] != "-" and text[2] != text[5]):
             return None
-        if not 0 <= value <= LAST_DAY - FIRST_DAY or (not iso and text[2] != text[5]):
+        day, form = found
+        if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
             return None
-        new = datetime.date.fromordinal(FIRST_DAY + permuted(value, LAST_DAY - FIRST_DAY + 1, tweak, key, back))
-        return new.isoformat() if iso else f"{new.day:02d}{text[2]}{new.month:02d}{text[5]}{new.year:04d}"
+        late = day.day > 12
+        value = walked(day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, tweak, key, back, lambda x: (datetime.date.fromordinal(FIRST_DAY + x).day > 12) == late)
+        return datetime.date.fromordinal(FIRST_DAY + value).strftime(form)
     if kind == "email":
         local, _, host = text.rpartition("@")
         return f"{spelled(local, tweak + host.lower().encode(), key, back)}@{host}"
@@ -218,19 +254,19 @@ def within(text: str, start: int, end: int, key: bytes, back: bool) -> list[tupl
             sizes += (b - a,)
             if sum(sizes) > 19:
                 break
-            if sum(sizes) >= 13 and luhn(re.sub(r"\D", "", text[groups[i][0] : b])) % 10 == 0:
-                spans.append((sizes not in SHAPES, -sum(sizes), groups[i][0], b))
+            if sizes in SHAPES and luhn(re.sub(r"\D", "", text[groups[i][0] : b])) % 10 == 0:
+                spans.append((-sum(sizes), groups[i][0], b))
     taken = [False] * (end - start)
     for a, b, _, _ in out:
         taken[a - start : min(b, end) - start] = [True] * (min(b, end) - a)
-    for _, _, a, b in sorted(spans):
+    for _, a, b in sorted(spans):
         if not any(taken[a - start : b - start]):
             taken[a - start : b - start] = [True] * (b - a)
             out.append((a, b, "card", pseudonym("card", text[a:b], key, back)))
     return sorted(out)
 
 
-def replaced(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, dict[str, int]]:
+def replaced(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many values of each kind it has."""
     seen: dict[str, int] = {}
     out, done, pos = [], 0, 0
@@ -256,7 +292,7 @@ def replaced(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, dict
     return "".join([*out, text[done:]]), seen
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     """doc_id, text with pseudonyms, n_values, and the count of each kind, for every row of docs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

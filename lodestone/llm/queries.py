@@ -10,6 +10,7 @@ import corpus_pipeline
 from lodestone.llm import decontamination, language_id, licences, mixing, ngram_join, oracles, perplexity, pseudonyms, quality_classifier, token_shards, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
+KEY = b"lodestone example key"  # of the query op10 only: pseudonyms that are to protect need a secret one
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -61,7 +62,7 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"))
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), KEY)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from lodestone.llm import licences, pseudonyms, token_shards
-from lodestone.llm.queries import vocabulary
+from lodestone.llm.queries import KEY, vocabulary
 
 
 @pytest.fixture(scope="module")
@@ -84,17 +84,17 @@ VALUES = {"card": "4111 1111-1111 1111", "iban": "DE89 3704 0044 0532 0130 00",
 @pytest.mark.parametrize("kind", VALUES)
 def test_pseudonyms_keep_the_format_and_invert(kind):
     value = VALUES[kind]
-    new = pseudonyms.pseudonym(kind, value)
-    assert new != value and new == pseudonyms.pseudonym(kind, value) and pseudonyms.pseudonym(kind, new, back=True) == value
+    new = pseudonyms.pseudonym(kind, value, KEY)
+    assert new != value and new == pseudonyms.pseudonym(kind, value, KEY) and pseudonyms.pseudonym(kind, new, KEY, back=True) == value
     if kind != "ip":
         assert [c.isalnum() for c in new] == [c.isalnum() for c in value]
-    text, seen = pseudonyms.replaced(f"see {value}, and {value}.")
+    text, seen = pseudonyms.replaced(f"see {value}, and {value}.", KEY)
     assert text == f"see {new}, and {new}." and seen == {kind: 2}
 
 
 def test_what_is_not_valid_stays():
     for text in ("4111 1111 1111 1112", "999.1.1.1", "2023-02-29", "000-12-3456", "DE00 3704 0044 0532 0130 00", "31.02.1999", "12345"):
-        assert pseudonyms.replaced(text) == (text, {})
+        assert pseudonyms.replaced(text, KEY) == (text, {})
 
 
 @pytest.mark.parametrize("size", [1, 2, 7, 10, 1000])
@@ -105,9 +105,9 @@ def test_permutation(size):
 
 def test_pseudonymised_table(spark, none):
     rows = [(1, "ip 23.4.5.6 here"), (2, None), (3, ""), (4, "ip 23.4.5.6 here"), (5, "plain " * 30000 + "23.4.5.6"), (None, "x")]
-    got = pseudonyms.pseudonymised(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_values int")).collect()
+    got = pseudonyms.pseudonymised(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_values int"), KEY).collect()
     by = {r["doc_id"]: r for r in got}
-    new = pseudonyms.pseudonym("ip", "23.4.5.6")
+    new = pseudonyms.pseudonym("ip", "23.4.5.6", KEY)
     assert by[1]["text"] == by[4]["text"] == f"ip {new} here" and by[5]["text"].endswith(new) and by[5]["n_ip"] == 1
     assert by[2]["text"] is None and by[3]["text"] == "" and by[None]["text"] == "x"
-    assert pseudonyms.pseudonymised(none).count() == 0
+    assert pseudonyms.pseudonymised(none, KEY).count() == 0
