@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import KIND, Texts, grams, hashes, pieces, runs, sums
-from lodestone.llm.training import Ftrl, labelled, remainder, sigmoid
+from lodestone.llm.training import Ftrl, labelled, remainder, sampled, sigmoid
 
 BITS = 20
 MOST = 3000  # labelled rows of each class that training reads
@@ -60,8 +60,7 @@ def sample(docs: DataFrame, chosen: DataFrame) -> list[tuple[int, np.ndarray]]:
                 blobs = [at[bounds[i] : bounds[i + 1]].tobytes() for i in range(texts.n)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, texts.n), pa.array(blobs, pa.binary())], names=["y", "blob"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("y", "text")
-    got = rows.mapInArrow(work, "y int, blob binary").toArrow()
+    got = sampled(docs, chosen).mapInArrow(work, "y int, blob binary").toArrow()
     found = [(y, np.frombuffer(b, np.uint32)) for y, b in zip(got["y"].to_pylist(), got["blob"].to_pylist(), strict=True)]
     return sorted(found, key=lambda x: (x[0], len(x[1]), x[1][:64].tobytes()))
 

@@ -1,7 +1,7 @@
 """Tables that stages of one operator share, written where every executor can read them.
 
-The place is ``spark.checkpoint.dir``.  Only where the session names none (tests, local runs) a
-folder of this process is set.  Lineage ends at the written files, so losing an executor costs no
+The place is ``spark.checkpoint.dir``.  Only where a local session names none (tests, local runs) a
+folder of this process is set; on a cluster it must be named.  Lineage ends at the written files, so losing an executor costs no
 more than the tasks of the running stage.
 """
 
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")

@@ -3,15 +3,20 @@
 A sentence scores sigmoid(b + sum of the weights of its distinct hashed words and word beginnings); a document is toxic
 unless all its sentences are clean (noisy-or): 1 - prod(1 - p).  Training follows the gradient of the
 document's log-likelihood through the noisy-or into the sentences, with FTRL, so from labels of whole
-documents it finds the words that make sentences toxic.  Sentences over LOCATED name the places.
+documents it finds the words that make sentences toxic.
+
+In scoring, only sentences over LOCATED enter the noisy-or; they name the places.  Of sentences with
+the same weighted words one counts, as a repeated sentence is no new evidence.  So a text's length
+alone never makes it toxic: without any such sentence its score is that of its strongest sentence,
+which is below LOCATED, and a predicted document always has an offending sentence.
 
 Training takes at most MOST labelled rows of each class, whole texts; scoring covers every row.
 Labels come only from rows whose remainder is not the held-out one.  The bias is fixed low, as most
-sentences are clean, so a text without sentences scores next to 0.
+sentences are clean.
 
 Defined cases: a null, empty or blank text has no sentence and score 0; without any usable label every
-weight is 0; repeated rows score alike; an empty table gives an empty result; other columns are
-ignored.
+weight is 0; repeated rows score alike, and teach once; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.batches import KIND, LOWER, Texts, hashes, pieces, runs
-from lodestone.llm.training import Ftrl, labelled, remainder, sigmoid
+from lodestone.llm.batches import KIND, LOWER, Texts, hashes, mixed, pieces, runs
+from lodestone.llm.training import Ftrl, labelled, remainder, sampled, sigmoid
 
 BITS = 20
 MOST = 3000  # labelled rows of each class that training reads
@@ -76,8 +81,7 @@ def sample(docs: DataFrame, chosen: DataFrame) -> list[tuple[int, np.ndarray, np
                 out = [[feature[at[i] : at[i + 1]].tobytes(), (sentence[at[i] : at[i + 1]] - first[i]).astype(np.uint32).tobytes()] for i in range(texts.n)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, texts.n), *(pa.array([x[k] for x in out], pa.binary()) for k in (0, 1))], names=["y", "feature", "sentence"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("y", "text")
-    got = rows.mapInArrow(work, "y int, feature binary, sentence binary").toArrow().to_pydict()
+    got = sampled(docs, chosen).mapInArrow(work, "y int, feature binary, sentence binary").toArrow().to_pydict()
     found = [(y, np.frombuffer(f, np.uint32), np.frombuffer(s, np.uint32)) for y, f, s in zip(got["y"], got["feature"], got["sentence"], strict=True)]
     return sorted(found, key=lambda x: (x[0], len(x[1]), x[1][:64].tobytes()))
 
@@ -107,14 +111,32 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, epoc
     return model.weights().astype(np.float32)
 
 
-def sentence_scores(texts: Texts, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of each sentence, and where each text's sentences begin."""
+def sentence_scores(texts: Texts, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probability of each sentence, a number for its weighted words, and where each text's sentences begin."""
     feature, sentence, first = instances(texts)
     value = weights[feature]
     hot = np.flatnonzero(value)  # few words carry weight; only those are made distinct by sentence
     pair, where = np.unique(sentence[hot].astype(np.uint64) << np.uint64(32) | feature[hot], return_index=True)
-    total = np.bincount((pair >> np.uint64(32)).astype(np.int64), value[hot][where], int(first[-1]))
-    return sigmoid(total + BIAS), first
+    of = (pair >> np.uint64(32)).astype(np.int64)
+    total = np.bincount(of, value[hot][where], int(first[-1]))
+    same = np.zeros(int(first[-1]), np.uint64)
+    np.add.at(same, of, mixed(pair & np.uint64(0xFFFFFFFF)))
+    return sigmoid(total + BIAS), same, first
+
+
+def document_scores(p: np.ndarray, same: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's noisy-or of its different sentences over LOCATED, or else its strongest sentence; those over LOCATED."""
+    n = len(first) - 1
+    strongest = np.zeros(n)
+    full = np.flatnonzero(np.diff(first) > 0)
+    if len(full):
+        strongest[full] = np.maximum.reduceat(p, first[:-1][full])
+    bad = np.flatnonzero(p >= LOCATED)
+    doc = np.searchsorted(first, bad, "right") - 1
+    key = mixed(same[bad] ^ mixed(doc.astype(np.uint64)))
+    _, once = np.unique(key, return_index=True)
+    clean = np.bincount(doc[once], np.log1p(-np.minimum(p[bad][once], 1 - 1e-9)), n)
+    return np.maximum(1 - np.exp(clean), strongest), bad
 
 
 def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", by: int = 5, held_out: int = 0) -> DataFrame:
@@ -130,10 +152,8 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", by: int = 5
         weights = model.value
         for batch in batches:
             for texts in pieces(batch.column(2)):
-                p, first = sentence_scores(texts, weights)
-                clean = np.concatenate(([0.0], np.cumsum(np.log1p(-np.minimum(p, 1 - 1e-9)))))
-                score = np.clip(1 - np.exp(clean[first[1:]] - clean[first[:-1]]), 0.0, 1.0)
-                bad = np.flatnonzero(p >= LOCATED)
+                p, same, first = sentence_scores(texts, weights)
+                score, bad = document_scores(p, same, first)
                 of = np.searchsorted(bad, first)
                 offending = pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(bad - np.repeat(first[:-1], np.diff(of)), pa.int32()))
                 own = [batch.column(k).slice(texts.first, texts.n) for k in (0, 1)]

@@ -28,6 +28,16 @@ def labelled(labels: DataFrame, label: str, by: int, held_out: int, most: int) -
     return parts[0].unionByName(parts[1])
 
 
+def sampled(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(y, text): each different text of the chosen identifiers once, at most as many as were chosen.
+
+    Of one identifier with several texts the one with the smallest hash is taken, so rows that share
+    an identifier don't enlarge the sample.
+    """
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "y", "text")
+    return rows.groupBy("id").agg(F.min_by(F.struct("y", "text"), F.struct(F.xxhash64("text"), "text")).alias("row")).select("row.y", "row.text")
+
+
 class Ftrl:
     """FTRL-proximal for sparse rows; weights may have several columns (one for each class)."""
 
