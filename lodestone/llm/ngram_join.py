@@ -10,14 +10,13 @@ Exact, in these steps; a set is a sorted array of 64-bit n-gram hashes, and equa
    all but so many that the others could not make up the overlap.  Each list is sorted by set size and
    cut into blocks where sizes are too far apart to link, so whole blocks are skipped by position;
    neighbours within a block are joined into candidate clusters.
-4. Answers.  In a cluster sets come by size.  Each is compared with pivots, through lists that are
-   entered at the first position whose size can link; one that links to a pivot takes over the
-   pivot's answers: as Jaccard distance is a metric, a set farther from the pivot than the threshold
-   plus the radius of the pivot's followers can link with none of them.  Only what this leaves open is
-   compared one by one, and only between sets not connected yet.
+4. Answers.  Within a cluster lists are entered and left by position, and answers are derived from
+   those of pivots (cluster_links.py).
 
-A cluster of more than CLUSTER n-grams is dealt over several tasks, solved apart, its parts'
-representatives compared, and what is then still unconnected is joined over the index (unsettled()).
+A cluster of more than CLUSTER n-grams is never in one task: it is dealt by the least of its sets'
+n-gram hashes, which similar sets mostly share, and what is solved apart goes on as components; after
+ROUNDS such rounds the sets that still share a prefix n-gram over different components are solved by
+that n-gram, in pairs of parts where it stands in too many (unsettled()).
 
 Defined cases: texts without words, or null, have the empty set, link with nothing and are their own
 component; fewer than n words make one n-gram of all; repeated rows fall into one class; rows with a
@@ -28,6 +27,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.llm.batches import LOWER, Texts, grams, hashes, mixed, pieces, words
+from lodestone.llm.cluster_links import need, solved
 from lodestone.llm.components import components
 from lodestone.llm.shared import shared_table
 
@@ -44,11 +45,8 @@ PERCENT = 75
 CLUSTER = 4_000_000  # n-grams of one cluster that one task takes
 SENT = 1_000_000  # rows of two numbers that are broadcast
 FLUSH = 1 << 21  # n-grams that a task gathers before it deals them
-
-
-def need(n: np.ndarray, percent: int) -> np.ndarray:
-    """The least overlap of a set of size n with any that it links to."""
-    return -(-n * percent // 100)
+DEAL = 3_000_000  # n-grams, 20 bytes each, that a task takes of those dealt by hash
+ROUNDS = 2
 
 
 def sets(texts: Texts, words_each: int) -> tuple[np.ndarray, np.ndarray]:
@@ -249,76 +247,6 @@ def clusters(table: DataFrame, percent: int, parts: int) -> DataFrame:
     return dealt(table.select("cls", "n", "tokens").mapInArrow(deal, DEALT), parts).mapInArrow(chain, "a long, b long")
 
 
-class Union:
-    """Union-find over 0 .. n-1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
-
-
-def solved(size: np.ndarray, rows: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set (by ascending size) the first set of its component of links."""
-    m = len(rows)
-    both = Union(m)
-    flat = np.unique(np.concatenate(rows), return_inverse=True)[1]
-    bounds = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
-    ids = [flat[bounds[i] : bounds[i + 1]] for i in range(m)]
-    lists: list[list[int]] = [[] for _ in range(int(flat.max()) + 1)]
-    pivots: list[int] = []
-    pivot_of, apart = np.zeros(m, np.int64), np.zeros(m)
-
-    def overlaps(i: int) -> np.ndarray:
-        return np.bincount([p for t in ids[i].tolist() for p in lists[t]], minlength=len(pivots))
-
-    for i in range(m):
-        if pivots:
-            # positions of pivots ascend in size: those before the first that can link are skipped
-            skip = int(np.searchsorted(size[pivots], need(size[i], percent)))
-            o = overlaps(i)[skip:]
-            union = size[i] + size[pivots[skip:]] - o
-            linked = np.flatnonzero(100 * o >= percent * union)
-            if len(linked):
-                for p in linked:
-                    both.join(i, pivots[skip + p])
-                distance = 1 - o[linked] / union[linked]
-                best = int(distance.argmin())
-                pivot_of[i], apart[i] = skip + linked[best], distance[best]
-                continue
-        pivot_of[i] = len(pivots)
-        for t in ids[i].tolist():
-            lists[t].append(len(pivots))
-        pivots.append(i)
-    if len({both.find(p) for p in pivots}) > 1:
-        follow = [np.flatnonzero(pivot_of == p) for p in range(len(pivots))]
-        radius = np.array([apart[f].max() for f in follow])
-        mark, limit = np.zeros(len(lists), bool), 1 - percent / 100 + 1e-9
-        for i in range(m):
-            o = overlaps(i)
-            distance = 1 - o / (size[i] + size[pivots] - o)
-            for p in np.flatnonzero((distance <= limit + radius) & (o > 0)):
-                if both.find(pivots[p]) == both.find(i):
-                    continue
-                own = follow[p][apart[follow[p]] >= distance[p] - limit]
-                mark[ids[i]] = True
-                for j in own:
-                    if both.find(j) != both.find(i) and min(size[i], size[j]) * 100 >= percent * max(size[i], size[j]):
-                        o_j = int(mark[ids[j]].sum())
-                        if 100 * o_j >= percent * (size[i] + size[j] - o_j):
-                            both.join(i, j)
-                mark[ids[i]] = False
-    return np.array([both.find(i) for i in range(m)])
-
-
 def answers(grouped: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """(cls, root) for the sets of each group."""
 
@@ -332,55 +260,76 @@ def answers(grouped: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return grouped.groupBy(*keys).applyInArrow(work, "cls long, root long")
 
 
-def unsettled(table: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between sets of a large cluster that are not connected yet (by label), over the index.
+def in_parts(weighed: DataFrame, keys: list[str], most: int, seed: int) -> DataFrame:
+    """weighed (with columns cls and n_held) with column part: groups of over most n-grams are dealt over several."""
+    heavy = weighed.groupBy(*keys).agg(F.ceil(F.sum("n_held") / most).alias("parts")).filter("parts > 1")
+    heavy = shared_table(heavy, "heavy-groups")
+    both = weighed.join(F.broadcast(heavy) if heavy.count() <= SENT else heavy, keys, "left")
+    return both.withColumn("part", F.coalesce(F.pmod(F.xxhash64("cls", F.lit(seed)), "parts"), F.lit(0)))
+
+
+def round_of(table: DataFrame, seed: int, percent: int, most: int) -> DataFrame:
+    """(cls, root): sets (cls, n, tokens, cluster) solved by groups of one cluster and least hash, or parts of such."""
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = [int(mixed(np.frombuffer(b, np.uint64) ^ np.uint64(seed)).min().view(np.int64)) for b in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.int64())], names=[*batch.schema.names, "least"])
+
+    keyed = table.select("cls", "n", "tokens", "cluster").mapInArrow(least, "cls long, n long, tokens binary, cluster long, least long")
+    keyed = shared_table(keyed.withColumn("n_held", F.length("tokens") / 8), "keyed-sets")
+    return answers(in_parts(keyed, ["cluster", "least"], most, seed), ["cluster", "least", "part"], percent)
+
+
+def unsettled(table: DataFrame, percent: int, most: int) -> DataFrame:
+    """(cls, root) of links between sets (cls, n, tokens, label) of different labels.
 
-    Meets only sets of different labels that share a prefix n-gram and fit in size; each pair is
-    verified once.
+    Any such link shares a prefix n-gram, so each n-gram that stands in prefixes of different labels
+    makes a group of its sets, solved as clusters are.  A group of more than most n-grams is cut into
+    parts and every two parts are solved together.
     """
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c, n, blob, label in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 own = prefix(np.frombuffer(blob, np.uint64), n, percent).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([c] * len(own), pa.int64()), pa.array([n] * len(own), pa.int64()), pa.array([label] * len(own), pa.int64())], names=["token", "cls", "n", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(np.full(len(own), x)) for x in (c, label, len(blob) // 8))], names=["token", "cls", "label", "n_held"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, n, k, x, y = (batch.column(i).to_pylist() for i in range(6))
-            o = [len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(x, y, strict=True)]
-            ok = [100 * c >= percent * (i + j - c) for c, i, j in zip(o, n, k, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, good in zip(s, ok, strict=True) if good], pa.int64()) for s in (a, b)], names=["a", "b"])
-
-    post = shared_table(table.select("cls", "n", "tokens", "label").mapInArrow(index, "token long, cls long, n long, label long"), "large-index")
-    other = post.select("token", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "label")])
-    pairs = post.join(other, "token").filter((F.col("label") < F.col("label2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))).select("cls", "cls2").distinct()
-    left = table.select("cls", "n", "tokens")
-    right = table.select(F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("tokens").alias("tokens2"))
-    return pairs.join(left, "cls").join(right, "cls2").select("cls", "cls2", "n", "n2", "tokens", "tokens2").mapInArrow(verify, "a long, b long")
-
-
-def roots(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT, cluster: int = CLUSTER) -> DataFrame:
-    """(cls, root) of the classes that have a link to another class."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    post = shared_table(table.select("cls", "n", "tokens", "label").mapInArrow(index, "token long, cls long, label long, n_held long"), "large-index")
+    mixed_ = post.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(2 * F.sum("n_held") / most).alias("parts")).filter("x <> y").select("token", "parts")
+    wanted = post.join(mixed_, "token").withColumn("part", F.pmod(F.xxhash64("cls"), "parts"))
+    # with k parts the pairs of one part with itself are left out, unless it is the only one
+    other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, F.col("part")).alias("a"), F.greatest(i, F.col("part")).alias("b")))
+    pair = F.explode(F.filter(other, lambda p: (p["a"] != p["b"]) | (F.col("parts") == 1))).alias("pair")
+    groups = wanted.select("token", "cls", pair).select("token", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), "cls")
+    return answers(groups.join(table.select("cls", "n", "tokens"), "cls"), ["token", "a", "b"], percent).filter("cls <> root")
+
+
+def roots(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT, cluster: int = CLUSTER, parts: int | None = None) -> DataFrame:
+    """(cls, root) of the classes that have a link to another class; parts: of n-grams dealt by hash."""
+    parts = max(parts or 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     table = shared_table(shared(docs, words_each, percent, parts), "shared-sets")
     near = shared_table(components(clusters(table, percent, parts), "clusters"), "cluster-roots")
     # two numbers for each clustered class: sent to the sets while few enough, or else dealt like them
     small_enough = near.count() <= SENT
     sized = table.join(F.broadcast(near) if small_enough else near, table["cls"] == near["node"]).select("cls", "n", "tokens", F.col("root").alias("cluster"))
     weight = sized.groupBy("cluster").agg(F.sum(F.length("tokens") / 8).alias("held"))
-    large = shared_table(weight.filter(F.col("held") > cluster), "large-clusters")
+    large = shared_table(weight.filter(F.col("held") > cluster).select("cluster"), "large-clusters")
     if not large.limit(1).count():
         return answers(sized, ["cluster"], percent)
     sized = shared_table(sized, "clustered-sets")
     small = answers(sized.join(large, "cluster", "left_anti"), ["cluster"], percent)
-    salted = sized.join(large, "cluster").withColumn("salt", F.pmod(F.xxhash64("cls"), F.ceil(F.col("held") / cluster)))
-    apart = shared_table(answers(salted, ["cluster", "salt"], percent), "large-parts")
-    # the parts' representatives meet, then all that is still not connected
-    heads = salted.join(apart.select("root").distinct(), F.col("cls") == F.col("root")).drop("root")
-    met = components(apart.select(F.col("cls").alias("a"), F.col("root").alias("b")).unionByName(answers(heads, ["cluster"], percent).select(F.col("cls").alias("a"), F.col("root").alias("b"))), "large-met")
-    labelled = salted.join(met, salted["cls"] == met["node"], "left").select("cls", "n", "tokens", F.coalesce("root", "cls").alias("label"))
-    links = unsettled(shared_table(labelled, "large-sets"), percent).unionByName(met.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    whole = shared_table(sized.join(large, "cluster", "left_semi").select("cls", "n", "tokens", "cluster"), "large-sets")
+    heads, ties = whole, []
+    for seed in range(1, ROUNDS + 1):  # the first sets of the components so far are dealt anew
+        tied = shared_table(round_of(heads, seed, percent, cluster), "large-round")
+        ties.append(tied.filter("cls <> root"))
+        heads = shared_table(heads.join(tied.filter("cls = root").select("cls"), "cls", "left_semi"), "large-heads")
+    links = reduce(DataFrame.unionByName, ties).select(F.col("cls").alias("a"), F.col("root").alias("b"))
+    met = shared_table(components(links, "large-met"), "large-labels")
+    labelled = whole.join(met, whole["cls"] == met["node"], "left").select("cls", "n", "tokens", F.coalesce("root", "cls").alias("label"))
+    late = unsettled(shared_table(labelled, "large-labelled"), percent, cluster)
+    links = met.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     return small.unionByName(components(links, "large-links").select(F.col("node").alias("cls"), "root"))
 
 
@@ -388,7 +337,8 @@ def linked(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT, clu
     """(doc_id, n_shingles, component_id, cls, root) for every row of docs; root numbers the component."""
     rows = shared_table(classes(docs, words_each), "set-classes")
     heads = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("head"))
-    root = roots(docs, words_each, percent, cluster)
+    held = rows.dropDuplicates(["cls"]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    root = roots(docs, words_each, percent, cluster, -(-held // DEAL))
     named = heads.join(root, "cls", "left").select("cls", "head", F.coalesce("root", "cls").alias("root"))
     named = shared_table(named, "class-roots")
     first = named.groupBy("root").agg(F.min("head").alias("component_id"))
