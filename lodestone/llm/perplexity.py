@@ -16,8 +16,9 @@ No n-gram is left out, however many there are.  Spark sums up those that stand o
 others are held as arrays, 12 bytes for each and for each context, by the driver and each worker.
 
 A document is kept unless a base rule fails or its log-perplexity lies outside its language's band,
-which spans REACH robust deviations around the median of all its different texts that pass the base
-rules (the spread of short texts is allowed for).  Models and bands count equal texts of a language
+which spans BELOW and ABOVE robust deviations around the median of all its different texts that pass
+the base rules; a short text's error, one over the root of its length, is added to the deviation as
+independent errors add up.  Models and bands count equal texts of a language
 once, so copies, however many, don't move them.
 
 Words: ``[^\\x20\\x09-\\x0D]+``.  Defined cases: null text has no words and fails; a null language is
@@ -40,7 +41,7 @@ from lodestone.llm.shared import shared_table
 ORDER = 5
 FOLD = 12
 LEAST = 2  # an n-gram that stands once in all documents tells nothing of any other document
-REACH = 6.0
+BELOW, ABOVE = 3.5, 8.0  # how many deviations a band reaches; high values have a longer tail in clean texts
 BIN = 0.005  # width of the histogram bins of log-perplexity
 SYMBOL = np.zeros(256, np.uint8)
 SYMBOL[list(b"#*$%&|<>")] = 1
@@ -264,9 +265,9 @@ def judged(docs: DataFrame) -> DataFrame:
     table = shared_table(table, "perplexities")
     band = docs.sparkSession.createDataFrame(bands(table), "band_lang string, middle double, below double, above double")
     # a text of few characters strays further: its mean has a larger error
-    stray = F.lit(1.0) / F.sqrt(F.greatest("n_chars", F.lit(1)))
-    least = F.col("middle") - REACH * (F.col("below") + stray)
-    most = F.col("middle") + REACH * (F.col("above") + stray)
+    error = F.lit(1.0) / F.greatest("n_chars", F.lit(1))
+    least = F.col("middle") - BELOW * F.sqrt(F.col("below") * F.col("below") + error)
+    most = F.col("middle") + ABOVE * F.sqrt(F.col("above") * F.col("above") + error)
     out = table.join(band, F.col("lang").eqNullSafe(F.col("band_lang")), "left")
     inside = F.coalesce(F.col("log_ppl").between(least, most), F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_ppl", least.alias("least_log_ppl"), most.alias("most_log_ppl"))
