@@ -38,7 +38,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from lodestone.llm.batches import LOWER, Texts, grams, hashes, mixed, pieces, words
 from lodestone.llm.cluster_links import need, solved
 from lodestone.llm.components import components
-from lodestone.llm.shared import shared_table
+from lodestone.llm.shared import shared_table, temporary
 
 WORDS = 5
 PERCENT = 75
@@ -309,7 +309,7 @@ def roots(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT, clus
     """(cls, root) of the classes that have a link to another class; parts: of n-grams dealt by hash."""
     parts = max(parts or 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     table = shared_table(shared(docs, words_each, percent, parts), "shared-sets")
-    near = shared_table(components(clusters(table, percent, parts), "clusters"), "cluster-roots")
+    near = components(clusters(table, percent, parts), "clusters")
     # two numbers for each clustered class: sent to the sets while few enough, or else dealt like them
     small_enough = near.count() <= SENT
     sized = table.join(F.broadcast(near) if small_enough else near, table["cls"] == near["node"]).select("cls", "n", "tokens", F.col("root").alias("cluster"))
@@ -326,7 +326,7 @@ def roots(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT, clus
         ties.append(tied.filter("cls <> root"))
         heads = shared_table(heads.join(tied.filter("cls = root").select("cls"), "cls", "left_semi"), "large-heads")
     links = reduce(DataFrame.unionByName, ties).select(F.col("cls").alias("a"), F.col("root").alias("b"))
-    met = shared_table(components(links, "large-met"), "large-labels")
+    met = components(links, "large-met")
     labelled = whole.join(met, whole["cls"] == met["node"], "left").select("cls", "n", "tokens", F.coalesce("root", "cls").alias("label"))
     late = unsettled(shared_table(labelled, "large-labelled"), percent, cluster)
     links = met.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late.select(F.col("cls").alias("a"), F.col("root").alias("b")))
@@ -338,9 +338,10 @@ def linked(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT, clu
     rows = shared_table(classes(docs, words_each), "set-classes")
     heads = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("head"))
     held = rows.dropDuplicates(["cls"]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    root = roots(docs, words_each, percent, cluster, -(-held // DEAL))
-    named = heads.join(root, "cls", "left").select("cls", "head", F.coalesce("root", "cls").alias("root"))
-    named = shared_table(named, "class-roots")
+    with temporary(docs.sparkSession):
+        root = roots(docs, words_each, percent, cluster, -(-held // DEAL))
+        named = heads.join(root, "cls", "left").select("cls", "head", F.coalesce("root", "cls").alias("root"))
+        named = shared_table(named, "class-roots", outer=1)
     first = named.groupBy("root").agg(F.min("head").alias("component_id"))
     of_class = named.join(first, "root").select(F.col("cls").alias("c"), "component_id", "root")
     return rows.join(of_class, F.col("cls") == F.col("c"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "cls", "root")

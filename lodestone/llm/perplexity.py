@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.batches import SPACE, Texts, code_points, grams, hashes, mixed, pieces, words
-from lodestone.llm.shared import shared_table
+from lodestone.llm.shared import shared_table, temporary
 
 ORDER = 5
 FOLD = 12
@@ -261,7 +261,9 @@ def bands(table: DataFrame) -> list[tuple]:
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, kept, log_ppl and the band, for every row of docs."""
     different = docs.select("lang", "text", F.md5("text").alias("text_hash")).dropDuplicates(["lang", "text_hash"])
-    table = scored(docs, models(different)).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    with temporary(docs.sparkSession):
+        model = models(different)
+    table = scored(docs, model).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     table = shared_table(table, "perplexities")
     band = docs.sparkSession.createDataFrame(bands(table), "band_lang string, middle double, below double, above double")
     # a text of few characters strays further: its mean has a larger error

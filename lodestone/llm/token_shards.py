@@ -340,7 +340,10 @@ def read(spark: SparkSession, shards: list[tuple[str, int]]) -> DataFrame:
 
 
 def export(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
-    """Write docs as shards, then the digest of what the files hold."""
+    """Write docs as shards, then the digest of what the files hold.
+
+    The shards stay in folder, which must be new; without one they go when the driver ends.
+    """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "shards")
     return read(spark, manifest(spark, write(docs, folder, vocabulary, end_id, remembered=remembered)))
