@@ -27,9 +27,9 @@ from lodestone.llm.shared import shared_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # what no word of any case holds
-INSIDE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WIDTH = 13
 MOST_ANCHORS = 500_000  # rows of one broadcast hash set; a larger benchmark is probed in blocks
+MOST_BYTES = 128 << 20  # and bytes of its words
 
 
 def ascii_lower(text: Column) -> Column:
@@ -71,11 +71,13 @@ def run_length(ours: Column, theirs: Column) -> Column:
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, text_hash, item_id, first, last): runs of words of documents that are in items.
 
-    first and last are positions in ``split(text, BETWEEN)``.  The anchors are counted first: up to
-    MOST_ANCHORS are broadcast as one hash set, more in blocks of items.
+    first and last are positions in ``split(text, BETWEEN)``.  The anchors are measured first: up to
+    MOST_ANCHORS of MOST_BYTES together are broadcast as one hash set, more in blocks.
     """
     places = shared_table(anchors(benchmark, width), "anchors")
-    blocks = max(1, -(-places.count() // MOST_ANCHORS))
+    held = F.length("anchor") + F.length(F.array_join("left", " ")) + F.length(F.array_join("right", " "))
+    rows, size = places.agg(F.count("*"), F.coalesce(F.sum(held), F.lit(0))).first()
+    blocks = max(1, -(-rows // MOST_ANCHORS), -(-size // MOST_BYTES))
     parts = [places.filter(F.pmod(F.xxhash64("anchor", "left", "right"), F.lit(blocks)) == k) if blocks > 1 else places for k in range(blocks)]
     found = [probed(docs, part, width) for part in parts]
     return reduce(DataFrame.unionByName, found).distinct()
@@ -129,17 +131,15 @@ def probed(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
 def judged(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row per document: doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = hits(docs, benchmark, width)
-    # words covered by the union of runs: each run adds what lies beyond the furthest end so far
+    # words covered by the union of runs: each run adds what lies beyond the furthest end so far, so a
+    # run that another item has too adds nothing more
     order = Window.partitionBy("doc_id", "text_hash").orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.col("last") - F.greatest(F.col("first") - 1, F.coalesce(reach, F.lit(-1))), F.lit(0))
-    runs = found.select("doc_id", "text_hash", "first", "last").distinct().withColumn("fresh", fresh)
-    covered = runs.groupBy("doc_id", "text_hash").agg(F.sum("fresh").cast("long").alias("n_hit"))
-    items = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    per_doc = covered.join(items, covered["doc_id"].eqNullSafe(items["doc_id"]) & (covered["text_hash"] == items["text_hash"])).select(
-        covered["doc_id"].alias("hit_doc"), covered["text_hash"].alias("hit_hash"), "n_hit", "items"
-    )
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(INSIDE)), F.lit(0)).cast("long").alias("n_words"))
+    per_doc = found.withColumn("fresh", fresh).groupBy(F.col("doc_id").alias("hit_doc"), F.col("text_hash").alias("hit_hash"))
+    per_doc = per_doc.agg(F.sum("fresh").cast("long").alias("n_hit"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    n_words = F.coalesce(F.size(F.filter(F.split("text", BETWEEN), lambda w: w != "")), F.lit(0)).cast("long")
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), n_words.alias("n_words"))
     out = base.join(per_doc, base["doc_id"].eqNullSafe(F.col("hit_doc")) & (base["text_hash"] == F.col("hit_hash")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
