@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import dedup, enhance, prompts, providers, rerank, search, validate
+from lodestone.operators.tables import stored
 from lodestone.sources import files, parse
 
 
@@ -72,12 +73,14 @@ class Engine:
         asked = self.spark.createDataFrame([(i, q, v) for i, (q, v) in enumerate(zip(questions, self.embed(questions), strict=True))], "query_id long, text string, query array<double>")
         points = self.table("points").filter(search.filters(**filters))
         dense = search.dense(points.select("id", F.col("embedding").alias("vector")), asked.select("query_id", "query"), 50)
-        sparse = search.sparse(points.select("id", F.concat_ws("\n", "code", "docstring", "qualified_name", "signature").alias("text")), asked.select("query_id", "text"), 30)
-        hits = search.fused([(dense, 1), (sparse, 1)], 50).select("query_id", "id")
-        body = points.select("id", enhance.joined_fields("qualified_name", "name", "docstring", "code", "signature").alias("text"), "embedding")
-        both = hits.join(body, "id").join(asked.select("query_id", F.col("text").alias("asked"), F.col("query").alias("vector")), "query_id")
-        scored = both.select("query_id", "id", F.col("asked").alias("query"), "text", F.round(search.V.cosine(F.col("embedding"), F.col("vector")), 6).alias("semantic"))
-        return rerank.reranked(scored, self.settings.least_quality).filter(F.col("rank") <= most).drop("query", "text")
+        own = search.index(points.select("id", F.concat_ws("\n", "code", "docstring", "qualified_name", "signature").alias("text")))
+        sparse = search.sparse(own, asked.select("query_id", "text"), 30)
+        pairs = stored(search.fused([(dense, 1), (sparse, 1)], 50).select("query_id", "id"), "hits")
+        body = points.select("id", enhance.joined_fields("qualified_name", "name", "docstring", "code", "signature").alias("text"))
+        hits = rerank.relevances(pairs, asked.select("query_id", "text"), body)
+        both = hits.join(points.select("id", "embedding"), "id").join(asked.select("query_id", F.col("query").alias("vector")), "query_id")
+        scored = both.select("query_id", "id", "relevance", F.round(search.V.cosine(F.col("embedding"), F.col("vector")), 6).alias("semantic"))
+        return rerank.reranked(scored, self.settings.least_quality).filter(F.col("rank") <= most)
 
     def prompts(self, questions: list[str], most: int = 5) -> DataFrame:
         """(query_id, prompt) of each question, from what it retrieves."""

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.search import small
+from lodestone.operators.tables import stored
+
 
 def edges(*kinds: tuple[DataFrame, str, str, str]) -> DataFrame:
     """(src, dst, type): one edge for each pair of keys in each (table, src, dst, type)."""
@@ -26,14 +29,17 @@ def reach(e: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, node, depth): nodes within so many hops of starts (start), at their least depth.
 
     Breadth first, a join for each hop; what was reached before is left out of the next hop, so paths
-    never multiply.
+    never multiply.  Each frontier is written, so a hop's plan holds that hop only; the walk ends early
+    where a frontier is empty.  The result has a row for each start and node: give the starts that are
+    asked for.
     """
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
-    front = seen
-    step = e.select("src", "dst").distinct()
+    step = stored(e.select("src", "dst").distinct(), "edges")
+    seen = front = stored(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct(), "front-0")
     for hop in range(1, depth + 1):
         found = front.join(step, front["node"] == step["src"]).select("start", F.col("dst").alias("node")).distinct()
-        front = found.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(hop))
+        front = stored(found.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(hop)), f"front-{hop}")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
@@ -46,16 +52,52 @@ def direct(e: DataFrame) -> DataFrame:
     return both.select("node", F.coalesce("dependencies", F.lit(0)).alias("dependencies"), F.coalesce("dependents", F.lit(0)).alias("dependents"))
 
 
-def cycles(e: DataFrame, depth: int) -> DataFrame:
-    """(node): nodes that a path of at most so many edges leads back to."""
-    starts = e.select(F.col("src").alias("start")).distinct()
-    walk = e.join(starts, e["src"] == starts["start"]).select("start", F.col("dst").alias("node")).distinct()
-    found = walk.filter("start = node").select(F.col("start").alias("node"))
-    step = e.select("src", "dst").distinct()
-    for _ in range(depth - 1):
-        walk = walk.join(step, walk["node"] == step["src"]).select("start", F.col("dst").alias("node")).distinct()
-        found = found.unionByName(walk.filter("start = node").select(F.col("start").alias("node")))
-    return found.distinct()
+def spread(value: DataFrame, step: DataFrame, better) -> DataFrame:
+    """(node, v): each node's best value among its own and those of all nodes that lead to it.
+
+    Only nodes whose value changed hand it on.
+    """
+    front = value
+    while True:
+        given = step.join(front, step["src"] == front["node"]).select(F.col("dst").alias("node"), "v", F.lit(None).alias("old"))
+        both = value.select("node", "v", F.col("v").alias("old")).unionByName(given).groupBy("node")
+        new = stored(both.agg(better("v").alias("v"), better("old").alias("old")), "spread")
+        value, front = new.select("node", "v"), new.filter(~F.col("v").eqNullSafe(F.col("old"))).select("node", "v")
+        if front.isEmpty():
+            return value
+
+
+def cycles(e: DataFrame) -> DataFrame:
+    """(node): nodes on a cycle of any length.
+
+    Nodes without an edge in or out go first, as long as there are any.  Then each node takes the
+    largest name that leads to it; nodes of one name from which its bearer is reached back are on a
+    cycle with it (a strongly connected component).  Those are taken out, and the rest starts anew.
+    Every step is a join and an aggregation of all edges that are left; no walk is held.
+    """
+    e = e.select("src", "dst").distinct()
+    found = stored(e.filter("src = dst").select(F.col("src").alias("node")), "cycles")
+    live = stored(e.filter("src <> dst"), "live")
+    while True:
+        before = -1
+        while (left := live.count()) and left != before:
+            into, out = live.select(F.col("dst").alias("node")).distinct(), live.select(F.col("src").alias("node")).distinct()
+            both = into.join(out, "node")
+            live = stored(live.join(both.select(F.col("node").alias("src")), "src", "left_semi").join(both.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "live")
+            before = left
+        if not left:
+            return found.distinct()
+        names = live.select(F.col("src").alias("node")).unionByName(live.select(F.col("dst").alias("node"))).distinct()
+        name = spread(stored(names.select("node", F.col("node").alias("v")), "names"), live, F.max)
+        ours, theirs = name.select(F.col("node").alias("src"), F.col("v").alias("name")), name.select(F.col("node").alias("dst"), F.col("v").alias("other"))
+        inside = stored(live.join(ours, "src").join(theirs, "dst").filter("name = other").select("src", "dst"), "inside")
+        back = spread(name.select("node", (F.col("node") == F.col("v")).alias("v")), reversed_edges(inside), F.max)
+        # a bearer alone, without an edge from within its name, is on no cycle
+        whole = back.filter("v").select("node")
+        many = name.join(whole, "node").groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select("v")
+        found = stored(found.unionByName(name.join(whole, "node").join(many, "v", "left_semi").select("node")), "cycles")
+        gone = stored(whole, "gone")
+        live = stored(live.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "live")
 
 
 def proximity(depth):
@@ -63,7 +105,24 @@ def proximity(depth):
 
 
 def within_budget(rows: DataFrame, size: str, budget: int, score: str, key: str, *by: str) -> DataFrame:
-    """Rows by score until the first that would exceed the budget of their group."""
+    """rows with total, by score until the first that would exceed the budget of their group; key is unique.
+
+    Sizes are summed by group and score first, so only rows down to the score at which the budget ends
+    are sorted; and of those with a size, as each has one at least, no more than the budget.  Rows of
+    size 0 take part as they are.
+    """
+    rows = rows.filter(F.col(size).isNotNull())
+    bars = rows.groupBy(*by, score).agg(F.sum(size).alias("bar"))
+    upto = F.sum("bar").over(Window.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # the best score at which the budget is exceeded; a group that never exceeds it has none
+    ends = bars.withColumn("upto", upto).filter(F.col("upto") > budget).groupBy(*by).agg(F.max(score).alias("least"))
+    ends = small(stored(ends.select(*[F.col(c).alias(f"{c}_end") for c in by], "least"), "budget-ends"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_end"))
+    near = rows.join(ends, same, "left").filter(F.col("least").isNull() | (F.col(score) >= F.col("least"))).select(*rows.columns)
     order = Window.partitionBy(*by).orderBy(F.col(score).desc(), key)
-    total = rows.withColumn("total", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    some = near.filter(F.col(size) > 0).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= budget + 1).drop("nth")
+    both = some.unionByName(near.filter(F.col(size) <= 0))
+    total = both.withColumn("total", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return total.filter(F.col("total") <= budget)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import let, terms
+from lodestone.operators.tables import stored
 
 
 def shingles(docs: DataFrame, words: int) -> DataFrame:
@@ -22,7 +22,7 @@ def shingles(docs: DataFrame, words: int) -> DataFrame:
 
 def members(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, head): each document with shingles and the smallest doc_id of its equal set, which stands for it in pairs."""
-    own = shingles(docs, words).select("doc_id", "n", F.xxhash64("grams").alias("h")).persist(StorageLevel.DISK_ONLY)
+    own = stored(shingles(docs, words).select("doc_id", "n", F.xxhash64("grams").alias("h")), "near-sets")
     heads = own.groupBy("h", "n").agg(F.min("doc_id").alias("head"))
     return own.join(heads, ["h", "n"]).select("doc_id", "head")
 
@@ -34,7 +34,7 @@ def pairs(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     each other.  N-grams of one class only cannot make a pair and are left out; of the others a class
     brings its rarest ones, as many as any similar class must share one of, to the join.
     """
-    own = shingles(docs, words).withColumn("h", F.xxhash64("grams")).persist(StorageLevel.DISK_ONLY)
+    own = stored(shingles(docs, words).withColumn("h", F.xxhash64("grams")), "near-sets")
     heads = own.groupBy("h", "n").agg(F.min("doc_id").alias("doc_id"))
     sets = own.join(heads.select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "grams")
     gram = sets.select("doc_id", "n", F.explode("grams").alias("g"))

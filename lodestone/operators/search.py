@@ -1,4 +1,9 @@
-"""Dense, sparse and hybrid search as joins; every query of a batch is ranked apart."""
+"""Dense, sparse and hybrid search; every query of a batch is ranked apart.
+
+Texts are split into words once, into an index with one row for each document (index()); statistics,
+frequencies and matches are read from its columns.  A document's terms are counted within its row, so
+building the index shuffles nothing.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +12,16 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
+from lodestone.operators import nearest
+from lodestone.operators.tables import stored
+
+DIGITS = nearest.DIGITS
+SENT = 1_000_000  # rows that are broadcast at most
 
-DIGITS = 6  # scores are ranked as rounded, so that engines agree on ties
-MOST_QUERIES = 10_000  # vectors of one broadcast block
 
-SCORES = {
-    "cosine": (V.cosine, True),
-    "dot": (V.dot, True),
-    "euclid": (V.euclid, False),
-    "manhattan": (V.manhattan, False),
-}
+def small(df: DataFrame, most: int = SENT) -> DataFrame:
+    """A stored table, marked for broadcast while it has few rows."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def best(hits: DataFrame, most: int, *by: str, score: str = "score", descending: bool = True, key: str = "id") -> DataFrame:
@@ -25,43 +30,60 @@ def best(hits: DataFrame, most: int, *by: str, score: str = "score", descending:
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, key))).filter(F.col("rank") <= most)
 
 
-def top(hits: DataFrame, most: int, score: str = "score", descending: bool = True, key: str = "id") -> DataFrame:
-    """The best rows of all."""
-    return hits.orderBy(F.col(score).desc() if descending else F.col(score).asc(), key).limit(most)
-
-
 def dense(points: DataFrame, queries: DataFrame, most: int, metric: str = "cosine") -> DataFrame:
     """(query_id, id, score, rank): exact nearest points (id, vector) of queries (query_id, query).
 
-    A stated set of queries meets all points: queries are counted and broadcast in blocks of at most
-    MOST_QUERIES, points are never moved, and filters on points stay below the join.
+    Filters on points stay below; see nearest.py.
     """
-    score, descending = SCORES[metric]
-    blocks = max(1, -(-queries.count() // MOST_QUERIES))
+    hits = nearest.nearest(points, queries, most, metric)
+    return best(hits, most, "query_id", descending=nearest.METRICS[metric][1])
+
+
+def dense_by(points: DataFrame, queries: DataFrame, most: int, group: str, metric: str = "cosine") -> DataFrame:
+    """(query_id, id, score, group, rank): the nearest points of each group."""
+    hits = nearest.nearest(points, queries, most, metric, group)
+    return best(hits, most, "query_id", group, descending=nearest.METRICS[metric][1])
+
+
+def similarities(points: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id, score): the cosine of every point and each query of a stated set, in blocks; norms are taken once."""
+    ours = points.select("id", "vector", V.norm(F.col("vector")).alias("size"))
+    asked = queries.select("query_id", "query", V.norm(F.col("query")).alias("query_size"))
+    parts = max(1, -(-queries.count() // nearest.MOST_QUERIES))
     out = None
-    for k in range(blocks):
-        block = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        hits = points.join(F.broadcast(block)).select("query_id", "id", F.round(score(F.col("vector"), F.col("query")), DIGITS).alias("score"))
-        found = best(hits, most, "query_id", descending=descending)
+    for k in range(parts):
+        some = asked if parts == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k)
+        size = F.col("size") * F.col("query_size")
+        score = F.when(size == 0, 0.0).otherwise(V.dot(F.col("vector"), F.col("query")) / size)
+        found = ours.join(F.broadcast(some)).select("query_id", "id", F.round(score, DIGITS).alias("score"))
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(id, term, tf, dl): term frequencies, and each document's length."""
-    words = docs.select("id", T.terms(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    return words.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def counted(docs: DataFrame) -> DataFrame:
+    """(id, dl, terms): each document's length in words, and its different terms with how often they stand."""
+    words = T.let(F.sort_array(T.terms(F.col("text"))), lambda w: F.struct(F.size(w).alias("dl"), T.run_lengths(w).alias("terms")))
+    return docs.select("id", words.alias("w")).select("id", F.coalesce("w.dl", F.lit(0)).alias("dl"), F.coalesce("w.terms", F.array().cast("array<struct<term:string,tf:int>>")).alias("terms"))
 
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    """One row: n_docs, total_length, avgdl."""
-    length = docs.select(F.size(T.terms(F.col("text"))).alias("dl"))
-    return length.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_length"), F.avg("dl").alias("avgdl"))
+def index(docs: DataFrame) -> DataFrame:
+    """counted(), written once."""
+    return stored(counted(docs), "index")
 
 
-def document_frequency(docs: DataFrame) -> DataFrame:
+def postings(own: DataFrame) -> DataFrame:
+    """(id, dl, term, tf) of an index."""
+    return own.select("id", "dl", F.explode("terms").alias("t")).select("id", "dl", "t.term", F.col("t.tf").cast("long").alias("tf"))
+
+
+def corpus_stats(own: DataFrame) -> DataFrame:
+    """One row: n_docs, total_length, avgdl; reads the lengths only."""
+    return own.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_length"), F.avg("dl").alias("avgdl"))
+
+
+def document_frequency(own: DataFrame) -> DataFrame:
     """(term, df)."""
-    return docs.select(F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return own.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -72,48 +94,62 @@ def weight(tf: Column, dl: Column, avgdl: Column, rarity: Column, k1: float = 1.
     return rarity * tf * F.lit(k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * dl / avgdl))
 
 
-def idf_table(docs: DataFrame) -> DataFrame:
-    """(term, df, idf, avgdl): the vocabulary with the one row of corpus statistics beside each term."""
-    stats = corpus_stats(docs).select("n_docs", "avgdl")
-    return document_frequency(docs).join(F.broadcast(stats)).select("term", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
+def rated(frequencies: DataFrame, own: DataFrame) -> DataFrame:
+    """(term, df, idf, avgdl) of terms (term, df), with the one row of corpus statistics beside each."""
+    stats = corpus_stats(own).select("n_docs", "avgdl")
+    return frequencies.join(F.broadcast(stats)).select("term", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
 
 
-def weights(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(id, term, w): BM25 weights of texts (id, text); terms beyond the vocabulary are dropped."""
-    return postings(texts).join(vocabulary, "term").select("id", "term", weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf")).alias("w"))
+def idf_table(own: DataFrame) -> DataFrame:
+    """(term, df, idf, avgdl): the whole vocabulary of an index."""
+    return rated(document_frequency(own), own)
 
 
-def matched(docs: DataFrame, queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(id, term, w) of documents for terms of the queries only.
+def weights(own: DataFrame) -> DataFrame:
+    """(id, term, w): BM25 weights of all postings of an index.
 
-    The query terms are met before the documents' lengths and frequencies are weighed, so the postings
-    that move are those that a query asks for.
+    Terms in more than a thousandth of the documents, of which there are at most a thousand times as
+    many as a document has on average, are broadcast and their postings stay where they are; only
+    the postings of other terms are dealt by term, so no hot term is.
     """
-    wanted = queries.select(F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term")).distinct()
-    asked = vocabulary.join(wanted, "term", "left_semi")
-    return postings_of(docs, wanted).join(asked, "term").select("id", "term", weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf")).alias("w"))
+    vocabulary = stored(idf_table(own), "vocabulary")
+    bar = max(1, own.count() // 1000)
+    frequent = F.broadcast(vocabulary.filter(F.col("df") > bar))
+    rows = postings(own)
+    weighed = weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))
+    near = rows.join(frequent, "term").select("id", "term", weighed.alias("w"))
+    rare = rows.join(frequent.select("term"), "term", "left_anti").join(vocabulary.filter(F.col("df") <= bar), "term")
+    return near.unionByName(rare.select("id", "term", weighed.alias("w")))
 
 
-def postings_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    words = docs.select("id", T.terms(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    hits = words.select("id", "dl", F.explode("t").alias("term")).join(wanted, "term", "left_semi")
-    return hits.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, dl, term, tf) of queries (query_id, text), written once."""
+    return stored(postings(counted(queries.select(F.col("query_id").alias("id"), "text"))).withColumnRenamed("id", "query_id"), "asked")
+
+
+def matched(own: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, query_id, w, q): for each term that a query and a document share, their weights.
+
+    The terms asked for are counted and broadcast, and meet the postings before anything is grouped or
+    moved; their frequencies are read from the same few postings.
+    """
+    wanted = small(stored(asked.select("term").distinct(), "wanted"))
+    found = document_frequency(own).join(wanted, "term", "left_semi") if not wanted.isEmpty() else document_frequency(own.limit(0))
+    rates = stored(rated(found, own), "rates")
+    mine = asked.join(rates, "term").select("query_id", "term", "idf", "avgdl", weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf")).alias("q"))
+    both = postings(own).join(small(stored(mine, "asked-rates")), "term")
+    return both.select("id", "query_id", weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf")).alias("w"), "q")
 
 
-def sparse(docs: DataFrame, queries: DataFrame, most: int) -> DataFrame:
-    """(query_id, id, score, rank): documents (id, text) by the product of BM25 weights with queries (query_id, text)."""
-    vocabulary = idf_table(docs)
-    asked = weights(queries.select(F.col("query_id").alias("id"), "text"), vocabulary).select(F.col("id").alias("query_id"), "term", F.col("w").alias("q"))
-    own = matched(docs, queries, vocabulary)
-    scores = own.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * F.col("q")), DIGITS).alias("score"))
+def sparse(own: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """(query_id, id, score, rank): documents of an index by the product of BM25 weights with queries (query_id, text)."""
+    scores = matched(own, asked_terms(queries)).groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * F.col("q")), DIGITS).alias("score"))
     return best(scores, most, "query_id")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+def bm25(own: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     """(query_id, id, score, rank) by the classic sum of the documents' weights."""
-    vocabulary = idf_table(docs)
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
-    scores = matched(docs, queries, vocabulary).join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), DIGITS).alias("score"))
+    scores = matched(own, asked_terms(queries)).groupBy("query_id", "id").agg(F.round(F.sum("w"), DIGITS).alias("score"))
     return best(scores, most, "query_id")
 
 

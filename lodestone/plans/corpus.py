@@ -138,13 +138,19 @@ def insert_or_ignore(load, spark):
 @query("SELECT md5(text) AS content_hash, count(*) AS n FROM documents GROUP BY 1")
 def streaming_dedup(load, spark):
     """A file stream of documents, counted by content hash; the whole table is one run of the stream."""
-    return ingest.counted_by_hash(spark, load("documents"))
+    return ingest.counted_by_hash(spark, load.path("documents"))
+
+
+@query("SELECT DISTINCT md5(text) AS content_hash FROM documents")
+def streaming_first_seen(load, spark):
+    """Each content once, by deduplication within the stream."""
+    return ingest.different(spark, load.path("documents"))
 
 
 @query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def streaming_windows(load, spark):
     """Event-time windows over the log, with a watermark."""
-    return ingest.windowed(spark, load("events"))
+    return ingest.windowed(spark, load.path("events"))
 
 
 @query(f"""SELECT language, type, count(*) AS n FROM {CHUNKS_SQL} GROUP BY language, type""")

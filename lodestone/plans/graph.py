@@ -57,33 +57,34 @@ def graph_dependents_depth(load, spark):
     return graph.reach(e, e.select(F.col("src").alias("start")).distinct(), 3)
 
 
-@query(WALK.format(STAR_SQL + ", s AS (SELECT dst AS src, src AS dst FROM e WHERE type <> 'PLACED_BY')", 3) + " SELECT start, count(*) AS impacted FROM reach WHERE depth > 0 GROUP BY start")
+@query(WALK.format(STAR_SQL + ", s AS (SELECT dst AS src, src AS dst FROM e)", 3) + " SELECT start, count(*) AS impacted FROM reach WHERE depth > 0 GROUP BY start")
 def graph_impact(load, spark):
     """How many each node's change reaches, up to three hops back."""
-    e = graph.reversed_edges(star(load).filter("type <> 'PLACED_BY'"))
+    e = graph.reversed_edges(star(load))
     return graph.reach(e, e.select(F.col("src").alias("start")).distinct(), 3).filter("depth > 0").groupBy("start").agg(F.count("*").alias("impacted"))
 
 
-UNDIRECTED = STAR_SQL + ", t AS (SELECT src, dst FROM e WHERE type <> 'PLACED_BY'), s AS (SELECT src, dst FROM t UNION SELECT dst, src FROM t)"
+UNDIRECTED = STAR_SQL + ", t AS (SELECT src, dst FROM e), s AS (SELECT src, dst FROM t UNION SELECT dst, src FROM t)"
 
 
 @query(f"""WITH RECURSIVE {UNDIRECTED}, walk(node, depth) AS (SELECT 'r0', 0 UNION SELECT s.dst, w.depth + 1 FROM walk w JOIN s ON s.src = w.node WHERE w.depth < 4) SELECT node, min(depth) :: INT AS distance FROM walk GROUP BY node""")
 def graph_shortest_path(load, spark):
     """Distances from one node, edges taken both ways."""
-    e = graph.both_ways(star(load).filter("type <> 'PLACED_BY'"))
+    e = graph.both_ways(star(load))
     start = spark.createDataFrame([("r0",)], "start string")
     return graph.reach(e, start, 4).select("node", F.col("depth").alias("distance"))
 
 
-@query(f"""WITH RECURSIVE c AS (SELECT * FROM {CHUNKS_SQL}), d AS (SELECT id, unnest(dependencies) AS dep FROM c), known AS (SELECT id, name AS symbol FROM c UNION SELECT id, unnest(defines) FROM c),
-s AS (SELECT DISTINCT d.id AS src, k.id AS dst FROM d JOIN known k ON d.dep = k.symbol WHERE d.id <> k.id),
-walk(start, node, n) AS (SELECT src, dst, 1 FROM s UNION SELECT start, s.dst, n + 1 FROM walk JOIN s ON s.src = walk.node WHERE n < 4) SELECT DISTINCT start AS node FROM walk WHERE start = node""")
-def graph_cycles(load, spark):
-    """Chunks on a dependency cycle."""
-    from lodestone.operators import enhance
-    from lodestone.plans.shared import chunks
+TIES_SQL = """e AS (SELECT doc_id AS src, (doc_id * 7 + 3) % 64 AS dst FROM documents WHERE doc_id % 5 <> 0 UNION SELECT doc_id, doc_id // 3 FROM documents WHERE doc_id % 11 <> 0 UNION SELECT item_id + 100, item_id + 90 FROM benchmark)"""
+
 
-    return graph.cycles(enhance.dependency_edges(chunks(spark)), 4)
+@query(f"""WITH RECURSIVE {TIES_SQL}, walk(start, node) AS (SELECT src, dst FROM e UNION SELECT w.start, e.dst FROM walk w JOIN e ON e.src = w.node) SELECT DISTINCT start AS node FROM walk WHERE start = node""")
+def graph_cycles(load, spark):
+    """Nodes on a cycle of any length, in a graph of ties between documents and items."""
+    doc, item = F.col("doc_id"), F.col("item_id")
+    ties = load("documents").filter(doc % 5 != 0).select(doc.alias("src"), ((doc * 7 + 3) % 64).alias("dst"))
+    ties = ties.unionByName(load("documents").filter(doc % 11 != 0).select(doc.alias("src"), F.floor(doc / 3).alias("dst")))
+    return graph.cycles(ties.unionByName(load("benchmark").select((item + 100).alias("src"), (item + 90).alias("dst"))))
 
 
 NEAREST = f"""near AS (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM

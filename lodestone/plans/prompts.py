@@ -8,7 +8,8 @@ from lodestone.functions import text as T
 from lodestone.operators import prompts
 from lodestone.plans.search import SPLIT, CANDIDATES, candidates
 from lodestone.plans.shared import CHUNKS_SQL, chunks, query
-from lodestone.operators import rerank, search
+from lodestone.operators import search
+from lodestone.operators.tables import stored
 
 INTRO_SQL = prompts.INTRO.replace("'", "''")
 
@@ -19,8 +20,8 @@ regexp_replace(d.text, '^\\s+|\\s+$', '', 'g') || chr(10) || '```', chr(10) || c
 FROM best JOIN documents d ON d.doc_id = id JOIN benchmark b ON b.item_id = query_id GROUP BY query_id, b.text""")
 def rag_prompt(load, spark):
     """The prompt of each question from its five most relevant documents."""
-    scored = candidates(load).select("query_id", "id", F.round(rerank.relevance(F.col("query"), F.col("text")), 6).alias("score"))
-    best = search.best(scored, 5, "query_id").select("query_id", "id", "rank")
+    best = search.best(candidates(load).withColumnRenamed("relevance", "score"), 5, "query_id").select("query_id", "id", "rank")
+    best = search.small(stored(best, "best"))  # five rows for each question, sent to the documents
     docs = load("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_path"), F.lit("file").alias("type"), F.col("text").alias("code"))
     asked = load("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return prompts.rag_prompts(best.join(docs, "id").join(asked, "query_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import rerank, search, validate
+from lodestone.operators.tables import stored
 from lodestone.plans.code import CHUNKS_SQL, counted, worded
 from lodestone.plans.shared import chunks, query
 
@@ -25,6 +26,10 @@ def texts(load):
     return load("documents").select(F.col("doc_id").alias("id"), "text")
 
 
+def indexed(load):
+    return search.index(texts(load))
+
+
 def text_queries(load):
     return load("benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -54,11 +59,12 @@ def dense_sql(most: int, metric: str = "cosine", queries: str = QUERY_VECTORS, w
 
 
 TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
-BM25 = f"""d AS (SELECT doc_id AS id, {TERMS} AS t FROM documents),
+BM25_OWN = f"""d AS (SELECT doc_id AS id, {TERMS} AS t FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
 tf AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM d) GROUP BY id, term),
 idf AS (SELECT term, count(*) AS df, ln((any_value(n) - count(*) + 0.5 :: DOUBLE) / (count(*) + 0.5 :: DOUBLE) + 1.0 :: DOUBLE) AS idf, any_value(avgdl) AS avgdl FROM tf, stats GROUP BY term),
-w AS (SELECT id, term, idf * tf * (2.2 :: DOUBLE) / (tf + 1.2 :: DOUBLE * (0.25 :: DOUBLE + 0.75 :: DOUBLE * dl / avgdl)) AS w FROM tf JOIN idf USING (term)),
+w AS (SELECT id, term, idf * tf * (2.2 :: DOUBLE) / (tf + 1.2 :: DOUBLE * (0.25 :: DOUBLE + 0.75 :: DOUBLE * dl / avgdl)) AS w FROM tf JOIN idf USING (term))"""
+BM25 = f"""{BM25_OWN},
 asked AS (SELECT query_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT query_id, len(t) AS dl, unnest(t) AS term FROM (SELECT item_id AS query_id, {TERMS} AS t FROM benchmark)) GROUP BY query_id, term),
 qw AS (SELECT query_id, term, idf * tf * (2.2 :: DOUBLE) / (tf + 1.2 :: DOUBLE * (0.25 :: DOUBLE + 0.75 :: DOUBLE * dl / avgdl)) AS q FROM asked JOIN idf USING (term)),
 sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) :: INT AS rank FROM (SELECT query_id, id, round(sum(w * q), 6) AS score FROM w JOIN qw USING (term) GROUP BY query_id, id)),
@@ -119,8 +125,7 @@ def batch_knn(load, spark):
 @query(dense_sql(3, by=", label", columns=", label"))
 def topk_per_group(load, spark):
     """The best three of each collection."""
-    hits = points(load).join(F.broadcast(vector_queries(load))).select("query_id", "id", "label", F.round(V.cosine(F.col("vector"), F.col("query")), 6).alias("score"))
-    return search.best(hits, 3, "query_id", "label").select("query_id", "id", "score", "rank", "label")
+    return search.dense_by(points(load), vector_queries(load), 3, "label").select("query_id", "id", "score", "rank", "label")
 
 
 RAG5 = f"""SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) :: INT AS rank FROM ({dense_sql(3, by=", label", columns=", label")})) WHERE rank <= 5"""
@@ -136,9 +141,7 @@ def rag_top5(load, spark):
 @query(f"SELECT query_id, id, score FROM ({dense_sql(50)}) WHERE query_id = 0")
 def initial_candidates(load, spark):
     """K2: the first fifty by score."""
-    one = vector_queries(load).filter("query_id = 0")
-    hits = points(load).join(F.broadcast(one)).select("query_id", "id", F.round(V.cosine(F.col("vector"), F.col("query")), 6).alias("score"))
-    return search.top(hits, 50)
+    return search.dense(points(load), vector_queries(load).filter("query_id = 0"), 50).select("query_id", "id", "score")
 
 
 @query(dense_sql(50))
@@ -150,7 +153,7 @@ def initial_candidates_each(load, spark):
 @query(f"SELECT query_id, vec_id AS id, round({METRIC['cosine']}, 6) AS score FROM (SELECT vec_id, embedding AS v FROM embeddings), ({QUERY_VECTORS})")
 def cosine_similarity(load, spark):
     """L1: a stated set of queries against all points."""
-    return points(load).join(F.broadcast(vector_queries(load))).select("query_id", "id", F.round(V.cosine(F.col("vector"), F.col("query")), 6).alias("score"))
+    return search.similarities(points(load), vector_queries(load))
 
 
 @query(dense_sql(10, where="vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en' AND length(text) // 4 >= 100)"))
@@ -164,51 +167,50 @@ def advanced_filtered_search(load, spark):
 # ---------------------------------------------------------------- sparse and hybrid
 
 
-@query(f"WITH {BM25} SELECT term, df FROM idf")
+@query(f"WITH {BM25_OWN} SELECT term, df FROM idf")
 def bm25_df(load, spark):
     """H5."""
-    return search.document_frequency(texts(load))
+    return search.document_frequency(search.counted(texts(load)))
 
 
-@query(f"WITH {BM25} SELECT n AS n_docs, (SELECT sum(len(t)) :: BIGINT FROM d) AS total_length, round(avgdl, 6) AS avgdl FROM stats")
+@query(f"WITH {BM25_OWN} SELECT n AS n_docs, (SELECT sum(len(t)) :: BIGINT FROM d) AS total_length, round(avgdl, 6) AS avgdl FROM stats")
 def bm25_corpus_stats(load, spark):
     """H6."""
-    return search.corpus_stats(texts(load)).select("n_docs", "total_length", F.round("avgdl", 6).alias("avgdl"))
+    return search.corpus_stats(search.counted(texts(load))).select("n_docs", "total_length", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query(f"WITH {BM25} SELECT id, term, tf FROM tf")
+@query(f"WITH {BM25_OWN} SELECT id, term, tf FROM tf")
 def bm25_tf(load, spark):
     """H7."""
-    return search.postings(texts(load)).select("id", "term", "tf")
+    return search.postings(search.counted(texts(load))).select("id", "term", "tf")
 
 
-@query(f"WITH {BM25} SELECT term, round(idf, 6) AS idf FROM idf")
+@query(f"WITH {BM25_OWN} SELECT term, round(idf, 6) AS idf FROM idf")
 def bm25_idf(load, spark):
     """M1-M3."""
-    return search.idf_table(texts(load)).select("term", F.round("idf", 6).alias("idf"))
+    return search.idf_table(indexed(load)).select("term", F.round("idf", 6).alias("idf"))
 
 
-@query(f"WITH {BM25} SELECT id, term, round(w, 6) AS w FROM w")
+@query(f"WITH {BM25_OWN} SELECT id, term, round(w, 6) AS w FROM w")
 def bm25_weights(load, spark):
     """M4, M12."""
-    docs = texts(load)
-    return search.weights(docs, search.idf_table(docs)).select("id", "term", F.round("w", 6).alias("w"))
+    return search.weights(indexed(load)).select("id", "term", F.round("w", 6).alias("w"))
 
 
 @query(f"WITH {BM25} SELECT query_id, id, score, rank FROM sparse WHERE rank <= 10")
 def sparse_topk(load, spark):
     """Both sides weighed."""
-    return search.sparse(texts(load), text_queries(load), 10)
+    return search.sparse(indexed(load), text_queries(load), 10)
 
 
 @query(f"WITH {BM25} SELECT query_id, id, score, rank FROM classic WHERE rank <= 10")
 def bm25_topk(load, spark):
     """M5: the classic score."""
-    return search.bm25(texts(load), text_queries(load), 10)
+    return search.bm25(indexed(load), text_queries(load), 10)
 
 
 def legs(load):
-    return search.dense(points(load), item_vectors(load), 50), search.sparse(texts(load), text_queries(load), 30)
+    return search.dense(points(load), item_vectors(load), 50), search.sparse(indexed(load), text_queries(load), 30)
 
 
 @query(f"WITH {LEGS} {fused_sql(1, 1)}")
@@ -263,36 +265,39 @@ fused AS (SELECT *, round(0.6 :: DOUBLE * semantic + 0.3 :: DOUBLE * relevance,
 
 
 def candidates(load):
-    """(query_id, id, query, text) of the first fifty by the sparse leg."""
-    found = search.sparse(texts(load), text_queries(load), 50).select("query_id", "id")
-    asked = load("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return texts(load).join(found, "id").join(asked, "query_id")
+    """(query_id, id, relevance) of the first fifty by the sparse leg."""
+    pairs = stored(search.sparse(indexed(load), text_queries(load), 50).select("query_id", "id"), "candidates")
+    return rerank.relevances(pairs, text_queries(load), texts(load))
 
 
 def with_semantic(hits, load):
-    ours = load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("own"))
+    """hits with the cosine of the query's and the point's vectors; hits are few and are sent to the vectors."""
+    vectors = load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("own"))
     asked = load("embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
-    both = hits.join(ours, "id", "left").join(asked, "query_id", "left")
+    few = stored(hits, "hits")
+    ours = vectors.join(search.small(few.select("id").distinct()), "id", "left_semi")
+    theirs = asked.join(search.small(few.select("query_id").distinct()), "query_id", "left_semi")
+    both = few.join(ours, "id", "left").join(theirs, "query_id", "left")
     return both.withColumn("semantic", F.round(F.coalesce(V.cosine(F.col("asked"), F.col("own")), F.lit(0.0)), 6)).drop("own", "asked")
 
 
 @query(f"WITH {CANDIDATES} SELECT query_id, id, relevance FROM relevance")
 def relevance_score(load, spark):
     """N2."""
-    return candidates(load).select("query_id", "id", F.round(rerank.relevance(F.col("query"), F.col("text")), 6).alias("relevance"))
+    return candidates(load)
 
 
 @query(f"WITH {SCORED} SELECT query_id, id, semantic, relevance, score FROM fused")
 def score_fusion(load, spark):
     """N3, N4."""
-    hits = with_semantic(candidates(load), load).withColumn("relevance", F.round(rerank.relevance(F.col("query"), F.col("text")), 6))
+    hits = with_semantic(candidates(load), load)
     return hits.select("query_id", "id", "semantic", "relevance", F.round(rerank.fusion(vector=F.col("semantic"), keyword=F.col("relevance")), 8).alias("score"))
 
 
 @query(f"WITH {SCORED} SELECT query_id, id, round((relevance + semantic) / 2, 8) AS quality FROM fused WHERE (relevance + semantic) / 2 >= 0.1")
 def qa_threshold(load, spark):
     """D11, N5."""
-    hits = with_semantic(candidates(load), load).withColumn("relevance", F.round(rerank.relevance(F.col("query"), F.col("text")), 6))
+    hits = with_semantic(candidates(load), load)
     score = (F.col("relevance") + F.col("semantic")) / 2
     return hits.filter(rerank.assured(score)).select("query_id", "id", F.round(score, 8).alias("quality"))
 

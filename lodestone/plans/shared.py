@@ -10,12 +10,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+class Tables:
+    """The tables of a folder: called with a name it reads one; path() says where it is."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}.parquet"
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(name))
+
+
 def query(sql: str | None = None):
-    """Register a function of (load, spark) under its name; load reads one table."""
+    """Register a function of (load, spark) under its name; load is the Tables of the folder."""
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark)
+            return f(Tables(spark, sf_dir), spark)
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
