@@ -40,6 +40,7 @@ from lodestone.llm.shared import shared_table, temporary
 
 ORDER = 5
 FOLD = 12
+SENT = 2_000_000  # hashes of repeated texts that are broadcast
 LEAST = 2  # an n-gram that stands once in all documents tells nothing of any other document
 BELOW, ABOVE = 3.5, 8.0  # how many deviations a band reaches; high values have a longer tail in clean texts
 BIN = 0.005  # width of the histogram bins of log-perplexity
@@ -71,34 +72,50 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts, first)
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(lang, key, n): how often each n-gram stands in all documents of a language."""
+def different(docs: DataFrame) -> DataFrame:
+    """(lang, text, share): one row of each different text of a language.
+
+    Texts are told apart by a 64-bit hash and their length; of equal ones the row with the smallest
+    doc_id stays (rows that share it too have a share of 1 together).  Only hashes are shuffled: those
+    that stand more than once come back to the texts, broadcast while they are counted few.
+    """
+    keyed = docs.select("doc_id", "lang", "text", F.xxhash64("lang", "text").alias("h"), F.length("text").alias("len"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("n"))
+    again = keyed.groupBy("h", "len", "doc_id").agg(F.count("*").alias("n")).groupBy("h", "len").agg(F.sum("n").alias("copies"), F.min(own).alias("first"))
+    again = again.filter("copies > 1").select(F.col("h").alias("h2"), F.col("len").alias("len2"), F.col("first.doc_id").alias("first_id"), F.col("first.n").alias("same"))
+    again = shared_table(again, "repeated-texts")
+    both = keyed.join(F.broadcast(again) if again.count() <= SENT else again, (F.col("h") == F.col("h2")) & F.col("len").eqNullSafe(F.col("len2")), "left")
+    return both.filter(F.col("same").isNull() | F.col("doc_id").eqNullSafe(F.col("first_id"))).select("lang", "text", (F.lit(1.0) / F.coalesce("same", F.lit(1))).alias("share"))
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """(lang, key, n): how often each n-gram stands in all texts (lang, text, share) of a language."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str | None, list] = {}
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), object)
+            langs, shares = np.array(batch.column(0).to_pylist(), object), batch.column(2).to_numpy()
             for texts in pieces(batch.column(1)):
                 key, bounds = hashed(texts)
-                own = langs[texts.first : texts.first + texts.n]
+                some = slice(texts.first, texts.first + texts.n)
                 size = np.diff(bounds)
-                for lang in set(own):
-                    keys = np.sort(key[np.repeat(own == lang, size)])
+                for lang, share in set(zip(langs[some], shares[some].tolist(), strict=True)):
+                    keys = np.sort(key[np.repeat((langs[some] == lang) & (shares[some] == share), size)])
                     if not len(keys):
                         continue
                     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
                     parts = found.setdefault(lang, [])
-                    parts.append((keys[first], np.diff(np.append(first, len(keys)))))
+                    parts.append((keys[first], share * np.diff(np.append(first, len(keys)))))
                     if len(parts) > 1 and sum(len(k) for k, _ in parts[1:]) > max(1 << 20, len(parts[0][0])):
                         found[lang] = [merged(parts)]
         for lang, parts in found.items():
             keys, counts = merged(parts)
             for i in range(0, len(keys), 1 << 16):
                 k = keys[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int64)), pa.array(counts[i : i + (1 << 16)].astype(np.int64))], names=["lang", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int64)), pa.array(counts[i : i + (1 << 16)])], names=["lang", "key", "n"])
 
-    partial = docs.select("lang", "text").mapInArrow(work, "lang string, key long, n long")
-    return partial.groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    partial = texts.select("lang", "text", "share").mapInArrow(work, "lang string, key long, n double")
+    return partial.groupBy("lang", "key").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
 class Model:
@@ -163,8 +180,8 @@ class Model:
 
 
 def models(docs: DataFrame) -> dict[str | None, Model]:
-    """Each language's model, of all its n-grams."""
-    table = shared_table(counted(docs), "ngrams")
+    """Each language's model, of all n-grams of its different texts."""
+    table = shared_table(counted(different(docs)), "ngrams")
     # n-grams that stand once come to the driver as sums, for contexts that others have too
     by_context = table.groupBy("lang", F.shiftright("key", FOLD).alias("context")).agg(F.count_if(F.col("n") < LEAST).alias("alone"), F.max("n").alias("most"))
     by_context = shared_table(by_context.filter(F.col("alone") > 0), "contexts")
@@ -260,9 +277,8 @@ def bands(table: DataFrame) -> list[tuple]:
 
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, kept, log_ppl and the band, for every row of docs."""
-    different = docs.select("lang", "text", F.md5("text").alias("text_hash")).dropDuplicates(["lang", "text_hash"])
     with temporary(docs.sparkSession):
-        model = models(different)
+        model = models(docs)
     table = scored(docs, model).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     table = shared_table(table, "perplexities")
     band = docs.sparkSession.createDataFrame(bands(table), "band_lang string, middle double, below double, above double")
