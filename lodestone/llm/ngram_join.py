@@ -44,8 +44,8 @@ WORDS = 5
 PERCENT = 75
 CLUSTER = 4_000_000  # n-grams of one cluster that one task takes
 SENT = 1_000_000  # rows of two numbers that are broadcast
-FLUSH = 1 << 21  # n-grams that a task gathers before it deals them
-DEAL = 3_000_000  # n-grams, 20 bytes each, that a task takes of those dealt by hash
+FLUSH = 1 << 20  # n-grams that a task gathers before it deals them
+DEAL = 1_500_000  # n-grams, 20 bytes each, that a task takes of those dealt by hash
 ROUNDS = 2
 
 
