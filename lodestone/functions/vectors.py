@@ -36,7 +36,7 @@ def manhattan(a: Column, b: Column) -> Column:
 
 
 def mean(v: Column) -> Column:
-    return total(v) / F.size(v)
+    return F.try_divide(total(v), F.size(v))
 
 
 def moment(v: Column, middle: Column, power: int) -> Column:
@@ -48,17 +48,17 @@ def moment(v: Column, middle: Column, power: int) -> Column:
             out = out * (x - middle)
         return out
 
-    return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + term(x)) / F.size(v)
+    return F.try_divide(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + term(x)), F.size(v))
 
 
 def entropy(v: Column) -> Column:
     """Entropy of the absolute values as a distribution, with a small offset."""
     p = F.transform(v, lambda x: F.abs(x) + 1e-8)
-    return F.log(total(p)) - total(F.transform(p, lambda x: x * F.log(x))) / total(p)
+    return F.log(total(p)) - F.try_divide(total(F.transform(p, lambda x: x * F.log(x))), total(p))
 
 
 def share(v: Column, condition) -> Column:
-    return F.size(F.filter(v, condition)) / F.size(v)
+    return F.try_divide(F.size(F.filter(v, condition)), F.size(v))
 
 
 def quantile(ordered: Column, q: float) -> Column:

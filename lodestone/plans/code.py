@@ -136,21 +136,27 @@ def html_dependencies(load, spark):
     return load("pages").select("page_id", F.array_sort(T.html_dependencies(F.col("html"))).alias("dependencies"))
 
 
-@query(rf"""SELECT id, list_slice(list_sort(list_distinct(CASE language WHEN 'python' THEN list_concat(
+EXTRACTED = rf"""SELECT id, list_slice(list_sort(list_distinct(CASE language WHEN 'python' THEN list_concat(
   list_transform(regexp_extract_all(code, '(?m)^\s*import\s+([a-zA-Z_]\w*)', 1), lambda x: x), regexp_extract_all(code, '(?m)^\s*from\s+([a-zA-Z_]\w*)[\w.]*\s+import', 1),
   list_filter(regexp_extract_all(code, '\b[A-Z][a-zA-Z_]\w*\b'), lambda w: w NOT IN ({', '.join(f"'{w}'" for w in T.COMMON_SYMBOLS)})))
-WHEN 'javascript' THEN list_filter(list_concat(regexp_extract_all(code, '\b([A-Z]\w*)\b', 1), regexp_extract_all(code, '\b([A-Za-z_]\w*)\s*\(', 1)), lambda w: w NOT IN ({', '.join(f"'{w}'" for w in T.JS_BUILTINS)}))
-ELSE [] :: VARCHAR[] END)), 1, 10) AS dependencies FROM {CHUNKS_SQL}""")
+WHEN 'javascript' THEN list_concat(list_filter(list_concat(regexp_extract_all(code, '\b([A-Z]\w*)\b', 1), regexp_extract_all(code, '\b([A-Za-z_]\w*)\s*\(', 1)), lambda w: w NOT IN ({', '.join(f"'{w}'" for w in T.JS_BUILTINS)})),
+  list_transform(regexp_extract_all(code, 'import [^\n'']*''([^'']+)''', 1), lambda p: string_split(p, '/')[1]))
+WHEN 'html' THEN list_transform(list_concat(regexp_extract_all(code, '<script src="([^"]+)"', 1), regexp_extract_all(code, '<link href="([^"]+)"', 1)), lambda p: string_split(p, '/')[1])
+WHEN 'css' THEN list_transform(list_concat(regexp_extract_all(code, '@import "([^"]+)"', 1), list_filter(regexp_extract_all(code, 'url\(([^)]+)\)', 1), lambda u: contains(u, '.'))), lambda p: string_split(p, '/')[1])
+ELSE [] :: VARCHAR[] END)), 1, 10) AS dependencies FROM {CHUNKS_SQL}"""
+
+
+@query(EXTRACTED)
 def extracted_dependencies(load, spark):
     """Dependencies found in code, by language."""
-    return chunks(spark).select("id", T.dependencies(F.col("code"), F.col("language")).alias("dependencies"))
+    return chunks(load).select("id", T.dependencies(F.col("code"), F.col("language")).alias("dependencies"))
 
 
 @query(rf"""SELECT id, list_filter(regexp_extract_all(code, '\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\(', 1), lambda n: n NOT IN ({', '.join(f"'{w}'" for w in T.NO_CALLS)})) AS called
 FROM {CHUNKS_SQL} WHERE language = 'python'""")
 def called_functions(load, spark):
     """E26."""
-    return chunks(spark).filter("language = 'python'").select("id", T.called_functions(F.col("code")).alias("called"))
+    return chunks(load).filter("language = 'python'").select("id", T.called_functions(F.col("code")).alias("called"))
 
 
 @query(rf"""WITH calls AS (SELECT DISTINCT id, unnest(regexp_extract_all(code, '\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\(', 1)) AS symbol FROM {CHUNKS_SQL}),
@@ -158,7 +164,7 @@ names AS (SELECT name AS symbol FROM {CHUNKS_SQL} UNION SELECT unnest(defines) F
 SELECT id, symbol FROM calls SEMI JOIN names USING (symbol)""")
 def called_symbols(load, spark):
     """Called names that the symbol index knows."""
-    return enhance.called_symbols(chunks(spark))
+    return enhance.called_symbols(chunks(load))
 
 
 @query(r"""SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')),
@@ -174,7 +180,7 @@ CASE WHEN contains(code, 'export default') THEN 'default' WHEN contains(code, 'e
 (SELECT id, name, code FROM {CHUNKS_SQL} UNION ALL SELECT doc_id :: VARCHAR, source, text FROM documents)""")
 def code_flags(load, spark):
     """E28, E29."""
-    both = chunks(spark).select("id", "name", "code").unionByName(load("documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("name"), F.col("text").alias("code")))
+    both = chunks(load).select("id", "name", "code").unionByName(load("documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("name"), F.col("text").alias("code")))
     code = F.col("code")
     return both.select("id", T.access_modifier(F.col("name")).alias("access_modifier"), T.is_abstract(code).alias("is_abstract"), T.is_final(code).alias("is_final"), T.is_async(code).alias("is_async"), T.export_type(code).alias("export_type"))
 
@@ -193,7 +199,7 @@ def domain_context(load, spark):
     """Contexts that follow from a path."""
     docs = load("documents").select(F.col("doc_id").cast("string").alias("id"), F.concat_ws("/", "source", "lang").alias("file_path"))
     path = F.col("file_path")
-    return chunks(spark).select("id", "file_path").unionByName(docs).select("id", T.domain_context(path).alias("domain"), T.prompt_domain(path).alias("prompt_domain"), T.module_context(path).alias("module_context"), T.project_context(path).alias("project_context"))
+    return chunks(load).select("id", "file_path").unionByName(docs).select("id", T.domain_context(path).alias("domain"), T.prompt_domain(path).alias("prompt_domain"), T.module_context(path).alias("module_context"), T.project_context(path).alias("project_context"))
 
 
 WORDS_RE = r"[\p{L}\p{N}_]"
@@ -211,7 +217,7 @@ FROM (SELECT id, language, code FROM {CHUNKS_SQL} UNION ALL SELECT doc_id :: VAR
 @query(FEATURES)
 def code_features(load, spark):
     """E36."""
-    both = chunks(spark).select("id", "language", "code").unionByName(load("documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("language"), F.col("text").alias("code")))
+    both = chunks(load).select("id", "language", "code").unionByName(load("documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("language"), F.col("text").alias("code")))
     return both.select("id", *[c.alias(name) for name, c in T.code_features(F.col("code"), F.col("language")).items()])
 
 
@@ -241,23 +247,82 @@ def embedding_text(load, spark):
 @query(f"SELECT id, concat_ws(' ', nullif(name, ''), nullif(parent, ''), nullif(code, '')) AS rerank_text FROM {CHUNKS_SQL}")
 def rerank_text(load, spark):
     """non-empty fields joined."""
-    return chunks(spark).select("id", enhance.joined_fields("name", "parent", "code").alias("rerank_text"))
+    return chunks(load).select("id", enhance.joined_fields("name", "parent", "code").alias("rerank_text"))
 
 
 @query(f"""SELECT id, CASE WHEN type IN ('function', 'method', 'lambda') THEN 'functions' WHEN type = 'class' THEN 'classes' ELSE 'modules' END AS collection FROM {CHUNKS_SQL}""")
 def collection_routing(load, spark):
     """F8, H8."""
-    return chunks(spark).select("id", enhance.collection(F.col("type")).alias("collection"))
+    return chunks(load).select("id", enhance.collection(F.col("type")).alias("collection"))
 
 
 @query(f"""WITH c AS (SELECT * FROM {CHUNKS_SQL}), d AS (SELECT id, unnest(dependencies) AS dep FROM c), known AS (SELECT id, name AS symbol FROM c UNION SELECT id, unnest(defines) FROM c)
 SELECT DISTINCT d.id AS src, k.id AS dst FROM d JOIN known k ON d.dep = k.symbol WHERE d.id <> k.id""")
 def dependency_graph(load, spark):
     """G1: edges from a chunk to the chunks that define what it depends on."""
-    return enhance.dependency_edges(chunks(spark))
+    return enhance.dependency_edges(chunks(load))
 
 
 @query(f"""WITH c AS (SELECT * FROM {CHUNKS_SQL}) SELECT p.id, list_sort(list(m.name)) AS children FROM c p JOIN c m ON p.file_path = m.file_path AND m.parent = p.name WHERE p.type = 'class' GROUP BY p.id""")
 def child_chunks(load, spark):
     """The members of each class, from the same file."""
-    return enhance.children(chunks(spark))
+    return enhance.children(chunks(load))
+
+
+@query(rf"""SELECT id, '' AS docstring, regexp_replace(string_split(regexp_replace(code, '^\s+|\s+$', '', 'g'), chr(10))[1], '^\s+|\s+$', '', 'g') AS signature, (length(code) - length(replace(code, chr(10), '')) + 1) :: INT AS line_count,
+contains(lower(name), 'test') AS has_tests, name IN ('main', '__main__', 'app', 'application') AS is_entry_point FROM {CHUNKS_SQL}""")
+def metadata_defaults(load, spark):
+    """What chunks lack, filled in from their code and names."""
+    return enhance.with_defaults(chunks(load)).select("id", "docstring", "signature", "line_count", "has_tests", "is_entry_point")
+
+
+@query(rf"""SELECT id, CASE WHEN language = 'python' THEN list_filter(l, lambda x: starts_with(x, 'import ') OR starts_with(x, 'from ')) WHEN language IN ('javascript', 'typescript')
+THEN list_filter(l, lambda x: starts_with(x, 'import ') OR starts_with(x, 'export ') OR starts_with(x, 'require(')) ELSE [] :: VARCHAR[] END AS imports
+FROM (SELECT id, language, list_transform(string_split(code, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS l FROM {CHUNKS_SQL})""")
+def code_import_lines(load, spark):
+    """Import lines by language."""
+    return chunks(load).select("id", T.import_lines_of(F.col("code"), F.col("language")).alias("imports"))
+
+
+DETECTED = r"list_sort(list_distinct(list_concat(regexp_extract_all(code, '(?:import|from)\s+([\w.]+)', 1), regexp_extract_all(code, '(\w+)\.\w+\(', 1))))"
+
+
+@query(f"SELECT id, {DETECTED} AS detected FROM {CHUNKS_SQL}")
+def detected_dependencies(load, spark):
+    """Names that code imports or calls members of."""
+    return chunks(load).select("id", T.detected_dependencies(F.col("code")).alias("detected"))
+
+
+CALLS = rf"""calls AS (SELECT DISTINCT id, unnest(regexp_extract_all(code, '\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\(', 1)) AS symbol FROM c), names AS (SELECT name AS symbol FROM c UNION SELECT unnest(defines) FROM c),
+known AS (SELECT id, list_sort(list(symbol)) AS refs FROM calls SEMI JOIN names USING (symbol) GROUP BY id)"""
+
+
+@query(f"""WITH c AS (SELECT * FROM {CHUNKS_SQL}), {CALLS}, found AS ({EXTRACTED})
+SELECT c.id, CASE WHEN len(c.dependencies) > 0 THEN c.dependencies ELSE found.dependencies END AS dependencies, coalesce(refs, [] :: VARCHAR[]) AS refs FROM c JOIN found USING (id) LEFT JOIN known USING (id)""")
+def filled_dependencies(load, spark):
+    """dependencies and references from the code, where a chunk has none."""
+    c = chunks(load)
+    return enhance.filled_in(c, enhance.called_symbols(c)).select("id", "dependencies", F.col("references").alias("refs"))
+
+
+@query(f"""SELECT id, name, type, language, file_path, name AS qualified_name, code, 0 AS complexity, CAST(NULL AS VARCHAR) AS docstring, CAST(NULL AS VARCHAR) AS signature,
+dependencies, 'unknown' AS embedding_quality FROM {CHUNKS_SQL}""")
+def payload_projection(load, spark):
+    """normalised chunks as they are stored beside vectors."""
+    rows = enhance.payload(enhance.normalized(chunks(load)))
+    return rows.drop("start_line", "end_line").withColumns({c: F.col(c).cast("string") for c in ("docstring", "signature")})
+
+
+@query(rf"""WITH c AS (SELECT * FROM {CHUNKS_SQL}), kids AS (SELECT p.id, list_sort(list(m.name)) AS children FROM c p JOIN c m ON p.file_path = m.file_path AND m.parent = p.name WHERE p.type = 'class' GROUP BY p.id)
+SELECT c.id, CASE WHEN language = 'python' THEN CASE WHEN starts_with(code, '__') THEN 'private' WHEN starts_with(code, '_') THEN 'protected' ELSE 'public' END END AS access_modifier,
+language = 'python' AND (contains(code, 'abstract') OR contains(code, 'ABC')) AS is_abstract, language = 'javascript' AND contains(code, 'async') AS is_async,
+greatest(1 + {counted(T.KEYWORDS, 'code')} + {counted(T.LOOPS, 'code')} - (length(code) - length(replace(code, 'else if', ''))) // 7, 1) AS complexity, len(list_filter(string_split_regex(code, '\s+'), lambda t: t <> '')) AS token_count,
+substr(md5(trim(regexp_replace(regexp_replace(code, '(?m)#.*$', '', 'g'), '\s+', ' ', 'g'))), 1, 10) AS semantic_hash, length(code) - length(replace(code, chr(10), '')) + 1 AS line_count,
+coalesce(children, [] :: VARCHAR[]) AS children, CASE WHEN contains(file_path, '/') THEN string_split(file_path, '/')[-2] || ' module' ELSE 'root module' END AS module_context, string_split(file_path, '/') AS hierarchy
+FROM c LEFT JOIN kids USING (id)""")
+def chunk_completion(load, spark):
+    """code metadata, analysis, relationships and context of every chunk."""
+    rows = enhance.completed(chunks(load))
+    analysis = [F.col(f"analysis.{c}").cast("long").alias(c) for c in ("complexity", "token_count", "line_count")]
+    flags = [F.coalesce(f"metadata.{c}", F.lit(False)).alias(c) for c in ("is_abstract", "is_async")]
+    return rows.select("id", "metadata.access_modifier", *flags, *analysis, "analysis.semantic_hash", "relationships.children", "context.module_context", F.col("context.file_hierarchy").alias("hierarchy"))

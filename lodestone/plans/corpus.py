@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import dedup, near
+from lodestone.operators import dedup, near, store
 from lodestone.plans.shared import CHUNKS_SQL, chunks, query
+from lodestone.sources import files
 from lodestone.streaming import ingest
 
 
@@ -156,4 +157,54 @@ def streaming_windows(load, spark):
 @query(f"""SELECT language, type, count(*) AS n FROM {CHUNKS_SQL} GROUP BY language, type""")
 def chunk_statistics(load, spark):
     """H2, B1: the statistics of a chunk file."""
-    return chunks(spark).groupBy("language", "type").agg(F.count("*").alias("n"))
+    return chunks(load).groupBy("language", "type").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT name, list_sort(list(file_path || ':' || kind)) AS places FROM (SELECT name, file_path, type AS kind FROM {CHUNKS_SQL}) GROUP BY name""")
+def symbol_multimap(load, spark):
+    """All places of each symbol."""
+    own = chunks(load).select("name", F.col("file_path").alias("path"), F.lit(1).alias("line"), F.col("type").alias("kind"), F.col("parent").alias("scope"))
+    return files.multimap(own).select("name", F.array_sort(F.transform("places", lambda p: F.concat(p["file"], F.lit(":"), p["kind"]))).alias("places"))
+
+
+@query("""WITH l AS (SELECT event_type, CASE event_id % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'index' ELSE 'query' END AS kind, value AS seconds, value >= 0.5 AS ok, user_id AS n FROM events),
+s AS (SELECT event_type, count(*) FILTER (kind = 'search') AS searches, sum(seconds) FILTER (kind = 'search') AS searched, sum(n) FILTER (kind = 'index') AS indexed, sum(seconds) FILTER (kind = 'index') AS indexing,
+count(*) FILTER (kind = 'index' AND NOT ok) AS errors, count(*) FILTER (kind = 'query') AS asked, count(*) FILTER (kind = 'query' AND ok) AS answered FROM l GROUP BY event_type)
+SELECT event_type, searches AS searches_performed, round(coalesce(searched, 0), 6) AS search_time_total, round(coalesce(searched / nullif(searches, 0), 0), 6) AS average_search_time, coalesce(indexed, 0) :: BIGINT AS chunks_indexed,
+round(coalesce(indexing / nullif(indexed, 0), 0), 6) AS average_indexing_time, errors AS indexing_errors, round(coalesce(answered / nullif(asked, 0), 0), 6) AS query_success_rate FROM s""")
+def performance_report(load, spark):
+    """Figures of a log of searches, indexing and queries."""
+    kind = F.element_at(F.array(F.lit("search"), F.lit("index"), F.lit("query")), (F.col("event_id") % 3 + 1).cast("int"))
+    log = load("events").select("event_type", kind.alias("kind"), F.col("value").alias("seconds"), (F.col("value") >= 0.5).alias("ok"), F.col("user_id").alias("n"))
+    return store.performance(log, "event_type")
+
+
+@query("""WITH p AS (SELECT DISTINCT source AS project, length(source) % 4 + 1 AS done FROM documents), steps(nth, step) AS (VALUES (0, 'parsed'), (1, 'preprocessed'), (2, 'embedded'), (3, 'indexed'))
+SELECT project, step, nth FROM p, steps WHERE nth >= done""")
+def pipeline_pending(load, spark):
+    """The steps that each project still has to run."""
+    projects = load("documents").select(F.col("source").alias("project")).distinct()
+    control = projects.select("project", F.posexplode(F.array(*map(F.lit, store.STEPS))).alias("nth", "step")).select("project", "step", (F.col("nth") < F.length("project") % 4 + 1).alias("done"))
+    return store.pending(control, projects)
+
+
+@query("""SELECT count(*) FILTER (l.doc_id IS NOT NULL) AS with_embedding, count(*) AS total, count(*) FILTER (l.doc_id IS NULL) AS to_embed FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)""")
+def embedding_progress(load, spark):
+    """Q5: how many rows are done."""
+    return store.progress(load("documents").select("doc_id"), load("labels").select("doc_id").distinct(), "doc_id")
+
+
+@query("""SELECT doc_id, doc_id % 10 <> 0 AS good, CASE WHEN doc_id % 10 = 0 THEN [] ELSE [doc_id, 1.5] :: DOUBLE[] END AS embedding FROM documents""")
+def stored_embeddings(load, spark):
+    """Q3, Q4: vectors from JSON text; text that is none gives null."""
+    d = F.col("doc_id")
+    rows = load("documents").select("doc_id").withColumn("embedding", F.when(d % 20 == 0, "[1.5, oops").when(d % 10 == 0, F.lit(None)).otherwise(F.concat(F.lit("["), d.cast("string"), F.lit(", 1.5]"))))
+    found = store.parsed_vectors(store.with_column(rows, "embedding", "string"))
+    return found.select("doc_id", F.col("embedding").isNotNull().alias("good"), F.coalesce("embedding", F.array().cast("array<double>")).alias("embedding"))
+
+
+@query(f"""SELECT count(*) AS total_chunks, count(DISTINCT language) AS languages, count(DISTINCT type) AS types, count(*) FILTER (language = 'python') AS python_chunks FROM {CHUNKS_SQL}""")
+def envelope_statistics(load, spark):
+    """The statistics in the envelope of a chunk file."""
+    row = files.statistics(chunks(load))
+    return row.select("total_chunks", F.size("by_language").cast("long").alias("languages"), F.size("by_type").cast("long").alias("types"), F.element_at("by_language", "python").alias("python_chunks"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import prompts
+from lodestone.plans.code import path_case
 from lodestone.plans.search import SPLIT, CANDIDATES, candidates
 from lodestone.plans.shared import CHUNKS_SQL, chunks, query
 from lodestone.operators import search
@@ -48,13 +49,47 @@ d AS (SELECT id, unnest(range(1, len(dependencies) + 1)) AS i, dependencies FROM
 SELECT id, string_agg(dep || coalesce(': ' || upper(s.kind[1]) || s.kind[2:] || ' defined in ' || string_split(s.file, '/')[-1] || ':' || s.line, ''), chr(10) ORDER BY i) AS context FROM e LEFT JOIN first ON name = dep GROUP BY id""")
 def dependency_context(load, spark):
     """Where a chunk's dependencies are defined."""
-    c = chunks(spark)
+    c = chunks(load)
     symbols = c.select("name", F.col("file_path").alias("file"), F.lit(1).alias("line"), F.col("type").alias("kind"))
     return prompts.dependency_context(c, symbols)
 
 
-@query(f"""SELECT id, 'Summarize this ' || language || ' ' || type || '.' || chr(10) || 'Domain: ' || CASE {' '.join('WHEN ' + ' OR '.join(f"contains(lower(file_path), '{n}')" for n in ns) + f" THEN '{name}'" for ns, name in T.PROMPT_DOMAINS)} ELSE 'General code' END
-|| chr(10) || chr(10) || code || chr(10) || chr(10) || 'Summary:' AS prompt FROM {CHUNKS_SQL}""")
+def _sql(text: str) -> str:
+    """Text as a DuckDB literal, line ends included."""
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _chosen(column: str, values: dict) -> str:
+    return f"CASE {column} {' '.join(f'WHEN {_sql(k)} THEN {_sql(v)}' for k, v in values.items() if k)} ELSE {_sql(values[None])} END"
+
+
+MODULE = "CASE WHEN contains(file_path, '/') THEN string_split(file_path, '/')[-2] || ' module' ELSE 'root module' END"
+PROJECT = """CASE WHEN list_contains(string_split(file_path, '/'), 'migrations') THEN 'Database changes' WHEN ends_with(file_path, '.py') THEN string_split(file_path, '/')[1] || ' Backend App'
+WHEN ends_with(file_path, '.html') OR ends_with(file_path, '.css') THEN 'Project Templates' WHEN ends_with(file_path, '.js') OR ends_with(file_path, '.mjs') THEN 'Javascript Frontend' ELSE 'Project codebase' END"""
+KNOWN = f"""c AS (SELECT * FROM {CHUNKS_SQL}), first AS (SELECT name, min({{'file': file_path, 'line': 1, 'kind': type}}) AS s FROM c GROUP BY name), d AS (SELECT id, unnest(range(1, len(dependencies) + 1)) AS i, dependencies FROM c),
+k AS (SELECT d.id, string_agg('- ' || dependencies[i] || ': ' || upper(s.kind[1]) || s.kind[2:] || ' defined in ' || string_split(s.file, '/')[-1] || ':1', chr(10) ORDER BY i) AS details FROM d JOIN first ON name = dependencies[i] WHERE i <= 5 GROUP BY d.id)"""
+DEPENDS = "CASE WHEN len(dependencies) > 0 THEN array_to_string(dependencies, ', ') ELSE 'None' END"
+BARE = r"regexp_replace(code, '^\s+|\s+$', '', 'g')"
+
+
+def symbols_of(c):
+    return c.select("name", F.col("file_path").alias("file"), F.lit(1).alias("line"), F.col("type").alias("kind"))
+
+
+@query(f"""WITH {KNOWN} SELECT c.id, {_sql(prompts.SUMMARY_INTRO.split('{language}')[0])} || language || {_sql(prompts.SUMMARY_INTRO.split('{language}')[1])} || {_sql(chr(10) * 2 + 'Module: ')} || {MODULE} || {_sql(chr(10) + 'Domain: ')} || {path_case(T.PROMPT_DOMAINS, 'General code')}
+|| {_sql(chr(10) + 'Project: ')} || {PROJECT} || {_sql(chr(10) * 2 + 'File: ')} || file_path || {_sql(chr(10) + 'Type: ')} || type || {_sql(chr(10) + 'Name: ')} || name || {_sql(chr(10) + 'Qualified Name: unknown' + chr(10) + 'Location: Lines ?-?' + chr(10) * 2)} || {_chosen('type', prompts.TYPE_ADVICE)}
+|| {_sql(chr(10) * 2 + 'Dependencies: ')} || {DEPENDS} || chr(10) || coalesce({_sql('Dependency details:' + chr(10))} || details, 'No additional dependency or relationship info.') || {_sql(chr(10) * 2)} || {_chosen('language', prompts.LANGUAGE_ADVICE)}
+|| {_sql(chr(10) * 2 + 'Code:' + chr(10) + '```')} || language || chr(10) || {BARE} || {_sql(chr(10) + '```' + chr(10) * 2 + prompts.SUMMARY_END)} AS prompt FROM c LEFT JOIN k USING (id)""")
 def summary_prompts(load, spark):
-    """S3, S5."""
-    return chunks(spark).select("id", prompts.summary_prompt(T.prompt_domain(F.col("file_path")), F.col("type"), F.col("language"), F.col("code")).alias("prompt"))
+    """S3: prompts for one-sentence summaries, by language and type."""
+    c = chunks(load)
+    return prompts.summary_prompts(c, symbols_of(c))
+
+
+@query(f"""WITH {KNOWN.replace(' WHERE i <= 5', '')} SELECT c.id, {_sql(prompts.DJANGO_INTRO + chr(10) * 2 + 'Module: ')} || {MODULE} || {_sql(chr(10) + 'Domain context: ')} || {path_case(T.INDEX_DOMAINS, 'General application code')} || {_sql(chr(10) + 'File: ')} || file_path
+|| {_sql(chr(10) + 'Type: ')} || type || {_sql(chr(10) + 'Name: ')} || name || {_sql(chr(10) + 'Dependencies: ')} || {DEPENDS} || {_sql(chr(10) * 2)} || coalesce(details, 'No additional dependency info.')
+|| {_sql(chr(10) * 2 + 'Code:' + chr(10) + '```')} || language || chr(10) || {BARE} || {_sql('```' + chr(10) + prompts.SUMMARY_END)} AS prompt FROM c LEFT JOIN k USING (id)""")
+def django_prompts(load, spark):
+    """The summary prompt for a Django project."""
+    c = chunks(load)
+    return prompts.django_prompts(c, symbols_of(c))

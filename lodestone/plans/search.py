@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
-from lodestone.operators import rerank, search, validate
+from lodestone.operators import ann, rerank, search, validate
 from lodestone.operators.tables import stored
-from lodestone.plans.code import CHUNKS_SQL, counted, worded
+from lodestone.plans.code import CHUNKS_SQL, DETECTED, counted, worded
 from lodestone.plans.shared import chunks, query
 
 EVERY = 50  # rows whose number this divides are the queries
@@ -469,7 +469,7 @@ def validate_domain(load, spark):
 def validate_dependency(load, spark):
     """Something declared is found in the code, or nothing is declared."""
     names = F.regexp_extract_all("code", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
-    return chunks(spark).select("id", validate.dependency(F.col("dependencies"), names).alias("passed"))
+    return chunks(load).select("id", validate.dependency(F.col("dependencies"), names).alias("passed"))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber BETWEEN 2 AND 4 AND l_quantity >= 10")
@@ -481,6 +481,44 @@ def payload_range(load, spark):
 @query(f"""WITH c AS (SELECT * FROM {CHUNKS_SQL}) SELECT t.id AS test_id, c.id FROM c t JOIN c ON list_contains(t.dependencies, c.name) WHERE contains(t.file_path, 'test')""")
 def related_tests(load, spark):
     """P10: tests and the chunks that they depend on, by name."""
-    c = chunks(spark)
+    c = chunks(load)
     tests = c.filter(F.col("file_path").contains("test")).select(F.col("id").alias("test_id"), F.explode("dependencies").alias("name"))
     return tests.join(c.select("id", "name"), "name").select("test_id", "id")
+
+
+REPORT = f"""WITH {MOMENTS}, {CODE}, dist AS ({DISTRIBUTION}), cons AS ({CONSISTENCY}), f AS (SELECT doc_id, text AS code, doc_id % 3 = 0 AS bare, contains(text, 'import ') :: INT + contains(text, 'from ') :: INT AS hints, {worded('if for while def class')} AS branches FROM documents),
+a AS (SELECT r.*, syntax, tokens, hints, branches, bare, len(list_filter(v, lambda x: x > 0)) / n AS positive, variance * entropy AS complex, CASE WHEN hints + branches = 0 THEN 0.0 WHEN variance * entropy * 1000 / (hints + branches) < 0.1 THEN variance * entropy * 10000 / (hints + branches)
+WHEN variance * entropy * 1000 / (hints + branches) > 10 THEN 10 / (variance * entropy * 1000 / (hints + branches)) ELSE 1.0 END AS aligned, variance / greatest(tokens, 1) AS density, variance * 1000 / greatest(syntax, 1) AS ratio, len({DETECTED}) > 0 AS shows
+FROM r JOIN code ON code.doc_id = vec_id JOIN f ON f.doc_id = vec_id),
+ok AS (SELECT vec_id, hints, aligned, density, ratio, n = 64 AND norm > 0.01 AND norm < 1000 AS d1, tokens > 0 AND density > 1e-6 AND density * entropy > 1e-6 AND ratio > 0.01 AND ratio < 100 AND variance > 1e-8 AS d2,
+sufficient_dimensions AND no_excessive_outliers AND balanced_distribution AND reasonable_skewness AND reasonable_kurtosis AS d3, no_excessive_outliers, hints > 0 AND variance > 1e-6 AND entropy > 0.1 AND positive > 0.3 AND positive < 1 AND aligned > 0.3 AS d4,
+no_repeating_patterns AND sufficient_variance AND no_extreme_values AND smooth_distribution AS d5, bare OR (shows AND complex > 1e-6) AS d6 FROM a JOIN dist USING (vec_id) JOIN cons USING (vec_id)),
+said AS (SELECT *, list_filter([CASE WHEN NOT d2 AND density < 1e-6 THEN 'Low semantic density - consider including more context in embedding_text' END, CASE WHEN NOT d2 AND ratio < 0.01 THEN 'Embedding complexity too low for code complexity - model may not capture code structure' END,
+CASE WHEN NOT d3 AND NOT no_excessive_outliers THEN 'High outlier percentage detected - embedding may be unstable' END, CASE WHEN NOT d4 AND hints = 0 THEN 'No code elements detected - ensure chunk contains actual code' END,
+CASE WHEN NOT d4 AND NOT aligned > 0.3 THEN 'Poor alignment between code and embedding - model may not understand code structure' END, CASE WHEN NOT d5 THEN 'Consistency issues detected - verify model stability across batches' END,
+CASE WHEN NOT d6 THEN 'Dependencies not well represented - ensure dependency metadata is included in embedding_text' END], lambda x: x IS NOT NULL) AS found FROM ok)
+SELECT vec_id, round(0.25 * d1 :: INT + 0.25 * d2 :: INT + 0.15 * d3 :: INT + 0.15 * d4 :: INT + 0.1 * d5 :: INT + 0.1 * d6 :: INT, 6) :: DOUBLE AS overall, d1 AND d2 AND d3 AND d4 AND d5 AND d6 AS passed,
+list_filter([CASE WHEN NOT d1 THEN 'dimensionality' END, CASE WHEN NOT d2 THEN 'semantic' END, CASE WHEN NOT d3 THEN 'distribution' END, CASE WHEN NOT d4 THEN 'domain' END, CASE WHEN NOT d5 THEN 'consistency' END, CASE WHEN NOT d6 THEN 'dependency' END], lambda x: x IS NOT NULL) AS failed,
+CASE WHEN len(found) = 0 THEN ['All validations passed - embedding quality is good'] ELSE found END AS recommendations FROM said"""
+
+
+@query(REPORT)
+def quality_report(load, spark):
+    """All six validators over vectors and the texts of the same number, reasons and recommendations."""
+    declared = F.when(F.col("vec_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("language"))
+    rows = described(load).withColumn("declared", declared).withColumn("detected", T.detected_dependencies(F.col("code")))
+    scored = validate.report(rows)
+    heads = F.filter("rejection_reasons", lambda r: ~r.startswith(" "))
+    return scored.select("vec_id", "overall", "passed", F.transform(heads, lambda r: F.regexp_extract(r, "^([a-z]+)_", 1)).alias("failed"), "recommendations")
+
+
+CELLS, RECALL = 16, 0.95
+
+
+@query()
+def ann_topk(load, spark):
+    """Nearest points from the cells of the nearest centroids; tests hold it against exact search."""
+    sample = ann.sampled(points(load))
+    centers = ann.fitted(sample, CELLS)
+    probes = ann.probes_for(sample, centers, RECALL)
+    return search.best(ann.nearest(ann.index(points(load), centers), centers, vector_queries(load), 10, probes), 10, "query_id").select("query_id", "id", "score", "rank")

@@ -8,11 +8,13 @@ chunks.  Parsing is per file, so it runs as one pass over the files without any
 from __future__ import annotations
 
 import ast
+import bisect
 import hashlib
 import io
 import re
 import tokenize
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -24,7 +26,7 @@ from lodestone.sources.files import CHUNK
 MODEL_FIELDS = ["CharField", "TextField", "IntegerField", "FloatField", "BooleanField", "DateField", "DateTimeField", "ForeignKey", "ManyToManyField", "OneToOneField", "EmailField"]
 FORM_FIELDS = ["CharField", "IntegerField", "BooleanField", "ChoiceField", "EmailField", "DateField", "FileField"]
 ADMIN_ATTRIBUTES = ["list_display", "list_filter", "search_fields", "readonly_fields", "exclude", "fields"]
-VIEW_METHODS = ["get", "post", "put", "delete", "patch", "get_queryset", "get_context_data", "dispatch"]
+VIEW_METHODS = ["get", "post", "put", "delete", "dispatch", "setup", "get_context_data", "get_queryset"]
 META_OPTIONS = ["db_table", "verbose_name", "verbose_name_plural", "ordering", "indexes", "unique_together", "abstract", "managed"]
 HTML_CHUNKS = ["div", "section", "article", "template", "main"]
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
@@ -109,13 +111,15 @@ def class_fields(node: ast.ClassDef, kind: str | None) -> dict[str, str]:
             elif kind == "django_admin" and name in ADMIN_ATTRIBUTES:
                 out[name] = ast.unparse(item.value)
         elif isinstance(item, ast.FunctionDef | ast.AsyncFunctionDef) and (kind == "django_manager" or (kind == "django_view" and item.name in VIEW_METHODS)):
-            out[item.name] = "method"
+            out[item.name] = " ".join(["method", *("@" + ast.unparse(d) for d in item.decorator_list)])
     return out
 
 
 def meta_options(node: ast.ClassDef) -> dict[str, str]:
     inner = [n for n in node.body if isinstance(n, ast.ClassDef) and n.name == "Meta"]
-    return {n.targets[0].id: ast.unparse(n.value) for m in inner for n in m.body if isinstance(n, ast.Assign) and isinstance(n.targets[0], ast.Name) and n.targets[0].id in META_OPTIONS}
+    calls = [n for n in ast.walk(node) if isinstance(n, ast.Call) and ast.unparse(n.func) == "admin.site.register" and n.args]
+    registers = {"admin_registers": ast.unparse(calls[-1].args[0])} if calls else {}
+    return registers | {n.targets[0].id: ast.unparse(n.value) for m in inner for n in m.body if isinstance(n, ast.Assign) and isinstance(n.targets[0], ast.Name) and n.targets[0].id in META_OPTIONS}
 
 
 def python_chunks(path: str, content: str) -> list[dict]:
@@ -165,7 +169,9 @@ def python_chunks(path: str, content: str) -> list[dict]:
 
 # ---------------------------------------------------------------- JavaScript and CSS
 
-BLANKED = re.compile(r"/\*.*?\*/|//[^\n]*|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`", re.S)
+# comments, regular expressions (behind what can't end a value), strings
+REGEX = r"(?:(?<=[=(,:;!&|?\[{\n])|(?<=return))[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[dgimsuvy]*"
+BLANKED = re.compile(r"/\*.*?\*/|//[^\n]*|" + REGEX + r"|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`", re.S)
 
 
 def blanked(code: str) -> str:
@@ -173,18 +179,26 @@ def blanked(code: str) -> str:
     return BLANKED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
 
 
+BRACES = re.compile(r"[{}()\[\]]")
+
+
 def closing(code: str, at: int) -> int:
     """The place after the brace that closes the one at a place."""
     depth = 0
-    for i in range(at, len(code)):
-        depth += (code[i] in "{([") - (code[i] in "})]")
+    for m in BRACES.finditer(code, at):
+        depth += 1 if m[0] in "{([" else -1
         if depth == 0:
-            return i + 1
+            return m.end()
     return len(code)
 
 
+@lru_cache(maxsize=4)
+def line_breaks(code: str) -> list[int]:
+    return [m.start() for m in re.finditer("\n", code)]
+
+
 def line_of(code: str, at: int) -> int:
-    return code.count("\n", 0, at) + 1
+    return bisect.bisect_left(line_breaks(code), at) + 1
 
 
 JS = re.compile(
@@ -260,14 +274,21 @@ def members(owner: str, first: int, last: int, code: str, add) -> None:
 
 
 def css_chunks(path: str, content: str) -> list[dict]:
-    code, out, at = re.sub(r"/\*.*?\*/", lambda m: re.sub(r"[^\n]", " ", m[0]), content, flags=re.S), [], 0
-    while m := re.compile(r"[^{};]*([{;])").search(code, at):
-        selector = code[m.start() : m.end() - 1].strip()
-        end = closing(code, m.end() - 1) if m[1] == "{" else m.end()
-        if selector and (m[1] == "{" or selector.startswith("@")):
-            first = m.start() + len(m[0]) - len(m[0].lstrip())
-            out.append(chunk("css_rule", selector, path, "css", content[first:end], line_of(content, first), line_of(content, end)))
-        at = end
+    """Rules and at-rules, also those within others; meta tells rule sets, at-rules and keyframes apart."""
+    code, out = re.sub(r"/\*.*?\*/", lambda m: re.sub(r"[^\n]", " ", m[0]), content, flags=re.S), []
+    head, todo = re.compile(r"[^{};]*([{;])"), [(0, len(code))]
+    while todo:
+        at, stop = todo.pop(0)
+        while (m := head.search(code, at, stop)) is not None:
+            selector = code[m.start() : m.end() - 1].strip()
+            end = closing(code, m.end() - 1) if m[1] == "{" else m.end()
+            if selector and (m[1] == "{" or selector.startswith("@")):
+                first = m.start() + len(m[0]) - len(m[0].lstrip())
+                kind = "rule_set" if selector[0] != "@" else "keyframes" if "keyframes" in selector.split()[0] else "at_rule"
+                out.append(chunk("css_rule", selector, path, "css", content[first:end], line_of(content, first), line_of(content, end), metadata={"meta": {"kind": kind}}))
+                if m[1] == "{" and kind != "keyframes":
+                    todo.append((m.end(), end - 1))
+            at = end
     return out
 
 
@@ -277,6 +298,8 @@ def css_chunks(path: str, content: str) -> list[dict]:
 class Elements(HTMLParser):
     """Spans of the elements that become chunks."""
 
+    kept: list[str] | None = HTML_CHUNKS
+
     def __init__(self, content: str):
         super().__init__(convert_charrefs=False)
         self.starts = [0, *(m.end() for m in re.finditer("\n", content))]
@@ -298,7 +321,7 @@ class Elements(HTMLParser):
             if self.open[i][0] == tag:
                 name, first, label = self.open[i]
                 del self.open[i:]
-                if name in HTML_CHUNKS:
+                if self.kept is None or name in self.kept:
                     self.found.append((name, first, self.place() + len(tag) + 3, label))
                 return
 
@@ -319,14 +342,48 @@ def file_chunk(path: str, language: str, content: str, kind: str = "file") -> li
 PARSERS = {"python": python_chunks, "javascript": javascript_chunks, "css": css_chunks, "html": html_chunks}
 
 
+FAILURES = (SyntaxError, ValueError, RecursionError)
+
+
 def parsed(path: str, language: str, content: str) -> list[dict]:
     """The chunks of one file; none if it doesn't parse."""
     try:
         return PARSERS[language](path, content) if language in PARSERS else file_chunk(path, language, content)
-    except (SyntaxError, ValueError, RecursionError):
+    except FAILURES:
         return []
 
 
+def failure(path: str, language: str, content: str) -> str | None:
+    """Why a file doesn't parse."""
+    try:
+        if language in PARSERS:
+            PARSERS[language](path, content)
+    except FAILURES as error:
+        return f"{type(error).__name__}: {error}"
+    return None
+
+
+def tree(language: str, content: str) -> list[str]:
+    """The syntax tree of a Python or HTML file, a node's type on each line, indented by depth."""
+    if language == "python":
+        out: list[str] = []
+        todo: list[tuple[ast.AST, int]] = [(ast.parse(content), 0)]
+        while todo:
+            node, depth = todo.pop()
+            out.append("  " * depth + type(node).__name__)
+            todo += [(child, depth + 1) for child in reversed(list(ast.iter_child_nodes(node)))]
+        return out
+    spans = [(first, last, tag) for tag, first, last in all_elements(content)] if language == "html" else []
+    return ["  " * sum(a < first and last <= b for a, b, _ in spans) + tag for first, last, tag in sorted(spans)]
+
+
+def all_elements(content: str) -> list[tuple[str, int, int]]:
+    class Every(Elements):
+        kept = None
+
+    return [(tag, first, last) for tag, first, last, _ in Every(content).found]
+
+
 def chunks(files: DataFrame) -> DataFrame:
     """The chunks of files (file_path, language, content)."""
 
@@ -338,3 +395,14 @@ def chunks(files: DataFrame) -> DataFrame:
                     yield pd.DataFrame(found, columns=columns)
 
     return files.select("file_path", "language", "content").mapInPandas(work, CHUNK)
+
+
+def errors(files: DataFrame) -> DataFrame:
+    """(file_path, language, error) of the files that don't parse."""
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [(r.file_path, r.language, e) for r in part.itertuples(index=False) if (e := failure(r.file_path, r.language, r.content or ""))]
+            yield pd.DataFrame(found, columns=["file_path", "language", "error"])
+
+    return files.select("file_path", "language", "content").mapInPandas(work, "file_path string, language string, error string")

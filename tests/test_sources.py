@@ -27,7 +27,7 @@ def test_javascript_chunks():
 
 
 def test_css_and_html_chunks():
-    assert [c["name"] for c in parse.parsed("a.css", "css", "/* x */ .a { b: c }\n@media (x) { .d { e: f } }")] == [".a", "@media (x)"]
+    assert [c["name"] for c in parse.parsed("a.css", "css", "/* x */ .a { b: c }\n@media (x) { .d { e: f } }")] == [".a", "@media (x)", ".d"]
     long = "x" * 60
     assert [c["name"] for c in parse.parsed("a.html", "html", f"<div id='m'><p>{long}</p><br></div>")] == ["m"]
     assert [c["type"] for c in parse.parsed("a.html", "html", "<p>short</p>")] == ["html_file"]
