@@ -52,25 +52,47 @@ SENTENCES: dict[str, str] = {
     "cc-by-sa-notice": "Licensed under CC BY-SA 4.0.",
     "unlicense-notice": "This is free and unencumbered software released into the public domain and free of any licence.",
     "reserved": "Copyright, all rights reserved.",
+    "mit-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd-liability": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "isc-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "isc-liability": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "apache-unless": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "apache-see": "See the License for the specific language governing permissions and limitations under the License.",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "zlib-warranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-liability": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "boost-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "unlicense-grant": "This is free and unencumbered software released into the public domain.",
 }
 # Ordered rules, each a licence and the sentences that must follow each other.
 RULES: list[tuple[str, list[str]]] = [
+    ("MIT", ["mit-grant", "mit-keep", "asis-software", "mit-liability"]),
     ("MIT", ["mit-grant", "mit-keep", "asis-software"]),
     ("MIT", ["mit-grant", "mit-keep"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("ISC", ["isc-grant", "isc-warranty", "isc-liability"]),
     ("ISC", ["isc-grant", "asis-software"]),
     ("ISC", ["isc-grant"]),
+    ("BSD-3-Clause", ["bsd-intro", "bsd-source", "bsd-binary", "bsd-names", "bsd-warranty", "bsd-liability"]),
+    ("BSD-2-Clause", ["bsd-intro", "bsd-source", "bsd-binary", "bsd-warranty", "bsd-liability"]),
     ("BSD-3-Clause", ["bsd-intro", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-2-Clause", ["bsd-intro", "bsd-source", "bsd-binary"]),
     ("GPL-3.0-or-later", ["gpl-may", "gpl-nowarranty", "gpl-details"]),
     ("GPL-3.0-or-later", ["gpl-may"]),
     ("GPL-2.0-or-later", ["gpl2-may", "gpl-nowarranty", "gpl-details"]),
     ("GPL-2.0-or-later", ["gpl2-may"]),
+    ("Zlib", ["zlib-warranty", "zlib-liability", "zlib-grant"]),
     ("Apache-2.0", ["apache-grant", "apache-comply", "apache-copy"]),
+    ("Apache-2.0", ["apache-unless", "apache-see"]),
     ("Apache-2.0", ["apache-notice"]),
     ("MIT", ["mit-notice"]),
     ("MIT", ["mit-notice-2"]),
     ("GPL-3.0-only", ["gpl3-notice"]),
+    ("MPL-2.0", ["mpl-notice", "mpl-copy"]),
     ("MPL-2.0", ["mpl-notice"]),
+    ("Unlicense", ["unlicense-grant"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-notice"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-notice"]),
     ("CC-BY-4.0", ["cc-by-notice"]),
@@ -78,7 +100,31 @@ RULES: list[tuple[str, list[str]]] = [
     ("LicenseRef-all-rights-reserved", ["reserved"]),
 ]
 # Each known sentence, normalised, has one of these.
-ANCHORS = ["licen", "copyright", "permission", "merchantab", "redistribut", "free software"]
+ANCHORS = ["licen", "copyright", "permission", "merchantab", "redistribut", "free software", "warrant", "liable", "unencumbered", "mpl", "gnu"]
+# Names that notices give to licences, and how notices are worded.
+NAMES: dict[str, list[str]] = {
+    "MIT": ["MIT License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+    "GPL-2.0-only": ["GNU General Public License, version 2", "GNU GPL version 2", "GPLv2 license"],
+    "GPL-3.0-only": ["GNU General Public License, version 3", "GNU GPL version 3", "GPLv3 license"],
+    "LGPL-2.1-only": ["GNU Lesser General Public License, version 2.1", "LGPLv2.1 license"],
+    "LGPL-3.0-only": ["GNU Lesser General Public License, version 3", "LGPLv3 license"],
+    "AGPL-3.0-only": ["GNU Affero General Public License, version 3", "AGPLv3 license"],
+    "MPL-2.0": ["Mozilla Public License, v. 2.0", "Mozilla Public License 2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-clause BSD license"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-clause BSD license"],
+    "ISC": ["ISC License"],
+    "Zlib": ["zlib License"],
+    "BSL-1.0": ["Boost Software License, Version 1.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0"],
+    "Unlicense": ["Unlicense"],
+    "CC0-1.0": ["CC0 1.0 Universal license"],
+    "CC-BY-4.0": ["CC BY 4.0 license", "Creative Commons Attribution 4.0 International License"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0 license", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0 license", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+}
+NOTICES = ["Licensed under the {}.", "Released under the {}.", "Distributed under the terms of the {}.", "This project is licensed under the {}.", "This work is licensed under a {}."]
+IDENTIFIED = "SPDX-License-Identifier: {}"
 
 
 def plain(sentence: str) -> str:
@@ -94,6 +140,25 @@ def known(sentences: dict[str, str]) -> dict[str, str]:
     return out
 
 
+def with_notices(sentences: dict[str, str], rules: list[tuple[str, list[str]]]) -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
+    """The sentences and rules, and a sentence and a rule for every notice of every name that isn't among them."""
+    held, more, last = known(sentences), {}, []
+    for licence, names in NAMES.items():
+        texts = [notice.format(name) for name in names for notice in NOTICES] + [IDENTIFIED.format(licence)]
+        for k, text in enumerate(texts):
+            if plain(text) not in held:
+                name = f"{licence.lower()}-said-{k}"
+                held[plain(text)] = name
+                more[name] = text
+                last.append((licence, [name]))
+    return sentences | more, rules + last
+
+
+SENTENCES, RULES = with_notices(SENTENCES, RULES)
+if dead := [names for _, names in RULES if not set(names) <= set(known(SENTENCES).values())]:
+    raise ValueError(f"rules of sentences that are not known: {dead}")
+
+
 def sequence(text: Column, sentences: dict[str, str], anchors: list[str]) -> Column:
     """The identifiers of known sentences of a text, in order."""
     anchors = [a for a in anchors if " " not in a]

@@ -12,25 +12,37 @@ def _text(s: str) -> str:
 
 
 def licences() -> str:
-    """Sentences looked up in a table of known ones; then one step per ordered rule."""
+    """Known sentences found by their words, wherever lines end; then one step per ordered rule.
+
+    Written on its own terms: words are numbered, a sentence is joined by its first three words, and
+    its first and last word must stand at cuts (line ends, or blanks behind a stop).
+    """
     rows = ", ".join(f"({_text(k)}, {_text(v)})" for k, v in known(SENTENCES).items())
-    may = " OR ".join(f"contains(lower(text), {_text(a)})" for a in ANCHORS)
+    may = " OR ".join(f"contains(lower(text), {_text(a)})" for a in ANCHORS if " " not in a)
     sql = [
-        f"WITH book(sentence, id) AS (VALUES {rows})",
+        f"WITH book AS (SELECT words, id, array_to_string(words[1:3], ' ') AS lead FROM (SELECT string_split(sentence, ' ') AS words, id FROM (VALUES {rows}) b(sentence, id)))",
         "docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents)",
-        "parts AS (SELECT r, string_split(regexp_replace(lower(text), '([.!?:;])[ \\t\\r\\n]+', '\\1\n', 'g'), '\n') AS p FROM docs WHERE " + may + ")",
-        "one AS (SELECT r, i, trim(regexp_replace(p[i], '[^a-z0-9]+', ' ', 'g')) AS sentence FROM (SELECT r, p, unnest(range(1, len(p) + 1)) AS i FROM parts))",
-        "seq AS (SELECT r, count(*) AS n, string_agg(id, ' ' ORDER BY i) AS ids, ' ' || string_agg(id, '  ' ORDER BY i) || ' ' AS rest FROM one JOIN book USING (sentence) GROUP BY r)",
-        "s0 AS (SELECT r, n, ids, rest, [] :: VARCHAR[] AS took FROM seq)",
+        r"""bare AS (SELECT r, regexp_replace(replace(lower(text), '|', ','), '(^|\n)([^a-z0-9\n]*)@?(dnl|rem)([ \t\r\n]|$)', '\1\2\4', 'g') AS t FROM docs WHERE """ + may + ")",
+        r"""tokens AS (SELECT r, list_filter(regexp_extract_all(regexp_replace(regexp_replace(t, '([.!?:;])[ \t\r\n]+', ' | ', 'g'), '\n', ' | ', 'g'), '[a-z0-9]+|\|'), lambda x: x <> '') AS k FROM bare)""",
+        "places AS (SELECT r, k, unnest(range(1, len(k) + 1)) AS p FROM tokens)",
+        "words AS (SELECT r, p, k[p] AS word, p = 1 OR k[p - 1] = '|' AS opens, row_number() OVER (PARTITION BY r ORDER BY p) AS i FROM places WHERE k[p] <> '|')",
+        "line AS (SELECT r, list(word ORDER BY i) AS w, list(opens ORDER BY i) AS o FROM words GROUP BY r)",
+        "starts AS (SELECT r, i, w, o, array_to_string(w[i:i + 2], ' ') AS lead FROM (SELECT r, w, o, unnest(range(1, len(w) + 1)) AS i FROM line) WHERE o[i])",
+        "found AS (SELECT r, i, i + len(words) AS stop, id FROM starts JOIN book USING (lead) WHERE w[i:i + len(words) - 1] = words AND (i + len(words) > len(w) OR o[i + len(words)]))",
+        "one AS (SELECT r, i, id FROM found f WHERE NOT EXISTS (SELECT 1 FROM found g WHERE g.r = f.r AND g.i <= f.i AND g.stop >= f.stop AND g.stop - g.i > f.stop - f.i))",
+        "seq AS (SELECT r, count(*) AS n, string_agg(id, ' ' ORDER BY i) AS ids, ' ' || string_agg(id, '  ' ORDER BY i) || ' ' AS rest FROM one GROUP BY r)",
+    ]
+    # one row a rule, in order, applied by recursion
+    ordered = ", ".join(f"({i}, {_text(name)}, {_text(' ' + '  '.join(names) + ' ')})" for i, (name, names) in enumerate(RULES))
+    sql += [
+        f"rules(k, licence, want) AS (VALUES {ordered})",
+        "steps(r, k, n, ids, rest, took) AS (SELECT r, 0, n, ids, rest, [] :: VARCHAR[] FROM seq UNION ALL "
+        "SELECT s.r, s.k + 1, s.n, s.ids, replace(s.rest, u.want, ' | '), CASE WHEN contains(s.rest, u.want) AND NOT list_contains(s.took, u.licence) THEN list_append(s.took, u.licence) ELSE s.took END FROM steps s JOIN rules u ON u.k = s.k)",
+        f"done AS (SELECT * FROM steps WHERE k = {len(RULES)})",
     ]
-    for i, (name, names) in enumerate(RULES):
-        want = _text(" " + "  ".join(names) + " ")
-        sql.append(
-            f"s{i + 1} AS (SELECT r, n, ids, replace(rest, {want}, ' | ') AS rest, CASE WHEN contains(rest, {want}) AND NOT list_contains(took, {_text(name)}) THEN list_append(took, {_text(name)}) ELSE took END AS took FROM s{i})"
-        )
-    return ", ".join(sql) + (
-        f" SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(took, ' '), '') AS licences, "
-        f"coalesce(trim(regexp_replace(replace(rest, '|', ' '), ' +', ' ', 'g')), '') AS left_over FROM docs LEFT JOIN s{len(RULES)} USING (r)"
+    return ", ".join(sql).replace("WITH ", "WITH RECURSIVE ", 1) + (
+        " SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(took, ' '), '') AS licences, "
+        "coalesce(trim(regexp_replace(replace(rest, '|', ' '), ' +', ' ', 'g')), '') AS left_over FROM docs LEFT JOIN done USING (r)"
     )
 
 
