@@ -127,11 +127,6 @@ def overall(passed: dict[str, Column], profile: dict[str, float] = PROFILE, thre
     return score, (score >= threshold) & all_of(passed)
 
 
-def reasons(passed: dict[str, Column]) -> Column:
-    """Names of the validators that fail, in order."""
-    return F.array_compact(F.array(*[F.when(~c, F.lit(f"{k} below threshold")) for k, c in passed.items()]))
-
-
 # What is recommended, by validator and failed check.
 ADVICE = {
     "dimension_match": "Embedding dimension mismatch - check model configuration",

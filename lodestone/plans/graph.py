@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import graph, search
+from lodestone.operators.tables import stored
 from lodestone.plans.search import METRIC, QUERY_VECTORS, points, vector_queries
 from lodestone.plans.shared import CHUNKS_SQL, query
 
@@ -127,7 +128,7 @@ def context_budget(load, spark):
 FROM embeddings p, (SELECT label, embedding FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)) c GROUP BY p.vec_id) GROUP BY nearest""")
 def nearest_collection(load, spark):
     """Points by the collection whose first member is nearest; the few heads are broadcast."""
-    heads = points(load).groupBy("label").agg(F.min_by("vector", "id").alias("head"))
-    scores = points(load).select("id", "vector").join(F.broadcast(heads.select(F.col("label").alias("l"), "head"))).select("id", "l", F.round(V.cosine(F.col("vector"), F.col("head")), 6).alias("s"))
+    heads = stored(points(load).groupBy("label").agg(F.min_by("vector", "id").alias("head")).select(F.col("label").alias("l"), "head"), "heads")
+    scores = points(load).select("id", "vector").join(search.small(heads)).select("id", "l", F.round(V.cosine(F.col("vector"), F.col("head")), 6).alias("s"))
     best = scores.groupBy("id").agg(F.max_by("l", F.struct("s", -F.col("l"))).alias("nearest"))
     return best.groupBy("nearest").agg(F.count("*").alias("n"))

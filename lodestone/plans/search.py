@@ -138,16 +138,10 @@ def rag_top5(load, spark):
     return search.best(hits.drop("rank"), 5, "query_id").select("query_id", "id", "score", "rank")
 
 
-@query(f"SELECT query_id, id, score FROM ({dense_sql(50)}) WHERE query_id = 0")
+@query(f"SELECT query_id, id, score FROM ({dense_sql(50)})")
 def initial_candidates(load, spark):
-    """K2: the first fifty by score."""
-    return search.dense(points(load), vector_queries(load).filter("query_id = 0"), 50).select("query_id", "id", "score")
-
-
-@query(dense_sql(50))
-def initial_candidates_each(load, spark):
     """K2: the first fifty by score of every stated query."""
-    return search.dense(points(load), vector_queries(load), 50)
+    return search.dense(points(load), vector_queries(load), 50).select("query_id", "id", "score")
 
 
 @query(f"SELECT query_id, vec_id AS id, round({METRIC['cosine']}, 6) AS score FROM (SELECT vec_id, embedding AS v FROM embeddings), ({QUERY_VECTORS})")
@@ -407,29 +401,6 @@ def validate_consistency(load, spark):
     return validate.ready(load("embeddings")).select("vec_id", *[c.alias(k) for k, c in validate.consistency().items()])
 
 
-OVERALL = f"""WITH dist AS ({DISTRIBUTION}), cons AS ({CONSISTENCY}), {MOMENTS},
-passed AS (SELECT vec_id, (n = 64 AND norm > 0.01 AND norm < 1000) AS dimensionality,
-(sufficient_dimensions AND no_excessive_outliers AND balanced_distribution AND reasonable_skewness AND reasonable_kurtosis) AS distribution,
-(no_repeating_patterns AND sufficient_variance AND no_extreme_values AND smooth_distribution) AS consistency FROM r JOIN dist USING (vec_id) JOIN cons USING (vec_id))
-SELECT vec_id, round(0.25 * dimensionality :: INT + 0.15 * distribution :: INT + 0.1 * consistency :: INT + 0.5, 6) :: DOUBLE AS overall, (dimensionality AND distribution AND consistency) AS passed,
-list_filter([CASE WHEN NOT dimensionality THEN 'dimensionality below threshold' END, CASE WHEN NOT distribution THEN 'distribution below threshold' END, CASE WHEN NOT consistency THEN 'consistency below threshold' END], lambda x: x IS NOT NULL) AS reasons FROM passed"""
-
-
-@query(OVERALL)
-def quality_overall(load, spark):
-    """The profile's score; validators that need code count as passed for bare vectors."""
-    passed = {
-        "dimensionality": validate.all_of(validate.dimensionality(64)),
-        "semantic": F.lit(True),
-        "distribution": validate.all_of(validate.distribution(64)),
-        "domain": F.lit(True),
-        "consistency": validate.all_of(validate.consistency()),
-        "dependency": F.lit(True),
-    }
-    score, good = validate.overall(passed)
-    return validate.ready(load("embeddings")).select("vec_id", F.round(score, 6).alias("overall"), good.alias("passed"), validate.reasons(passed).alias("reasons"))
-
-
 # ---------------------------------------------------------------- validators that need code beside the vector
 
 CODE = f"""code AS (SELECT doc_id, text, lang, {worded('def class function if else elif for while try except finally import from')} + len(regexp_extract_all(text, '@[\\p{{L}}\\p{{N}}_]+'))
@@ -502,14 +473,24 @@ list_filter([CASE WHEN NOT d1 THEN 'dimensionality' END, CASE WHEN NOT d2 THEN '
 CASE WHEN len(found) = 0 THEN ['All validations passed - embedding quality is good'] ELSE found END AS recommendations FROM said"""
 
 
-@query(REPORT)
-def quality_report(load, spark):
-    """All six validators over vectors and the texts of the same number, reasons and recommendations."""
+def reported(load):
+    """Vectors with the texts of the same number, scored by all six validators; some declare their language as a dependency."""
     declared = F.when(F.col("vec_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("language"))
     rows = described(load).withColumn("declared", declared).withColumn("detected", T.detected_dependencies(F.col("code")))
-    scored = validate.report(rows)
     heads = F.filter("rejection_reasons", lambda r: ~r.startswith(" "))
-    return scored.select("vec_id", "overall", "passed", F.transform(heads, lambda r: F.regexp_extract(r, "^([a-z]+)_", 1)).alias("failed"), "recommendations")
+    return validate.report(rows).withColumn("failed", F.transform(heads, lambda r: F.regexp_extract(r, "^([a-z]+)_", 1)))
+
+
+@query(f"SELECT vec_id, overall, passed, failed AS reasons FROM ({REPORT})")
+def quality_overall(load, spark):
+    """The profile's score of all six validators, and which of them failed."""
+    return reported(load).select("vec_id", "overall", "passed", F.col("failed").alias("reasons"))
+
+
+@query(REPORT)
+def quality_report(load, spark):
+    """The same with recommendations."""
+    return reported(load).select("vec_id", "overall", "passed", "failed", "recommendations")
 
 
 CELLS, RECALL = 16, 0.95
