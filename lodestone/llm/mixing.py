@@ -5,6 +5,8 @@ source's budget goes to the documents whose hash lies below the source's thresho
 comes from nested histograms: tokens are summed by source and 12-bit hash bucket, the bucket in
 which the budget ends is refined by the next 12 bits, and so on.  No step sorts documents.
 
+Sources themselves are few: one row for each is sorted in one task to share out the targets.
+
 Defined cases: null text has size 0; a null source is a source of its own, last in order; a null
 doc_id hashes like an empty string; rows with the same doc_id hash alike, so they are taken or left
 together; a source of size 0 has target 0; an empty table gives an empty result; columns other than
@@ -21,6 +23,12 @@ from lodestone.llm.shared import shared_table
 WORD = r"[^\x20\x09-\x0D]+"
 LEVEL_DIGITS = 3  # hex digits of the hash that one histogram level adds: 4096 buckets
 LEVELS = 3
+SENT = 1_000_000  # sources whose plan is broadcast
+
+
+def few(by_source: DataFrame) -> DataFrame:
+    """A written table with a row for each source, broadcast while counted few, so no source's rows are dealt to one task."""
+    return F.broadcast(by_source) if by_source.count() <= SENT else by_source
 
 
 def hashed(doc_id: Column) -> Column:
@@ -68,7 +76,7 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     Each level sums sizes by the next digits of the hash, only within the bucket in which the budget
     of the source ends.  Of the last bucket, which the hash cannot split, the nearer sum wins.
     """
-    cut = goals.select("source", F.lit("").alias("cut"), (F.col("target") - F.floor(F.col("target") / F.greatest("source_size", F.lit(1))) * F.col("source_size")).alias("rest"))
+    cut = few(goals).select("source", F.lit("").alias("cut"), (F.col("target") - F.floor(F.col("target") / F.greatest("source_size", F.lit(1))) * F.col("source_size")).alias("rest"))
     for level in range(1, LEVELS + 1):
         inside = sized.filter(F.col("size") > 0).join(
             cut.select(F.col("source").alias("s"), "cut", "rest"),
@@ -79,7 +87,7 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
         bars = bars.withColumn("upto", F.sum("bar").over(upto))
         edge = bars.filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("bar") <= F.col("rest")))
         edge = edge.select(F.col("s").alias("source"), "cut", (F.col("rest") - F.col("upto") + F.col("bar")).alias("rest"), "bar")
-        cut = shared_table(edge, "mix-cuts")
+        cut = few(shared_table(edge, "mix-cuts"))
     return cut.select("source", "cut", (F.col("bar") - F.col("rest") <= F.col("rest")).alias("keep_cut"))
 
 
@@ -100,7 +108,7 @@ def copies(h: Column) -> Column:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken), one row per row of docs."""
     sized = shared_table(sizes(docs), "mix-sizes")
-    out = sized.join(plan(sized, weights, cap), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies(F.col("h")))
+    out = sized.join(few(plan(sized, weights, cap)), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies(F.col("h")))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -110,7 +118,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float =
     The plan has one row for each source and is joined by source, so texts are not dealt out anew.
     """
     own = plan(shared_table(sizes(docs), "mix-sizes"), weights, cap)
-    own = own.select(F.col("s").alias("mix_s"), F.struct("source_size", "target", "cut", "keep_cut").alias("mix_plan"))
+    own = few(own).select(F.col("s").alias("mix_s"), F.struct("source_size", "target", "cut", "keep_cut").alias("mix_plan"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     taken = rows.join(own, F.col("row.source").eqNullSafe(F.col("mix_s"))).select("row", "mix_plan.*").withColumn("times", copies(hashed(F.col("row.doc_id"))))
     return taken.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
