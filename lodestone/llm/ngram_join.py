@@ -13,10 +13,15 @@ Exact, in these steps; a set is a sorted array of 64-bit n-gram hashes, and equa
 4. Answers.  Within a cluster lists are entered and left by position, and answers are derived from
    those of pivots (cluster_links.py).
 
-A cluster of more than CLUSTER n-grams is never in one task: it is dealt by the least of its sets'
+An n-gram in more than about DEAL sets, as a sample of all texts shows, isn't gathered to be counted: it is
+known to be shared, counts as the most frequent, and its sets are dealt by class.  Of the sets of one
+n-gram that a task indexes, so many go to the n-gram's list that sizes between them have no gap; the
+others are tied to them in a list of that task.
+
+A cluster of more than PART n-grams is never in one task: it is dealt by the least of its sets'
 n-gram hashes, which similar sets mostly share, and what is solved apart goes on as components; after
-ROUNDS such rounds the sets that still share a prefix n-gram over different components are solved by
-that n-gram, in pairs of parts where it stands in too many (unsettled()).
+ROUNDS such rounds its spans of near sizes that still hold different components are solved, in pairs of
+parts where they are too large (unsettled()).
 
 Defined cases: texts without words, or null, have the empty set, link with nothing and are their own
 component; fewer than n words make one n-gram of all; repeated rows fall into one class; rows with a
@@ -26,6 +31,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -42,7 +48,11 @@ from lodestone.llm.shared import shared_table, temporary
 
 WORDS = 5
 PERCENT = 75
-CLUSTER = 4_000_000  # n-grams of one cluster that one task takes
+CLUSTER = 4_000_000  # n-grams of one group of sets that one task ever takes
+PAIRED = 1_000_000  # of two parts of a large cluster that are solved together
+PART = 100_000  # n-grams of a cluster that one task takes; larger clusters are dealt over several
+SAMPLE = 64  # one text in so many shows which n-grams are too frequent for one task
+HEAVY = 0xFFFFFFFF  # the document frequency given to those
 SENT = 1_000_000  # rows of two numbers that are broadcast
 FLUSH = 1 << 20  # n-grams that a task gathers before it deals them
 DEAL = 1_500_000  # n-grams, 20 bytes each, that a task takes of those dealt by hash
@@ -127,8 +137,65 @@ def dealt(df: DataFrame, parts: int) -> DataFrame:
     return df.repartitionById(parts, F.col("part"))
 
 
-def shared(docs: DataFrame, words_each: int, percent: int, parts: int) -> DataFrame:
-    """(cls, n, tokens): classes that share enough n-grams, and these, rarest first, as packed hashes."""
+def frequent(docs: DataFrame, words_each: int, share: int, most: int) -> np.ndarray:
+    """N-grams (sorted hashes) that stand in more than about most different sets, by one text in share.
+
+    There are at most as many as most goes into all n-grams.  Repeated texts are counted once.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in pieces(batch.column(0)):
+                tokens, bounds = sets(texts, words_each)
+                number = class_numbers(tokens, bounds)
+                _, first = np.unique(number, return_index=True)
+                chosen = np.zeros(texts.n, bool)
+                chosen[first] = True
+                own, n = np.unique(tokens[np.repeat(chosen, np.diff(bounds))], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
+
+    some = docs.select("text", F.xxhash64("text").alias("h")).filter(F.pmod("h", F.lit(share)) == 0).dropDuplicates(["h"]).select("text")
+    counts = some.mapInArrow(work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return np.sort(counts.filter(F.col("n") * share > most).select("token").toArrow()["token"].to_numpy().view(np.uint64))
+
+
+def among(tokens: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which tokens are among some sorted ones."""
+    if not len(some):
+        return np.zeros(len(tokens), bool)
+    return some[np.minimum(np.searchsorted(some, tokens), len(some) - 1)] == tokens
+
+
+def thinned(token: np.ndarray, number: np.ndarray, n: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Rows (token, number, n) of one task's index with the same components, few of them of any one token.
+
+    Neighbouring sizes of a token that may link make a run.  Of a long run, the first and the last of
+    every span of sizes that may link stay with the token; all are tied in a list of the run's own.
+    """
+    order = np.lexsort((number, n, token))
+    token, number, n = token[order], number[order], n[order]
+    size = n.astype(np.int64)
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (100 * size[:-1] < percent * size[1:])
+    first = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    long = (np.diff(np.append(first, len(token))) > 8)[run] if len(first) else np.zeros(0, bool)
+    span = np.floor(np.log(np.maximum(size, 1)) / np.log(100 / percent))
+    edge = np.ones(len(token), bool)
+    edge[1:] = new[1:] | (span[1:] != span[:-1])
+    last = np.append(edge[1:], True) if len(edge) else edge
+    own = mixed(token ^ mixed(number[first].view(np.uint64))[run]) if len(first) else token
+    stay = ~long | edge | last
+    return [np.concatenate(x) for x in ((token[stay], own[long]), (number[stay], number[long]), (n[stay], n[long]))]
+
+
+def shared(docs: DataFrame, words_each: int, percent: int, parts: int, heavy: np.ndarray) -> DataFrame:
+    """(cls, n, tokens): classes that share enough n-grams, and these, rarest first, as packed hashes; heavy: see frequent()."""
+    known = docs.sparkSession.sparkContext.broadcast(heavy)
+
+    def dealt_out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, number, _ = columns
+        yield from packed(np.where(among(token, known.value), ranges(mixed(number.view(np.uint64)), parts), ranges(token, parts)), columns)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -148,14 +215,17 @@ def shared(docs: DataFrame, words_each: int, percent: int, parts: int) -> DataFr
                 size += len(held[-1][0])
                 if size >= FLUSH:
                     columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-                    yield from packed(ranges(columns[0], parts), columns)
+                    yield from dealt_out(columns)
                     held, size = [], 0
         if held:
-            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-            yield from packed(ranges(columns[0], parts), columns)
+            yield from dealt_out([np.concatenate(x) for x in zip(*held, strict=True)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, number, n = unpacked(batches, [np.uint64, np.int64, np.uint32])
+        often = among(token, known.value)
+        if often.any():
+            yield from packed(ranges(mixed(number[often].view(np.uint64)), parts), [number[often], n[often], np.full(int(often.sum()), HEAVY, np.uint32), token[often]])
+            token, number, n = token[~often], number[~often], n[~often]
         order = np.argsort(token)
         same = token[order][1:] == token[order][:-1]
         twice = np.zeros(len(token), bool)
@@ -179,6 +249,9 @@ def shared(docs: DataFrame, words_each: int, percent: int, parts: int) -> DataFr
         number, n, df, token = unpacked(batches, [np.int64, np.uint32, np.uint32, np.uint64])
         order = np.lexsort((token, df, number))
         number, n, token = number[order], n[order], token[order]
+        once = np.ones(len(number), bool)  # a class with a frequent n-gram may come from several tasks
+        once[1:] = (number[1:] != number[:-1]) | (token[1:] != token[:-1])
+        number, n, token = number[once], n[once], token[once]
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(number)), bool), number[1:] != number[:-1])))
         held = np.diff(np.append(first, len(number)))
         enough = np.flatnonzero(held >= need(n[first].astype(np.int64), percent))
@@ -231,7 +304,7 @@ def clusters(table: DataFrame, percent: int, parts: int) -> DataFrame:
                 number.append(np.full(len(own), c, np.int64))
                 size.append(np.full(len(own), n, np.uint32))
             if token:
-                columns = [np.concatenate(x) for x in (token, number, size)]
+                columns = thinned(*[np.concatenate(x) for x in (token, number, size)], percent)
                 yield from packed(ranges(columns[0], parts), columns)
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,39 +355,35 @@ def round_of(table: DataFrame, seed: int, percent: int, most: int) -> DataFrame:
 
 
 def unsettled(table: DataFrame, percent: int, most: int) -> DataFrame:
-    """(cls, root) of links between sets (cls, n, tokens, label) of different labels.
+    """(cls, root) of links between sets (cls, n, tokens, cluster, label) of one cluster and different labels.
 
-    Any such link shares a prefix n-gram, so each n-gram that stands in prefixes of different labels
-    makes a group of its sets, solved as clusters are.  A group of more than most n-grams is cut into
-    parts and every two parts are solved together.
+    Sets that link are near in size, so a cluster falls into spans of sizes, each set being in two of
+    them, and any two that may link together in one.  Spans of a single label are done.  A span of more
+    than most n-grams is cut into parts, and every two parts are solved together.
     """
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c, n, blob, label in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                own = prefix(np.frombuffer(blob, np.uint64), n, percent).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(np.full(len(own), x)) for x in (c, label, len(blob) // 8))], names=["token", "cls", "label", "n_held"])
-
-    post = shared_table(table.select("cls", "n", "tokens", "label").mapInArrow(index, "token long, cls long, label long, n_held long"), "large-index")
-    mixed_ = post.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(2 * F.sum("n_held") / most).alias("parts")).filter("x <> y").select("token", "parts")
-    wanted = post.join(mixed_, "token").withColumn("part", F.pmod(F.xxhash64("cls"), "parts"))
+    spans = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / math.log(100 / percent) + 1e-9)
+    slim = table.select("cls", "cluster", "label", (F.length("tokens") / 8).alias("n_held"), F.explode(F.array(spans, spans - 1)).alias("span"))
+    mixed_ = slim.groupBy("cluster", "span").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(2 * F.sum("n_held") / most).alias("parts")).filter("x <> y").select("cluster", "span", "parts")
+    mixed_ = shared_table(mixed_, "large-spans")
+    wanted = slim.join(F.broadcast(mixed_) if mixed_.count() <= SENT else mixed_, ["cluster", "span"]).withColumn("part", F.pmod(F.xxhash64("cls"), "parts"))
     # with k parts the pairs of one part with itself are left out, unless it is the only one
     other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, F.col("part")).alias("a"), F.greatest(i, F.col("part")).alias("b")))
     pair = F.explode(F.filter(other, lambda p: (p["a"] != p["b"]) | (F.col("parts") == 1))).alias("pair")
-    groups = wanted.select("token", "cls", pair).select("token", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), "cls")
-    return answers(groups.join(table.select("cls", "n", "tokens"), "cls"), ["token", "a", "b"], percent).filter("cls <> root")
+    groups = wanted.select("cls", "cluster", "span", pair).select("cls", "cluster", "span", "pair.a", "pair.b")
+    return answers(groups.join(table.select("cls", "n", "tokens"), "cls"), ["cluster", "span", "a", "b"], percent).filter("cls <> root")
 
 
 def roots(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT, cluster: int = CLUSTER, parts: int | None = None) -> DataFrame:
     """(cls, root) of the classes that have a link to another class; parts: of n-grams dealt by hash."""
     parts = max(parts or 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    table = shared_table(shared(docs, words_each, percent, parts), "shared-sets")
+    table = shared_table(shared(docs, words_each, percent, parts, frequent(docs, words_each, SAMPLE, DEAL)), "shared-sets")
     near = components(clusters(table, percent, parts), "clusters")
     # two numbers for each clustered class: sent to the sets while few enough, or else dealt like them
     small_enough = near.count() <= SENT
     sized = table.join(F.broadcast(near) if small_enough else near, table["cls"] == near["node"]).select("cls", "n", "tokens", F.col("root").alias("cluster"))
     weight = sized.groupBy("cluster").agg(F.sum(F.length("tokens") / 8).alias("held"))
-    large = shared_table(weight.filter(F.col("held") > cluster).select("cluster"), "large-clusters")
+    part = min(cluster, PART)
+    large = shared_table(weight.filter(F.col("held") > part).select("cluster"), "large-clusters")
     if not large.limit(1).count():
         return answers(sized, ["cluster"], percent)
     sized = shared_table(sized, "clustered-sets")
@@ -322,13 +391,13 @@ def roots(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT, clus
     whole = shared_table(sized.join(large, "cluster", "left_semi").select("cls", "n", "tokens", "cluster"), "large-sets")
     heads, ties = whole, []
     for seed in range(1, ROUNDS + 1):  # the first sets of the components so far are dealt anew
-        tied = shared_table(round_of(heads, seed, percent, cluster), "large-round")
+        tied = shared_table(round_of(heads, seed, percent, part), "large-round")
         ties.append(tied.filter("cls <> root"))
         heads = shared_table(heads.join(tied.filter("cls = root").select("cls"), "cls", "left_semi"), "large-heads")
     links = reduce(DataFrame.unionByName, ties).select(F.col("cls").alias("a"), F.col("root").alias("b"))
     met = components(links, "large-met")
-    labelled = whole.join(met, whole["cls"] == met["node"], "left").select("cls", "n", "tokens", F.coalesce("root", "cls").alias("label"))
-    late = unsettled(shared_table(labelled, "large-labelled"), percent, cluster)
+    labelled = whole.join(met, whole["cls"] == met["node"], "left").select("cls", "n", "tokens", "cluster", F.coalesce("root", "cls").alias("label"))
+    late = unsettled(shared_table(labelled, "large-labelled"), percent, min(cluster, PAIRED))
     links = met.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     return small.unionByName(components(links, "large-links").select(F.col("node").alias("cls"), "root"))
 

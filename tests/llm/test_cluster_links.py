@@ -78,3 +78,49 @@ def test_templates_and_copies_in_one_large_cluster(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.linked(docs, cluster=300).collect()}
     assert got == set(links(rows))
+
+
+@pytest.mark.parametrize("share", [1, 2])
+def test_frequent_ngrams_are_never_gathered(spark, monkeypatch, share):
+    """N-grams that most documents share, some of which consist of little else, with the same result."""
+    monkeypatch.setattr(ngram_join, "SAMPLE", share)
+    monkeypatch.setattr(ngram_join, "DEAL", 25)
+    rng = np.random.default_rng(8)
+    frame = [f"t{i}" for i in range(30)]
+    rows = []
+    for i in range(120):
+        own = [f"p{i}x{k}" for k in range(int(rng.choice([0, 1, 3, 8, 30])))]
+        rows.append((i, " ".join(frame[: int(rng.integers(20, 31))] + own)))
+    rows += [(500 + i, rows[i][1]) for i in range(0, 120, 7)]
+    from test_sets import links
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    heavy = ngram_join.frequent(docs, 5, share, 25)
+    assert 10 < len(heavy) < 100
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.linked(docs).collect()}
+    assert got == set(links(rows))
+
+
+def test_thinned_lists_keep_components():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        m = int(rng.integers(1, 400))
+        token, number, n = rng.integers(0, 4, m).astype(np.uint64), rng.integers(0, 60, m).astype(np.int64) * 1000, rng.integers(1, 200, m).astype(np.uint32)
+        n = (number % 7 + n[number // 1000 % m] % 150 + 1).astype(np.uint32)  # a class has one size
+
+        def parts(lists):
+            token, number, n = lists
+            order = np.lexsort((number, n, token))
+            token, number, n = token[order], number[order], n[order].astype(np.int64)
+            near = np.flatnonzero((token[1:] == token[:-1]) & (100 * n[:-1] >= 75 * n[1:]))
+            a, b = ngram_join.forest(number[near], number[near + 1])
+            root = {int(x): int(x) for x in number} | dict(zip(a.tolist(), b.tolist(), strict=True))
+            return root
+
+        whole = parts([token, number, n])
+        # two tasks, each with half of the rows
+        half = rng.random(m) < 0.5
+        thin = [np.concatenate(x) for x in zip(*(ngram_join.thinned(token[h], number[h], n[h], 75) for h in (half, ~half)), strict=True)]
+        assert parts(thin) == whole
+    many = [np.zeros(5000, np.uint64), np.arange(5000), rng.integers(50, 400, 5000).astype(np.uint32)]
+    assert (ngram_join.thinned(*many, 75)[0] == 0).sum() < 30
