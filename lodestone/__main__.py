@@ -1,7 +1,7 @@
 """python -m lodestone HOME COMMAND [ARGUMENTS]
 
 ingest ROOT | preprocess | embed | validate_embeddings [REPORT] | index | index_embedded FILE | hybrid_setup |
-enrich | batch PROMPTS OUT | run ROOT | rag QUESTION... | advanced_rag QUESTION... | ask QUESTION... | health
+enrich | batch PROMPTS OUT | run ROOT | rag QUESTION... | advanced_rag QUESTION... | ask QUESTION... | health | api [PORT]
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
+from lodestone import server
 from lodestone.engine import Engine, Settings
 
 
@@ -32,6 +33,7 @@ COMMANDS: dict[str, Callable[[Engine, list[str]], object]] = {
     "rag": lambda engine, rest: engine.answer(rest).show(truncate=False),
     "advanced_rag": lambda engine, rest: engine.retrieve(rest).show(truncate=False),
     "ask": lambda engine, rest: engine.answer(rest).show(truncate=False),
+    "api": lambda engine, rest: server.server(engine, *map(int, rest[:1])).serve_forever(),
     "health": lambda engine, rest: engine.health() | engine.providers_health(),
 }
 

@@ -205,3 +205,27 @@ def test_import_lines_by_language(spark):
     from lodestone.functions import text as T
 
     assert [r[0] for r in rows.select(T.import_lines_of(F.col("code"), F.col("language"))).collect()] == [["import a"], ["export b", "require('c')"], []]
+
+
+def test_requests(spark, root, tmp_path):
+    import threading
+    import urllib.request
+
+    from lodestone import server
+
+    engine = Engine(spark, Settings(str(tmp_path / "home")))
+    running = server.server(engine, 0)
+    threading.Thread(target=running.serve_forever, daemon=True).start()
+    place = f"http://127.0.0.1:{running.server_port}"
+
+    def post(path, **given):
+        return json.loads(urllib.request.urlopen(urllib.request.Request(place + path, json.dumps(given).encode())).read())
+
+    assert post("/parse-project", root=str(root))["rows"] > 3
+    for path in ("/preprocess-chunks", "/embed-chunks", "/index-chunks", "/api/hybrid-setup"):
+        assert post(path)["rows"] > 0
+    assert post("/parse-file", path="a.py", content="def f(): pass")["chunks"][0]["name"] == "f"
+    assert post("/retrieve", questions=["json dumps"], most=2)["hits"]
+    assert json.loads(urllib.request.urlopen(place + "/").read())["tables"]["points"] > 0
+    assert server.answer(engine, "POST", "/none", b"")[0] == 404 and server.answer(engine, "POST", "/parse-file", b"{}")[0] == 400
+    running.shutdown()
