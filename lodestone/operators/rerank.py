@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import search
-from lodestone.operators.tables import stored
 
 # Weights of the fused scores.
 WEIGHTS = {"vector": 0.6, "keyword": 0.3, "metadata": 0.1}
@@ -20,12 +19,13 @@ def relevances(pairs: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFr
     queries (query_id, text) and pairs are few and are sent to the texts (id, text), of which only the
     candidates are split, each once.
     """
-    own = texts.join(search.small(pairs.select("id").distinct()), "id", "left_semi")
+    few = F.broadcast if pairs.count() <= search.SENT else lambda df: df
+    own = texts.join(few(pairs.select("id").distinct()), "id", "left_semi")
     own = own.select("id", T.let(F.sort_array(T.split_terms(F.col("text"))), lambda w: F.struct(F.size(w).alias("n"), T.run_lengths(w).alias("terms"))).alias("w"))
     rows = own.select("id", F.col("w.n").alias("n"), F.explode("w.terms").alias("t")).select("id", "n", "t.term", "t.tf")
     asked = queries.select("query_id", F.array_distinct(T.split_terms(F.col("text"))).alias("terms"))
-    asked = stored(asked.select("query_id", F.size("terms").alias("m"), F.explode("terms").alias("term")), "asked-words")
-    met = rows.join(search.small(pairs), "id").join(search.small(asked), ["query_id", "term"]).groupBy("query_id", "id")
+    asked = asked.select("query_id", F.size("terms").alias("m"), F.explode("terms").alias("term"))
+    met = rows.join(few(pairs), "id").join(search.small(asked), ["query_id", "term"]).groupBy("query_id", "id")
     found = met.agg(F.count("*").alias("found"), F.sum("tf").alias("dense"), F.max("n").alias("n"), F.max("m").alias("m"))
     value = F.lit(0.6) * (F.col("found") / F.col("m")) + F.lit(0.4) * (F.col("dense") / F.col("n"))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(value, F.lit(0.0))))

@@ -130,15 +130,14 @@ def asked_terms(queries: DataFrame) -> DataFrame:
 def matched(own: DataFrame, asked: DataFrame) -> DataFrame:
     """(id, query_id, w, q): for each term that a query and a document share, their weights.
 
-    The terms asked for are counted and broadcast, and meet the postings before anything is grouped or
-    moved; their frequencies are read from the same few postings.
+    The terms asked for are counted once and broadcast, and meet the postings before anything is grouped
+    or moved; their frequencies are read from the same few postings.
     """
-    wanted = small(stored(asked.select("term").distinct(), "wanted"))
-    found = document_frequency(own).join(wanted, "term", "left_semi") if not wanted.isEmpty() else document_frequency(own.limit(0))
-    rates = stored(rated(found, own), "rates")
-    mine = asked.join(rates, "term").select("query_id", "term", "idf", "avgdl", weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf")).alias("q"))
-    both = postings(own).join(small(stored(mine, "asked-rates")), "term")
-    return both.select("id", "query_id", weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf")).alias("w"), "q")
+    few = F.broadcast if asked.count() <= SENT else lambda df: df  # all below have no more rows than asked
+    wanted = few(asked.select("term").distinct())
+    found = own.select(F.explode("terms.term").alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    mine = asked.join(rated(found, own), "term").select("query_id", "term", "idf", "avgdl", weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf")).alias("q"))
+    return postings(own).join(few(mine), "term").select("id", "query_id", weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf")).alias("w"), "q")
 
 
 def sparse(own: DataFrame, queries: DataFrame, most: int) -> DataFrame:

@@ -268,10 +268,11 @@ def with_semantic(hits, load):
     """hits with the cosine of the query's and the point's vectors; hits are few and are sent to the vectors."""
     vectors = load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("own"))
     asked = load("embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
-    few = stored(hits, "hits")
-    ours = vectors.join(search.small(few.select("id").distinct()), "id", "left_semi")
-    theirs = asked.join(search.small(few.select("query_id").distinct()), "query_id", "left_semi")
-    both = few.join(ours, "id", "left").join(theirs, "query_id", "left")
+    own = stored(hits, "hits")
+    few = F.broadcast if own.count() <= search.SENT else lambda df: df
+    ours = vectors.join(few(own.select("id").distinct()), "id", "left_semi")
+    theirs = asked.join(few(own.select("query_id").distinct()), "query_id", "left_semi")
+    both = own.join(ours, "id", "left").join(theirs, "query_id", "left")
     return both.withColumn("semantic", F.round(F.coalesce(V.cosine(F.col("asked"), F.col("own")), F.lit(0.0)), 6)).drop("own", "asked")
 
 

@@ -218,8 +218,8 @@ def test_requests(spark, root, tmp_path):
     threading.Thread(target=running.serve_forever, daemon=True).start()
     place = f"http://127.0.0.1:{running.server_port}"
 
-    def post(path, **given):
-        return json.loads(urllib.request.urlopen(urllib.request.Request(place + path, json.dumps(given).encode())).read())
+    def post(where, **given):
+        return json.loads(urllib.request.urlopen(urllib.request.Request(place + where, json.dumps(given).encode())).read())
 
     assert post("/parse-project", root=str(root))["rows"] > 3
     for path in ("/preprocess-chunks", "/embed-chunks", "/index-chunks", "/api/hybrid-setup"):
