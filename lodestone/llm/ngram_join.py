@@ -54,8 +54,9 @@ PART = 100_000  # n-grams of a cluster that one task takes; larger clusters are
 SAMPLE = 64  # one text in so many shows which n-grams are too frequent for one task
 HEAVY = 0xFFFFFFFF  # the document frequency given to those
 SENT = 1_000_000  # rows of two numbers that are broadcast
-FLUSH = 1 << 20  # n-grams that a task gathers before it deals them
-DEAL = 1_500_000  # n-grams, 20 bytes each, that a task takes of those dealt by hash
+FLUSH = 1 << 19  # n-grams that a task gathers before it deals them
+DEAL = 1_000_000  # n-grams, 20 bytes each, that a task takes of those dealt by hash
+MOST_PARTS = 100_000  # tasks that they are dealt to; beyond, tasks grow
 ROUNDS = 2
 
 
@@ -408,7 +409,7 @@ def linked(docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT, clu
     heads = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("head"))
     held = rows.dropDuplicates(["cls"]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     with temporary(docs.sparkSession):
-        root = roots(docs, words_each, percent, cluster, -(-held // DEAL))
+        root = roots(docs, words_each, percent, cluster, min(-(-held // DEAL), MOST_PARTS))
         named = heads.join(root, "cls", "left").select("cls", "head", F.coalesce("root", "cls").alias("root"))
         named = shared_table(named, "class-roots", outer=1)
     first = named.groupBy("root").agg(F.min("head").alias("component_id"))
