@@ -101,7 +101,10 @@ class Encoder:
         text = word.decode("utf-8", "replace")
         if not EASY(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
-        return [i for part in self.cut(text.lower()) for i in self.part(part)]
+        out, known = [], self.parts.get
+        for part in self.cut(text.lower()):
+            out += known(part) or self.part(part)
+        return out
 
     def learn(self, new: list[bytes]) -> None:
         """Give the words places; those beyond the memory are for the text at hand only."""
