@@ -115,3 +115,22 @@ least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(b, d.doc_id)) AS component_id
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.a = d.doc_id
 """
+
+DOMINANCE = """
+WITH bytes AS (SELECT sale_id, list_transform(range(1, length(CAST(sale_id AS VARCHAR)) + 1), lambda i: ascii(substr(CAST(sale_id AS VARCHAR), i :: INT, 1)) :: BIGINT) AS b FROM (SELECT DISTINCT sale_id FROM sales)),
+crc AS (
+  SELECT sale_id, CASE WHEN sale_id IS NULL THEN 0 ELSE xor(list_reduce(b, lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda t, i: CASE WHEN t % 2 = 1 THEN xor(t >> 1, 3988292384) ELSE t >> 1 END), 4294967295 :: BIGINT), 4294967295) END AS c
+  FROM bytes
+),
+keyed AS (
+  SELECT s.sale_id, date_diff('day', DATE '1970-01-01', s.sold_at :: DATE) * 24 + extract('hour' FROM s.sold_at) AS slot,
+         floor(floor(100 * s.total + 0.5) / 100) :: BIGINT AS level, 1 + c % 2 AS w
+  FROM sales s JOIN crc ON crc.sale_id IS NOT DISTINCT FROM s.sale_id
+),
+entries AS (SELECT slot, level, count(*) AS n, sum(w) :: BIGINT AS w FROM keyed WHERE slot IS NOT NULL AND level IS NOT NULL GROUP BY slot, level),
+above AS (
+  SELECT a.slot, a.level, coalesce(sum(b.n), 0) :: BIGINT AS n_sales, coalesce(sum(b.w), 0) :: BIGINT AS n_rows
+  FROM entries a LEFT JOIN entries b ON b.slot <= a.slot AND b.level > a.level GROUP BY ALL
+)
+SELECT k.sale_id, k.slot :: BIGINT AS slot, k.level, n_sales, n_rows FROM keyed k LEFT JOIN above USING (slot, level)
+"""
