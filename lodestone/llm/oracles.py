@@ -116,6 +116,34 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(b, d.doc
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.a = d.doc_id
 """
 
+DIVERGENCE = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+grid AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+p AS (
+  SELECT lang, source, term, n, (1 + (1000000000 * (n + 5) :: HUGEINT) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v)) :: BIGINT AS p,
+         (1 + (1000000000 * (sum(n) OVER (PARTITION BY lang, term) + 5) :: HUGEINT) // (sum(n) OVER (PARTITION BY lang) + 5 * v)) :: BIGINT AS q
+  FROM grid JOIN v USING (lang)
+),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) :: BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(x.value, 0) AS value
+  FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source LEFT JOIN apart x ON x.lang = g.lang AND x.source = g.source AND x.item = o.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank :: INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+WHERE part = 'pair' OR rank <= 50
+"""
+
 DOMINANCE = """
 WITH bytes AS (SELECT sale_id, list_transform(range(1, length(CAST(sale_id AS VARCHAR)) + 1), lambda i: ascii(substr(CAST(sale_id AS VARCHAR), i :: INT, 1)) :: BIGINT) AS b FROM (SELECT DISTINCT sale_id FROM sales)),
 crc AS (

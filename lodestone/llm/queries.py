@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lodestone.llm import decontamination, dominance, language_id, licences, mixing, ngram_join, oracles, perplexity, pseudonyms, quality_classifier, token_shards, toxicity
+from lodestone.llm import decontamination, divergence, dominance, language_id, licences, mixing, ngram_join, oracles, perplexity, pseudonyms, quality_classifier, token_shards, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 KEY = b"lodestone example key"  # of the query op10 only: pseudonyms that are to protect need a secret one
@@ -65,6 +65,10 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), KEY)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
 def op12_dominance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance.dominated(table(spark, sf_dir, "sales"))
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Query] = {
         op8_ngram_jaccard_join,
         op9_token_shards,
         op10_pseudonyms,
+        op11_source_divergence,
         op12_dominance_counts,
         pipeline,
     )
@@ -95,5 +100,6 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": oracles.DECONTAMINATION,
     "op7_mixing": oracles.MIXING,
     "op8_ngram_jaccard_join": oracles.JOIN,
+    "op11_source_divergence": oracles.DIVERGENCE,
     "op12_dominance_counts": oracles.DOMINANCE,
 }
