@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lodestone.llm import decontamination, divergence, dominance, language_id, licences, mixing, ngram_join, oracles, perplexity, pseudonyms, quality_classifier, token_shards, toxicity
+from lodestone.llm import decontamination, divergence, dominance, language_id, licences, mixing, ngram_join, oracles, perplexity, pseudonyms, quality_classifier, repeats, token_shards, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 KEY = b"lodestone example key"  # of the query op10 only: pseudonyms that are to protect need a secret one
@@ -73,6 +73,10 @@ def op12_dominance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance.dominated(table(spark, sf_dir, "sales"))
 
 
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut_out(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -92,6 +96,7 @@ QUERIES: dict[str, Query] = {
         op10_pseudonyms,
         op11_source_divergence,
         op12_dominance_counts,
+        op13_repeated_passages,
         pipeline,
     )
 }
