@@ -45,9 +45,9 @@ LENGTH = 100
 GRAM = 24
 SIDE = (LENGTH - GRAM) // 2
 SPAN = LENGTH - GRAM + 1  # places of an anchor in a window
-BLOCK = 1 << 19  # bytes of texts worked on at once
-FLUSH = 1 << 19  # pieces that a task gathers before it deals them
-PART = 16 << 20  # bytes of text whose pieces are dealt to one task
+BLOCK = 1 << 18  # bytes of texts worked on at once
+FLUSH = 1 << 17  # pieces that a task gathers before it deals them
+PART = 8 << 20  # bytes of text whose pieces are dealt to one task
 SAMPLE = 64
 HOT = 500_000
 MANY = 64
