@@ -8,7 +8,7 @@ from lodestone.functions import text as T
 from lodestone.operators import dedup, near, store
 from lodestone.plans.shared import CHUNKS_SQL, chunks, query
 from lodestone.sources import files
-from lodestone.streaming import ingest
+from lodestone.streaming import ingest, stateful
 
 
 @query("SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id)")
@@ -148,6 +148,12 @@ def streaming_first_seen(load, spark):
     return ingest.different(spark, load.path("documents"))
 
 
+@query("SELECT md5(text) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+def streaming_keep_first(load, spark):
+    """The first document of each content, by custom state that is found again when the query starts anew."""
+    return stateful.first_of_each_content(spark, load.path("documents"))
+
+
 @query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def streaming_windows(load, spark):
     """Event-time windows over the log, with a watermark."""
