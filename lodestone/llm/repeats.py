@@ -149,9 +149,12 @@ DEALT = "part int, blob binary, marks binary"
 
 
 def sent(gathered: list[list[np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
-    """Gathered pieces, dealt by anchor: the earliest of equal ones, and marks of the others."""
+    """Gathered pieces, dealt by anchor: the earliest of equal ones, and marks of the others.
+
+    An anchor is the least hash of its windows, so anchors are mixed before they are dealt by range.
+    """
     x, first, again = ordered([np.concatenate(c) for c in zip(*gathered, strict=True)])
-    for columns, key, other in (([c[first] for c in x], x[0][first], False), ([x[4][again], x[5][again], x[6][again], x[7][again].astype(np.uint32)], mixed(x[4][again].view(np.uint64) ^ x[6][again]), True)):
+    for columns, key, other in (([c[first] for c in x], mixed(x[0][first]), False), ([x[4][again], x[5][again], x[6][again], x[7][again].astype(np.uint32)], mixed(x[4][again].view(np.uint64) ^ x[6][again]), True)):
         part = ranges(key, parts)
         if not len(part):
             continue
