@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
-from lodestone.operators import ann, rerank, search, validate
+from lodestone.operators import ann, inverted, rerank, search, validate
 from lodestone.operators.tables import stored
 from lodestone.plans.code import CHUNKS_SQL, DETECTED, counted, worded
 from lodestone.plans.shared import chunks, query
@@ -30,6 +30,11 @@ def indexed(load):
     return search.index(texts(load))
 
 
+def inverted_index(load):
+    """The stored inverted index of the documents, built by the first query that needs it."""
+    return inverted.kept(load.spark, load.path("documents"), texts(load))
+
+
 def text_queries(load):
     return load("benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -194,17 +199,35 @@ def bm25_weights(load, spark):
 @query(f"WITH {BM25} SELECT query_id, id, score, rank FROM sparse WHERE rank <= 10")
 def sparse_topk(load, spark):
     """Both sides weighed."""
-    return search.sparse(indexed(load), text_queries(load), 10)
+    return inverted.top(inverted_index(load), text_queries(load), 10)
 
 
 @query(f"WITH {BM25} SELECT query_id, id, score, rank FROM classic WHERE rank <= 10")
 def bm25_topk(load, spark):
     """M5: the classic score."""
-    return search.bm25(indexed(load), text_queries(load), 10)
+    return inverted.top(inverted_index(load), text_queries(load), 10, weighed=False)
+
+
+@query(f"""WITH {BM25}, slabs AS (SELECT query_id, term, count(*) AS n FROM tf JOIN asked USING (term) GROUP BY query_id, term)
+SELECT query_id, count(*) AS terms, sum(n) :: BIGINT AS postings FROM slabs GROUP BY query_id""")
+def postings_of_queries(load, spark):
+    """M5: for each query, how many of its terms the stored index has, and how many postings they have."""
+    index = inverted_index(load)
+    mine = inverted.asked(index, text_queries(load))
+    blocks = index.blocks.select("term", "n").filter(mine.at_scan).join(mine.send(mine.terms), "term")
+    return blocks.groupBy("query_id").agg(F.countDistinct("term").alias("terms"), F.sum("n").alias("postings"))
+
+
+@query(f"""WITH {BM25_OWN} SELECT id, count(*) AS terms, sum(tf) :: BIGINT AS length, round(sum(w), 4) AS total FROM w JOIN tf USING (id, term) GROUP BY id""")
+def bm25_document_weights(load, spark):
+    """Of each document, its encoded terms, their occurrences and the sum of their weights."""
+    rows = inverted_index(load).blocks.join(inverted_index(load).terms, "term").select("idf", "avgdl", F.explode("postings").alias("p"))
+    w = search.weight(F.col("p.tf"), F.col("p.dl"), F.col("avgdl"), F.col("idf"))
+    return rows.groupBy(F.col("p.id").alias("id")).agg(F.count("*").alias("terms"), F.sum("p.tf").alias("length"), F.round(F.sum(w), 4).alias("total"))
 
 
 def legs(load):
-    return search.dense(points(load), item_vectors(load), 50), search.sparse(indexed(load), text_queries(load), 30)
+    return search.dense(points(load), item_vectors(load), 50), inverted.top(inverted_index(load), text_queries(load), 30)
 
 
 @query(f"WITH {LEGS} {fused_sql(1, 1)}")
@@ -260,7 +283,7 @@ fused AS (SELECT *, round(0.6 :: DOUBLE * semantic + 0.3 :: DOUBLE * relevance,
 
 def candidates(load):
     """(query_id, id, relevance) of the first fifty by the sparse leg."""
-    pairs = stored(search.sparse(indexed(load), text_queries(load), 50).select("query_id", "id"), "candidates")
+    pairs = stored(inverted.top(inverted_index(load), text_queries(load), 50).select("query_id", "id"), "candidates")
     return rerank.relevances(pairs, text_queries(load), texts(load))
 
 
