@@ -5,8 +5,8 @@ characters are hashed.  A text's feature has the value SCALE * (its share of the
 so scoring is a gather and a sum.  The model is trained by follow-the-regularised-leader with an
 elastic net (l1 keeps it sparse), and its temperature is set on a fifth of the sample kept apart.
 
-Training takes about MOST labelled rows of each language at most (fewer if there are many languages),
-chosen by a hash, with their whole texts; prediction covers every row.  Labels come only from rows
+Training takes at most MOST different labelled rows of each language, TOTAL in all (but one of each language
+at least), chosen by a hash, with their whole texts; prediction covers every row.  Labels come only from rows
 whose remainder is not the held-out one, idf too.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; without any labelled row
@@ -21,7 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -30,7 +30,8 @@ from lodestone.llm.shared import shared_table
 from lodestone.llm.training import Ftrl, remainder
 
 BITS = 18
-MOST = 1500  # labelled rows of each language that training reads, 12000 in all
+MOST = 1500  # labelled rows of each language that training reads
+TOTAL = 12000  # in all, while there are no more languages than that
 EPOCHS = 3
 SCALE = 30.0
 UNKNOWN = "und"
@@ -72,24 +73,51 @@ def features(texts: Texts, bits: int = BITS) -> tuple[list[np.ndarray], np.ndarr
     return out, bounds, np.diff(lettered) > 0
 
 
+def least_keys(rows: DataFrame, each: int) -> DataFrame:
+    """(lang, key): of each language the smallest different keys, each at most; a task sends no more than that of any language."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs, keys = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+            code = langs.indices.to_numpy()
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                kept[lang] = np.unique(np.concatenate((kept.get(lang, keys[:0]), keys[code == k])))[:each]
+        for lang, keys in kept.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys)], names=["lang", "key"])
+
+    different = rows.select("lang", "key").mapInArrow(work, "lang string, key long").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    return different.withColumn("rank", rank).filter(F.col("rank") <= each).drop("rank")
+
+
 def sample(docs: DataFrame, by: int, held_out: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, features, counts) of about MOST rows of each language."""
+    """(language, features, counts) of at most MOST different rows of each language, and of one at least.
+
+    Rows with the smallest hashes of identifier and text are taken, each once however often it stands in
+    the table, so rows that share an identifier, or have none, are told apart by their texts.
+    """
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), by) != held_out))
-    sizes = shared_table(known.groupBy(F.col("lang").alias("known")).count(), "languages")
-    each = min(MOST, 12000 // max(1, sizes.count()))
-    share = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.join(sizes, F.col("lang") == F.col("known")).filter(share * F.col("count") < each).select("lang", "text")
+    keyed = known.select("lang", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("key"), "text")
+    each = max(1, min(MOST, TOTAL // max(1, known.select("lang").distinct().count())))
+    chosen = shared_table(least_keys(keyed, each).select(F.col("lang").alias("l"), F.col("key").alias("k")), "language-sample")
+    rows = keyed.join(F.broadcast(chosen), (F.col("lang") == F.col("l")) & (F.col("key") == F.col("k"))).select("lang", "key", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            for texts in pieces(batch.column(1)):
+            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            new = [i for i, name in enumerate(names) if not (name in seen or seen.add(name))]
+            batch = batch.take(pa.array(new, pa.int64()))
+            for texts in pieces(batch.column(2)):
                 parts, bounds, _ = features(texts)
                 own = [np.unique(np.concatenate([p[bounds[i] : bounds[i + 1]] for p in parts]), return_counts=True) for i in range(texts.n)]
                 own = [(f[f < 1 << BITS], n[f < 1 << BITS]) for f, n in own]
                 blobs = (pa.array([x[k].astype(np.uint32).tobytes() for x in own], pa.binary()) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, texts.n), *blobs], names=["lang", "f", "n"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(texts.first, texts.n) for k in (0, 1)), *blobs], names=["lang", "key", "f", "n"])
 
-    got = rows.mapInArrow(work, "lang string, f binary, n binary").toArrow().to_pydict()
+    once = rows.mapInArrow(work, "lang string, key long, f binary, n binary").dropDuplicates(["lang", "key"])
+    got = once.toArrow().to_pydict()
     found = [(y, np.frombuffer(f, np.uint32).astype(np.int64), np.frombuffer(n, np.uint32)) for y, f, n in zip(got["lang"], got["f"], got["n"], strict=True)]
     return sorted((x for x in found if len(x[1])), key=lambda x: (x[0], len(x[1]), x[1][:64].tobytes(), x[2][:64].tobytes()))
 
