@@ -19,13 +19,13 @@ def test_rows_of_one_identifier(spark, monkeypatch, doc_id):
     import zlib
 
     held_out = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 3 == 1
-    got = sizes(spark, [(doc_id, f"ein Satz mit {'xy' * i}", "de") for i in range(200)] + [(3, f"one with {'ab' * i}", "en") for i in range(30)])
+    got = sizes(spark, [(doc_id, f"ein Satz mit {'xy' * i}", "de") for i in range(200)] + [(8, f"one with {'ab' * i}", "en") for i in range(30)])
     assert got.get("de", 0) == (0 if held_out else 50)
 
 
 def test_repeated_rows_count_once_and_every_language_is_learned(spark, monkeypatch):
     monkeypatch.setattr(language_id, "TOTAL", 20)
-    rows = [(3, "the same text", "en")] * 500 + [(3, f"text {'q' * i}", "en") for i in range(40)] + [(3, f"wort {k}", f"l{k}") for k in range(30)]
+    rows = [(8, "the same text", "en")] * 500 + [(8, f"text {'q' * i}", "en") for i in range(40)] + [(8, f"wort {k}", f"l{k}") for k in range(30)]
     got = sizes(spark, rows)
     assert set(got) == {"en", *(f"l{k}" for k in range(30))} and set(got.values()) == {1}
 
