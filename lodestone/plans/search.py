@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
-from lodestone.operators import ann, inverted, rerank, search, validate
-from lodestone.operators.tables import stored
+from lodestone.operators import ann, inverted, quantised, rerank, search, validate
+from lodestone.operators.tables import new_folder, stored
 from lodestone.plans.code import CHUNKS_SQL, DETECTED, counted, worded
 from lodestone.plans.shared import chunks, query
 
@@ -527,3 +527,10 @@ def ann_topk(load, spark):
     centers = ann.fitted(sample, CELLS)
     probes = ann.probes_for(sample, centers, RECALL)
     return search.best(ann.nearest(ann.index(points(load), centers), centers, vector_queries(load), 10, probes), 10, "query_id").select("query_id", "id", "score", "rank")
+
+
+@query()
+def quantised_topk(load, spark):
+    """Nearest points from compressed vectors in cells, scored exactly at the end; tests hold it against exact search."""
+    index = quantised.build(points(load), new_folder(spark, "quantised"))
+    return quantised.nearest(index, vector_queries(load), 10)
