@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import code, corpus, graph, prompts, search
+from lodestone.plans import code, corpus, graph, prompts, ranks, search
 from lodestone.plans.shared import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "code", "corpus", "graph", "prompts", "search"]
+__all__ = ["ORACLES", "QUERIES", "code", "corpus", "graph", "prompts", "ranks", "search"]
