@@ -36,7 +36,7 @@ def reach(e: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     step = stored(e.select("src", "dst").distinct(), "edges")
     seen = front = stored(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct(), "front-0")
     for hop in range(1, depth + 1):
-        found = front.join(step, front["node"] == step["src"]).select("start", F.col("dst").alias("node")).distinct()
+        found = front.join(met(step, front), "node").select("start", F.col("dst").alias("node")).distinct()
         front = stored(found.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(hop)), f"front-{hop}")
         if front.isEmpty():
             break
@@ -44,6 +44,29 @@ def reach(e: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def met(step: DataFrame, front: DataFrame) -> DataFrame:
+    """(node, dst): the edges that leave a frontier, sent to it while they are few, so many walks that meet in one node aren't one task's."""
+    nodes = front.select(F.col("node").alias("src")).distinct()
+    return small(stored(step.join(nodes, "src", "left_semi").select(F.col("src").alias("node"), "dst"), "met"))
+
+
+def paths(e: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """(start, node, distance, path): a shortest way from each start (start) to all nodes within so many hops.
+
+    Of several, each node is reached from the least node one hop nearer.
+    """
+    step = stored(e.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
+    seen = front = stored(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("distance"), F.array("start").alias("path")).dropDuplicates(["start"]), "paths-0")
+    for hop in range(1, depth + 1):
+        found = front.join(met(step, front), "node").groupBy("start", "dst").agg(F.min_by("path", "node").alias("path"))
+        found = found.select("start", F.col("dst").alias("node"), F.lit(hop).alias("distance"), F.concat("path", F.array("dst")).alias("path"))
+        front = stored(found.join(seen.select("start", "node"), ["start", "node"], "left_anti"), f"paths-{hop}")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
 def direct(e: DataFrame) -> DataFrame:
     """(node, dependencies, dependents): how many edges go out of and come into each node."""
     out = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("dependencies"))
@@ -68,36 +91,10 @@ def spread(value: DataFrame, step: DataFrame, better) -> DataFrame:
 
 
 def cycles(e: DataFrame) -> DataFrame:
-    """(node): nodes on a cycle of any length.
+    """(node): nodes on a cycle of any length; see contract.py."""
+    from lodestone.operators import contract  # which builds on this module
 
-    Nodes without an edge in or out go first, as long as there are any.  Then each node takes the
-    largest name that leads to it; nodes of one name from which its bearer is reached back are on a
-    cycle with it (a strongly connected component).  Those are taken out, and the rest starts anew.
-    Every step is a join and an aggregation of all edges that are left; no walk is held.
-    """
-    e = e.select("src", "dst").distinct()
-    found = stored(e.filter("src = dst").select(F.col("src").alias("node")), "cycles")
-    live = stored(e.filter("src <> dst"), "live")
-    while True:
-        before = -1
-        while (left := live.count()) and left != before:
-            into, out = live.select(F.col("dst").alias("node")).distinct(), live.select(F.col("src").alias("node")).distinct()
-            both = into.join(out, "node")
-            live = stored(live.join(both.select(F.col("node").alias("src")), "src", "left_semi").join(both.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "live")
-            before = left
-        if not left:
-            return found.distinct()
-        names = live.select(F.col("src").alias("node")).unionByName(live.select(F.col("dst").alias("node"))).distinct()
-        name = spread(stored(names.select("node", F.col("node").alias("v")), "names"), live, F.max)
-        ours, theirs = name.select(F.col("node").alias("src"), F.col("v").alias("name")), name.select(F.col("node").alias("dst"), F.col("v").alias("other"))
-        inside = stored(live.join(ours, "src").join(theirs, "dst").filter("name = other").select("src", "dst"), "inside")
-        back = spread(name.select("node", (F.col("node") == F.col("v")).alias("v")), reversed_edges(inside), F.max)
-        # a bearer alone, without an edge from within its name, is on no cycle
-        whole = back.filter("v").select("node")
-        many = name.join(whole, "node").groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select("v")
-        found = stored(found.unionByName(name.join(whole, "node").join(many, "v", "left_semi").select("node")), "cycles")
-        gone = stored(whole, "gone")
-        live = stored(live.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "live")
+    return contract.strong(e).select("node")
 
 
 def proximity(depth):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
-from lodestone.operators import graph, search
+from lodestone.operators import contract, graph, search
 from lodestone.operators.tables import stored
 from lodestone.plans.search import METRIC, QUERY_VECTORS, points, vector_queries
 from lodestone.plans.shared import CHUNKS_SQL, query
@@ -76,6 +76,24 @@ def graph_shortest_path(load, spark):
     return graph.reach(e, start, 4).select("node", F.col("depth").alias("distance"))
 
 
+@query(f"""WITH RECURSIVE {UNDIRECTED}, walk(node, depth) AS (SELECT 'r0', 0 UNION SELECT s.dst, w.depth + 1 FROM walk w JOIN s ON s.src = w.node WHERE w.depth < 4),
+near AS (SELECT node, min(depth) AS d FROM walk GROUP BY node), parent AS (SELECT n.node, n.d, min(s.src) AS p FROM near n JOIN s ON s.dst = n.node JOIN near m ON m.node = s.src AND m.d = n.d - 1 GROUP BY n.node, n.d),
+way(node, path) AS (SELECT 'r0', 'r0' UNION ALL SELECT parent.node, path || ' ' || parent.node FROM way JOIN parent ON parent.p = way.node)
+SELECT node, path FROM way""")
+def graph_paths(load, spark):
+    """The ways themselves, from one node."""
+    start = spark.createDataFrame([("r0",)], "start string")
+    return graph.paths(graph.both_ways(star(load)), start, 4).select("node", F.array_join("path", " ").alias("path"))
+
+
+@query(f"""WITH RECURSIVE {UNDIRECTED}, u AS (SELECT src, dst FROM s WHERE NOT starts_with(src, 'n') AND NOT starts_with(dst, 'n')), walk(node, least) AS (SELECT src, src FROM u UNION SELECT u.dst, w.least FROM walk w JOIN u ON u.src = w.node)
+SELECT node, min(least) AS component FROM walk GROUP BY node""")
+def graph_components(load, spark):
+    """What hangs together: customers and their orders, without nations."""
+    e = star(load).filter(~F.col("src").startswith("n") & ~F.col("dst").startswith("n"))
+    return contract.components(e)[0]
+
+
 TIES_SQL = """e AS (SELECT doc_id AS src, (doc_id * 7 + 3) % 64 AS dst FROM documents WHERE doc_id % 5 <> 0 UNION SELECT doc_id, doc_id // 3 FROM documents WHERE doc_id % 11 <> 0 UNION SELECT item_id + 100, item_id + 90 FROM benchmark)"""
 
 
