@@ -74,8 +74,9 @@ class Engine:
     def ingest(self, root: str) -> DataFrame:
         """Parse the project's files into chunks; symbols and files that don't parse are tables beside them."""
         found = files.project(self.spark, root, self.settings.ignored)
-        parse.chunks(found).write.mode("overwrite").parquet(self.settings.path("chunks"))
-        parse.errors(found).write.mode("overwrite").parquet(self.settings.path("parse_errors"))
+        parsed = stored(parse.outcomes(found), "parsed")
+        parsed.filter(F.col("error").isNull()).drop("error").write.mode("overwrite").parquet(self.settings.path("chunks"))
+        parsed.filter(F.col("error").isNotNull()).select("file_path", "language", "error").write.mode("overwrite").parquet(self.settings.path("parse_errors"))
         chunks = self.table("chunks")
         names = chunks.select(F.explode(F.array_distinct(F.concat(F.array("name"), "defines"))).alias("name"), F.col("file_path").alias("path"), F.col("start_line").alias("line"), F.col("type").alias("kind"), F.col("parent").alias("scope"))
         names.write.mode("overwrite").parquet(self.settings.path("symbols"))

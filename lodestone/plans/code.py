@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import enhance
 from lodestone.plans.shared import CHUNKS_SQL, chunks, query
+from lodestone.sources import tables
 
 HTML_CHUNKS = r"""
 SELECT page_id, 'html_file' AS type, url AS file_path, len(html) - len(replace(html, chr(10), '')) + 1 AS end_line, md5(html) AS content_hash
@@ -25,6 +26,28 @@ def worded(words: str, column: str = "text") -> str:
     return f"len(list_filter(regexp_extract_all({column}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: w IN ({names})))"
 
 
+@query(r"""WITH e AS (SELECT page_id, html, unnest(list_concat(regexp_extract_all(html, '(?s)<div[^>]*>.*?</div>'), regexp_extract_all(html, '(?s)<article[^>]*>.*?</article>'))) AS code FROM pages),
+kept AS (SELECT page_id, code FROM e WHERE len(trim(code, E' \t\n\r')) > 50),
+named AS (SELECT page_id, 'html_element' AS type, CASE WHEN regexp_matches(code, '^<[a-z]+ class="') THEN regexp_extract(code, '^<[a-z]+ class="([^"]*)"', 1) ELSE regexp_extract(code, '^<([a-z]+)', 1) END AS name, md5(code) AS hash FROM kept
+UNION ALL SELECT page_id, 'html_file', string_split(url, '/')[-1], md5(html) FROM pages WHERE page_id NOT IN (SELECT page_id FROM kept) AND trim(html, E' \t\n\r') <> '')
+SELECT page_id, type, name, hash, count(*) AS n FROM named GROUP BY ALL""")
+def html_element_chunks(load, spark):
+    """The larger elements of every page, by a table function of SQL."""
+    tables.register(spark)
+    found = spark.sql("SELECT p.page_id, c.type, c.name, md5(c.code) AS hash FROM {pages} p, LATERAL parse_chunks(p.url, 'html', p.html) c WHERE c.error IS NULL", pages=load("pages"))
+    return found.groupBy("page_id", "type", "name", "hash").agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT page_id, list_sort(regexp_extract_all(html, '(?s)<style>\s*([^{}<]*[^{}<\s])\s*\{', 1)) AS rules, list_sort(list_transform(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1), lambda s: md5(s))) AS scripts FROM pages""")
+def page_sheets_and_scripts(load, spark):
+    """The style rules and scripts within every page, by the same function."""
+    tables.register(spark)
+    parts = load("pages").select("page_id", "url", F.concat_ws("\n", F.regexp_extract_all("html", F.lit("(?s)<style>(.*?)</style>"), F.lit(1))).alias("css"), F.regexp_extract_all("html", F.lit("(?s)<script>(.*?)</script>"), F.lit(1)).alias("js"))
+    rules = spark.sql("SELECT p.page_id, c.name FROM {parts} p, LATERAL parse_chunks(p.url, 'css', p.css) c WHERE c.error IS NULL", parts=parts).groupBy("page_id").agg(F.array_sort(F.collect_list("name")).alias("rules"))
+    none = F.array().cast("array<string>")
+    return parts.join(rules, "page_id", "left").select("page_id", F.coalesce("rules", none).alias("rules"), F.array_sort(F.transform("js", lambda s: F.md5(s))).alias("scripts"))
+
+
 @query(HTML_CHUNKS)
 def html_chunk_fallback(load, spark):
     """A page as one whole-file chunk, as parsers fall back to."""

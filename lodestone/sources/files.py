@@ -128,10 +128,10 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq, prompt): the non-blank lines of a text file, or of all text files below a folder."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path)
-    named = lines.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"), F.trim("value").alias("prompt"))
-    return named.filter("prompt <> ''")
+    """(file, seq, prompt): the non-blank lines of a text file, or of all text files below a folder; seq is the number of the line in its file."""
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").option("wholetext", True).text(path)
+    lines = whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("seq", "line"))
+    return lines.select("file", (F.col("seq") + 1).cast("long").alias("seq"), F.trim("line").alias("prompt")).filter("prompt <> ''")
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:

@@ -345,10 +345,15 @@ PARSERS = {"python": python_chunks, "javascript": javascript_chunks, "css": css_
 FAILURES = (SyntaxError, ValueError, RecursionError)
 
 
+def generated(path: str, language: str, content: str) -> list[dict]:
+    """The chunks of one file; one of FAILURES is raised if it doesn't parse."""
+    return PARSERS[language](path, content) if language in PARSERS else file_chunk(path, language, content)
+
+
 def parsed(path: str, language: str, content: str) -> list[dict]:
     """The chunks of one file; none if it doesn't parse."""
     try:
-        return PARSERS[language](path, content) if language in PARSERS else file_chunk(path, language, content)
+        return generated(path, language, content)
     except FAILURES:
         return []
 
@@ -356,8 +361,7 @@ def parsed(path: str, language: str, content: str) -> list[dict]:
 def failure(path: str, language: str, content: str) -> str | None:
     """Why a file doesn't parse."""
     try:
-        if language in PARSERS:
-            PARSERS[language](path, content)
+        generated(path, language, content)
     except FAILURES as error:
         return f"{type(error).__name__}: {error}"
     return None
@@ -397,6 +401,23 @@ def chunks(files: DataFrame) -> DataFrame:
     return files.select("file_path", "language", "content").mapInPandas(work, CHUNK)
 
 
+def outcomes(files: DataFrame) -> DataFrame:
+    """chunks() and errors() of files in one pass: chunks with a null error, and a row with file_path, language and error for each file that doesn't parse."""
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [*(c.split()[0] for c in re.split(r", (?![^<]*>)", CHUNK)), "error"]
+        for part in parts:
+            for row in part.itertuples(index=False):
+                try:
+                    found = [c | {"error": None} for c in generated(row.file_path, row.language, row.content or "")]
+                except FAILURES as error:
+                    found = [dict.fromkeys(columns) | {"file_path": row.file_path, "language": row.language, "error": f"{type(error).__name__}: {error}"}]
+                if found:
+                    yield pd.DataFrame(found, columns=columns).astype(object)
+
+    return files.select("file_path", "language", "content").mapInPandas(work, f"{CHUNK}, error string")
+
+
 def errors(files: DataFrame) -> DataFrame:
     """(file_path, language, error) of the files that don't parse."""
 
