@@ -102,7 +102,7 @@ def symbol_index(spark: SparkSession, path: str) -> DataFrame | None:
     """(name, file, line, kind, scope) from a JSON object of names with lists of places; None without the file."""
     if not exists(spark, path):
         return None
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     named = whole.select(F.explode(F.from_json("value", f"map<string, array<struct<{ENTRY.replace(' ', ':').replace(',:', ',')}>>>")).alias("name", "places"))
     return named.select("name", F.explode("places").alias("p")).select("name", "p.*")
 
@@ -129,7 +129,7 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
 
 def prompts(spark: SparkSession, path: str) -> DataFrame:
     """(file, seq, prompt): the non-blank lines of a text file, or of all text files below a folder; seq is the number of the line in its file."""
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").option("wholetext", True).text(path)
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     lines = whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("seq", "line"))
     return lines.select("file", (F.col("seq") + 1).cast("long").alias("seq"), F.trim("line").alias("prompt")).filter("prompt <> ''")
 
