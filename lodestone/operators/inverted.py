@@ -1,11 +1,12 @@
-"""A stored inverted index in blocks with maximum weights, and top-k search that skips blocks.
+"""A stored inverted index in blocks with bounds of their weights, and top-k search that skips blocks.
 
-Documents are ordered by the least hash of their terms, which puts alike texts together, and cut into
-slabs of SLAB.  A block holds what one slab has of one term: its postings, and the largest weight among
-them.  Blocks are written in the order of (term, slab), so a term's blocks lie together and files and
-pages without an asked term are skipped; a frequent term has many blocks and none of them is large.
+Each task orders its documents by the least hash of their terms, which puts alike texts together, and cuts
+them into slabs of SLAB.  A block holds what one slab has of one term: its postings, and the greatest
+frequency and least length among them, which bound their weights whatever the corpus' statistics are.
+Blocks are dealt by term and stretch of slabs and lie in the order of (term, slab), so files' pages
+without an asked term are skipped, and a frequent term is no task's alone.  Texts are split once.
 
-A search first reads the blocks' maxima of the asked terms only, not their postings.  They bound what
+A search first reads the blocks' bounds of the asked terms only, not their postings.  They bound what
 any document of a slab can score.  The slabs of the highest bounds are scored, which gives each query a
 score that a further document has to reach, and then only slabs whose bound reaches it.  The result is
 the exact one.
@@ -16,34 +17,41 @@ written index can't be opened.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.operators import search
 from lodestone.operators.tables import new_folder, stored
 
 SLAB = 64  # documents
+STRETCH = 1024  # slabs of a frequent term that one task writes
 PUSHED = 200  # asked terms that are compared at the scan
 ROUNDING = 1e-6  # scores are compared rounded
 
-BLOCK = "term string, slab long, top double, n int, postings array<struct<id:long,tf:long,dl:int>>"
 FIGURES = "n_docs long, total_length long, avgdl double"
 
 
 @dataclass
 class Index:
-    """terms (term, df, idf, avgdl), blocks and figures of a written index, and how many documents it has."""
+    """terms (term, df, idf, avgdl), blocks (term, slab, n, tf, dl, ids, tfs, dls) and figures of a written index.
+
+    tf is a block's greatest frequency, dl its least length; ids, tfs and dls are its postings.
+    """
 
     spark: SparkSession
     path: str
 
     @property
     def blocks(self) -> DataFrame:
-        return self.spark.read.schema(BLOCK).parquet(f"{self.path}/blocks")
+        return self.spark.read.parquet(f"{self.path}/blocks").filter(F.col("term").isNotNull())
 
     @property
     def terms(self) -> DataFrame:
@@ -59,6 +67,40 @@ class Index:
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def in_blocks(counted: DataFrame, slab: int) -> DataFrame:
+    """The blocks of documents (id, dl, terms), and for each batch a row without a term that holds the number (n) and length of its documents."""
+    kind = counted.schema["id"].dataType
+    key = to_arrow_type(kind)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            lists, dl = batch.column(2), batch.column(1).to_numpy()
+            flat = lists.flatten()
+            names, tf = flat.field("term").dictionary_encode(), flat.field("tf").to_numpy()
+            doc = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+            of, many = doc // slab, max(1, len(names.dictionary))
+            group = of * many + names.indices.to_numpy()
+            order = np.argsort(group, kind="stable")
+            group, doc, tf = group[order], doc[order], tf[order]
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(group)), bool), group[1:] != group[:-1])))
+            if len(first):
+                ends = pa.array(np.append(first, len(group)).astype(np.int32))
+                long = dl[doc].astype(np.int32)
+                columns = [names.dictionary.take(pa.array(group[first] % many)), pa.array(number + group[first] // many), pa.array(np.diff(np.append(first, len(group)))), pa.array(np.maximum.reduceat(tf, first).astype(np.int32)), pa.array(np.minimum.reduceat(long, first))]
+                postings = [batch.column(0).take(pa.array(doc)), pa.array(tf.astype(np.int32)), pa.array(long)]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.ListArray.from_arrays(ends, p) for p in postings), pa.nulls(len(first), pa.int64())], names=BLOCK)
+            if batch.num_rows:
+                none = [pa.nulls(1, k) for k in (pa.string(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*none, pa.array([batch.num_rows]), *(pa.nulls(1, pa.int32()) for _ in "td"), pa.nulls(1, pa.list_(key)), *(pa.nulls(1, pa.list_(pa.int32())) for _ in "td"), pa.array([int(dl.sum())])], names=BLOCK)
+                number += -(-batch.num_rows // slab)
+
+    return counted.mapInArrow(work, f"term string, slab long, n long, tf int, dl int, ids array<{kind.simpleString()}>, tfs array<int>, dls array<int>, length long")
+
+
+BLOCK = ["term", "slab", "n", "tf", "dl", "ids", "tfs", "dls", "length"]
+
+
 def build(docs: DataFrame, path: str, slab: int = SLAB) -> Index:
     """The index of docs (id, text), written below path.
 
@@ -67,19 +109,25 @@ def build(docs: DataFrame, path: str, slab: int = SLAB) -> Index:
     spark = docs.sparkSession
     counted = search.counted(docs.filter(F.col("id").isNotNull()))
     alike = F.array_min(F.transform("terms", lambda t: F.xxhash64(t["term"])))
-    ordered = counted.withColumn("alike", alike).repartitionByRange("alike", "id").sortWithinPartitions("alike", "id")
-    # row numbers of each task, with gaps between tasks: no slab goes over two
-    slabs = stored(ordered.withColumn("slab", F.floor(F.monotonically_increasing_id() / slab)).drop("alike"), "slabs")
-    search.idf_table(slabs).write.mode("overwrite").parquet(f"{path}/terms")
-    terms = spark.read.parquet(f"{path}/terms")
-    rows = slabs.select("id", "dl", "slab", F.explode("terms").alias("t")).groupBy("t.term", "slab").agg(F.array_sort(F.collect_list(F.struct("id", F.col("t.tf").cast("long").alias("tf"), "dl"))).alias("postings"))
-    weights = F.transform("postings", lambda p: search.weight(p["tf"], p["dl"], F.col("avgdl"), F.col("idf")))
-    blocks = rows.join(terms, "term").select("term", F.col("slab").cast("long"), F.array_max(weights).alias("top"), F.size("postings").alias("n"), "postings")
-    blocks.repartitionByRange("term", "slab").sortWithinPartitions("term", "slab").write.mode("overwrite").parquet(f"{path}/blocks")
-    search.corpus_stats(slabs).write.mode("overwrite").parquet(f"{path}/figures")
+    ordered = counted.withColumn("alike", alike).sortWithinPartitions("alike", "id").select("id", F.col("dl").cast("int").alias("dl"), "terms")
+    dealt = in_blocks(ordered, slab).repartition("term", F.floor(F.col("slab") / STRETCH))
+    dealt.sortWithinPartitions("term", "slab").write.mode("overwrite").parquet(f"{path}/blocks")
+    rows = spark.read.parquet(f"{path}/blocks")
+    figures = rows.filter("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_length"))
+    figures = stored(figures.withColumn("avgdl", F.when(F.col("n_docs") > 0, F.col("total_length") / F.col("n_docs"))), "figures")
+    df = rows.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("df"))
+    known = df.join(F.broadcast(figures.select("n_docs", "avgdl"))).select("term", "df", search.idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
+    known.write.mode("overwrite").parquet(f"{path}/terms")
+    figures.write.mode("overwrite").parquet(f"{path}/figures")
     return Index(spark, path)
 
 
+def postings(blocks: DataFrame, *more: str) -> DataFrame:
+    """(id, tf, dl) of blocks, with more columns of theirs."""
+    zipped = F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p")
+    return blocks.select(*more, zipped).select(*more, F.col("p.ids").alias("id"), F.col("p.tfs").cast("long").alias("tf"), F.col("p.dls").alias("dl"))
+
+
 _kept: dict[tuple[str, str], Index] = {}
 
 
@@ -121,18 +169,19 @@ def asked(index: Index, queries: DataFrame, weighed: bool = True) -> Asked:
 
 
 def bounds(index: Index, mine: Asked) -> DataFrame:
-    """(query_id, slab, bound, blocks): what documents of a slab can score at most, from the blocks' maxima."""
-    heads = index.blocks.select("term", "slab", "top").filter(mine.at_scan).join(mine.send(mine.terms), "term")
-    return stored(heads.groupBy("query_id", "slab").agg(F.sum(F.col("top") * F.col("q")).alias("bound"), F.count("*").alias("blocks")), "bounds")
+    """(query_id, slab, bound, blocks): what documents of a slab can score at most, from the blocks' bounds."""
+    heads = index.blocks.select("term", "slab", "tf", "dl").filter(mine.at_scan).join(mine.send(mine.terms), "term")
+    most = search.weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))
+    return stored(heads.groupBy("query_id", "slab").agg(F.sum(most * F.col("q")).alias("bound"), F.count("*").alias("blocks")), "bounds")
 
 
 def scored(index: Index, mine: Asked, slabs: DataFrame) -> DataFrame:
     """(query_id, id, score) of all documents of stored slabs (query_id, slab) with a term asked for."""
     wanted = search.small(slabs.select("query_id", "slab"))
     blocks = index.blocks.filter(mine.at_scan).join(mine.send(mine.terms), "term").join(wanted, ["query_id", "slab"])
-    rows = blocks.select("query_id", "idf", "avgdl", "q", F.explode("postings").alias("p"))
-    w = search.weight(F.col("p.tf"), F.col("p.dl"), F.col("avgdl"), F.col("idf"))
-    return rows.groupBy("query_id", F.col("p.id").alias("id")).agg(F.round(F.sum(w * F.col("q")), search.DIGITS).alias("score"))
+    rows = postings(blocks, "query_id", "idf", "avgdl", "q")
+    w = search.weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))
+    return rows.groupBy("query_id", "id").agg(F.round(F.sum(w * F.col("q")), search.DIGITS).alias("score"))
 
 
 def top(index: Index, queries: DataFrame, most: int, weighed: bool = True, first: int | None = None) -> DataFrame:

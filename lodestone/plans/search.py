@@ -221,9 +221,10 @@ def postings_of_queries(load, spark):
 @query(f"""WITH {BM25_OWN} SELECT id, count(*) AS terms, sum(tf) :: BIGINT AS length, round(sum(w), 4) AS total FROM w JOIN tf USING (id, term) GROUP BY id""")
 def bm25_document_weights(load, spark):
     """Of each document, its encoded terms, their occurrences and the sum of their weights."""
-    rows = inverted_index(load).blocks.join(inverted_index(load).terms, "term").select("idf", "avgdl", F.explode("postings").alias("p"))
-    w = search.weight(F.col("p.tf"), F.col("p.dl"), F.col("avgdl"), F.col("idf"))
-    return rows.groupBy(F.col("p.id").alias("id")).agg(F.count("*").alias("terms"), F.sum("p.tf").alias("length"), F.round(F.sum(w), 4).alias("total"))
+    index = inverted_index(load)
+    rows = inverted.postings(index.blocks.join(index.terms, "term"), "idf", "avgdl")
+    w = search.weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))
+    return rows.groupBy("id").agg(F.count("*").alias("terms"), F.sum("tf").alias("length"), F.round(F.sum(w), 4).alias("total"))
 
 
 def legs(load):

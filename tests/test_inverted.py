@@ -32,12 +32,13 @@ def test_same_as_a_scan_of_all_postings(spark, tmp_path, texts, queries, slab, m
         assert rows(inverted.top(index, queries, most, weighed, first)) == rows(scan(search.index(texts), queries, most))
 
 
-def test_blocks_hold_all_postings_and_their_maxima(texts, tmp_path):
+def test_blocks_hold_all_postings_and_their_bounds(texts, tmp_path):
     index = inverted.build(texts, str(tmp_path / "index"), 16)
-    kept = index.blocks.select("term", F.explode("postings").alias("p")).select(F.col("p.id").alias("id"), "term", F.col("p.tf").alias("tf"), F.col("p.dl").alias("dl"))
+    kept = inverted.postings(index.blocks, "term").select("id", "term", "tf", "dl")
     all_of = search.postings(search.counted(texts)).select("id", "term", "tf", "dl")
     assert kept.exceptAll(all_of).count() == 0 and all_of.exceptAll(kept).count() == 0
-    assert index.blocks.filter(F.size("postings") > 16).count() == 0
+    assert index.blocks.filter((F.size("ids") > 16) | (F.size("ids") != F.col("n")) | (F.array_max("tfs") != F.col("tf")) | (F.array_min("dls") != F.col("dl"))).count() == 0
+    assert tuple(index.figures.first())[:2] == tuple(search.corpus_stats(search.counted(texts)).first())[:2]
     assert index.blocks.groupBy("term", "slab").count().filter("count > 1").count() == 0
 
 
@@ -51,8 +52,8 @@ def test_most_blocks_of_frequent_words_are_skipped(texts, queries, tmp_path):
 def test_the_scan_is_pruned_by_terms(texts, queries, tmp_path):
     index = inverted.build(texts, str(tmp_path / "index"))
     mine = inverted.asked(index, queries)
-    plan = index.blocks.select("term", "slab", "top").filter(mine.at_scan)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [Or(" in plan and "postings" not in plan.split("ReadSchema")[1]
+    plan = index.blocks.select("term", "slab", "tf", "dl").filter(mine.at_scan)._jdf.queryExecution().executedPlan().toString()
+    assert "Or(" in plan.split("PushedFilters")[1] and "ids" not in plan.split("ReadSchema")[1]
 
 
 def test_an_index_is_kept_until_its_table_changes(spark, texts, tmp_path):
