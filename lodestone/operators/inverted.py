@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from lodestone.operators import search
 from lodestone.operators.tables import new_folder, stored
 
-SLAB = 64  # documents
+SLAB = 512  # documents
 STRETCH = 1024  # slabs of a frequent term that one task writes
 PUSHED = 200  # asked terms that are compared at the scan
 ROUNDING = 1e-6  # scores are compared rounded
