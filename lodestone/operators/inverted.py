@@ -3,8 +3,9 @@
 Each task orders its documents by the least hash of their terms, which puts alike texts together, and cuts
 them into slabs of SLAB.  A block holds what one slab has of one term: its postings, and the greatest
 frequency and least length among them, which bound their weights whatever the corpus' statistics are.
-Blocks are dealt by term and stretch of slabs and lie in the order of (term, slab), so files' pages
-without an asked term are skipped, and a frequent term is no task's alone.  Texts are split once.
+Each task writes its blocks as a segment in the order of (term, slab), so pages without an asked term are
+skipped in every segment, and a frequent term is no task's alone.  Texts are split once, and building
+moves no posting to another task.
 
 A search first reads the blocks' bounds of the asked terms only, not their postings.  They bound what
 any document of a slab can score.  The slabs of the highest bounds are scored, which gives each query a
@@ -32,7 +33,6 @@ from lodestone.operators import search
 from lodestone.operators.tables import new_folder, stored
 
 SLAB = 512  # documents
-STRETCH = 1024  # slabs of a frequent term that one task writes
 PUSHED = 200  # asked terms that are compared at the scan
 ROUNDING = 1e-6  # scores are compared rounded
 
@@ -110,8 +110,7 @@ def build(docs: DataFrame, path: str, slab: int = SLAB) -> Index:
     counted = search.counted(docs.filter(F.col("id").isNotNull()))
     alike = F.array_min(F.transform("terms", lambda t: F.xxhash64(t["term"])))
     ordered = counted.withColumn("alike", alike).sortWithinPartitions("alike", "id").select("id", F.col("dl").cast("int").alias("dl"), "terms")
-    dealt = in_blocks(ordered, slab).repartition("term", F.floor(F.col("slab") / STRETCH))
-    dealt.sortWithinPartitions("term", "slab").write.mode("overwrite").parquet(f"{path}/blocks")
+    in_blocks(ordered, slab).sortWithinPartitions("term", "slab").write.mode("overwrite").parquet(f"{path}/blocks")
     rows = spark.read.parquet(f"{path}/blocks")
     figures = rows.filter("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_length"))
     figures = stored(figures.withColumn("avgdl", F.when(F.col("n_docs") > 0, F.col("total_length") / F.col("n_docs"))), "figures")
