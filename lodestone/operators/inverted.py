@@ -1,11 +1,12 @@
 """A stored inverted index in blocks with bounds of their weights, and top-k search that skips blocks.
 
-Each task orders its documents by the least hash of their terms, which puts alike texts together, and cuts
-them into slabs of SLAB.  A block holds what one slab has of one term: its postings, and the greatest
-frequency and least length among them, which bound their weights whatever the corpus' statistics are.
-Each task writes its blocks as a segment in the order of (term, slab), so pages without an asked term are
-skipped in every segment, and a frequent term is no task's alone.  Texts are split once, and building
-moves no posting to another task.
+A task takes its documents in segments of about SEGMENT postings, orders those of a segment by the least
+hash of their terms, which puts alike texts together, and cuts them into slabs of SLAB.  A block holds
+what one slab has of one term: its postings, and the greatest frequency and least length among them,
+which bound their weights whatever the corpus' statistics are.  A segment's blocks are written in the
+order of (term, slab), so pages without an asked term are skipped in every segment, and a frequent term
+is no task's alone.  Texts are split once, and building moves no posting to another task and sorts no
+more than a segment.
 
 A search first reads the blocks' bounds of the asked terms only, not their postings.  They bound what
 any document of a slab can score.  The slabs of the highest bounds are scored, which gives each query a
@@ -24,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ from lodestone.operators import search
 from lodestone.operators.tables import new_folder, stored
 
 SLAB = 512  # documents
+SEGMENT = 1 << 20  # postings that a task orders at once
+SENT = 1 << 15  # blocks of one Arrow batch
 PUSHED = 200  # asked terms that are compared at the scan
 ROUNDING = 1e-6  # scores are compared rounded
 
@@ -67,33 +71,49 @@ class Index:
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def segments(batch: pa.RecordBatch, slab: int) -> Iterator[pa.RecordBatch]:
+    """A batch of documents (id, dl, terms, alike), cut where the postings pass SEGMENT; a document is never cut."""
+    upto, at = np.cumsum(np.asarray(batch.column(2).value_lengths())), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SEGMENT, "right")))
+        if at + slab < stop < batch.num_rows:
+            stop -= (stop - at) % slab
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def in_blocks(counted: DataFrame, slab: int) -> DataFrame:
-    """The blocks of documents (id, dl, terms), and for each batch a row without a term that holds the number (n) and length of its documents."""
+    """The blocks of documents (id, dl, terms, alike), each segment's by term and slab, and for each segment a row without a term that holds the number (n) and length of its documents."""
     kind = counted.schema["id"].dataType
     key = to_arrow_type(kind)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in (own for whole in batches for own in segments(whole, slab)):
             lists, dl = batch.column(2), batch.column(1).to_numpy()
+            place, many = np.empty(batch.num_rows, np.int64), -(-batch.num_rows // slab)
+            place[np.argsort(batch.column(3).fill_null(0).to_numpy(), kind="stable")] = np.arange(batch.num_rows)
             flat = lists.flatten()
             names, tf = flat.field("term").dictionary_encode(), flat.field("tf").to_numpy()
-            doc = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
-            of, many = doc // slab, max(1, len(names.dictionary))
-            group = of * many + names.indices.to_numpy()
+            named = pc.sort_indices(names.dictionary).to_numpy()
+            rank = np.empty(len(named), np.int64)
+            rank[named] = np.arange(len(named))
+            doc = np.repeat(np.arange(batch.num_rows, dtype=np.int32), np.asarray(lists.value_lengths()))
+            group = rank[names.indices.to_numpy()] * many + place[doc] // slab
             order = np.argsort(group, kind="stable")
-            group, doc, tf = group[order], doc[order], tf[order]
+            group, doc, tf = group[order], doc[order], tf[order].astype(np.int32)
             first = np.flatnonzero(np.concatenate((np.ones(min(1, len(group)), bool), group[1:] != group[:-1])))
-            if len(first):
-                ends = pa.array(np.append(first, len(group)).astype(np.int32))
-                long = dl[doc].astype(np.int32)
-                columns = [names.dictionary.take(pa.array(group[first] % many)), pa.array(number + group[first] // many), pa.array(np.diff(np.append(first, len(group)))), pa.array(np.maximum.reduceat(tf, first).astype(np.int32)), pa.array(np.minimum.reduceat(long, first))]
-                postings = [batch.column(0).take(pa.array(doc)), pa.array(tf.astype(np.int32)), pa.array(long)]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.ListArray.from_arrays(ends, p) for p in postings), pa.nulls(len(first), pa.int64())], names=BLOCK)
-            if batch.num_rows:
-                none = [pa.nulls(1, k) for k in (pa.string(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*none, pa.array([batch.num_rows]), *(pa.nulls(1, pa.int32()) for _ in "td"), pa.nulls(1, pa.list_(key)), *(pa.nulls(1, pa.list_(pa.int32())) for _ in "td"), pa.array([int(dl.sum())])], names=BLOCK)
-                number += -(-batch.num_rows // slab)
+            for at in range(0, len(first), SENT):
+                own = slice(first[at], first[at + SENT] if at + SENT < len(first) else len(group))
+                begin, of = first[at : at + SENT] - own.start, group[first[at : at + SENT]]
+                ends = np.append(begin, own.stop - own.start).astype(np.int32)
+                long = dl[doc[own]].astype(np.int32)
+                columns = [names.dictionary.take(pa.array(named[of // many])), pa.array(number + of % many), pa.array(np.diff(ends).astype(np.int64)), pa.array(np.maximum.reduceat(tf[own], begin)), pa.array(np.minimum.reduceat(long, begin))]
+                postings = [batch.column(0).take(pa.array(doc[own])), pa.array(tf[own]), pa.array(long)]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.ListArray.from_arrays(pa.array(ends), p) for p in postings), pa.nulls(len(begin), pa.int64())], names=BLOCK)
+            none = [pa.nulls(1, k) for k in (pa.string(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([batch.num_rows]), *(pa.nulls(1, pa.int32()) for _ in "td"), pa.nulls(1, pa.list_(key)), *(pa.nulls(1, pa.list_(pa.int32())) for _ in "td"), pa.array([int(dl.sum())])], names=BLOCK)
+            number += many
 
     return counted.mapInArrow(work, f"term string, slab long, n long, tf int, dl int, ids array<{kind.simpleString()}>, tfs array<int>, dls array<int>, length long")
 
@@ -109,8 +129,7 @@ def build(docs: DataFrame, path: str, slab: int = SLAB) -> Index:
     spark = docs.sparkSession
     counted = search.counted(docs.filter(F.col("id").isNotNull()))
     alike = F.array_min(F.transform("terms", lambda t: F.xxhash64(t["term"])))
-    ordered = counted.withColumn("alike", alike).sortWithinPartitions("alike", "id").select("id", F.col("dl").cast("int").alias("dl"), "terms")
-    in_blocks(ordered, slab).sortWithinPartitions("term", "slab").write.mode("overwrite").parquet(f"{path}/blocks")
+    in_blocks(counted.select("id", F.col("dl").cast("int").alias("dl"), "terms", alike.alias("alike")), slab).write.mode("overwrite").parquet(f"{path}/blocks")
     rows = spark.read.parquet(f"{path}/blocks")
     figures = rows.filter("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_length"))
     figures = stored(figures.withColumn("avgdl", F.when(F.col("n_docs") > 0, F.col("total_length") / F.col("n_docs"))), "figures")

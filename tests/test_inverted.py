@@ -1,5 +1,7 @@
 """The stored inverted index: exact results, blocks skipped, awkward rows."""
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +71,18 @@ def test_an_index_is_kept_until_its_table_changes(spark, texts, tmp_path):
 def test_no_documents(spark, queries, tmp_path):
     index = inverted.build(spark.createDataFrame([], "id long, text string"), str(tmp_path / "index"))
     assert inverted.top(index, queries, 3).collect() == []
+
+
+def test_a_task_orders_no_more_than_a_segment(spark, texts, tmp_path, monkeypatch):
+    """Memory of a task follows the segment, not its documents: batches are cut, and building sorts nothing else."""
+    terms = pa.array([[{"term": f"t{k}", "tf": 1} for k in range(n)] for n in (3, 3, 3, 3, 3, 50, 3, 3, 0)])
+    batch = pa.record_batch([pa.array(range(9)), pa.array([3] * 9), terms, pa.array(range(9))], names=["id", "dl", "terms", "alike"])
+    monkeypatch.setattr(inverted, "SEGMENT", 13)
+    assert [b.column(0).to_pylist() for b in inverted.segments(batch, 2)] == [[0, 1, 2, 3], [4], [5], [6, 7, 8]]
+    counted = search.counted(texts).select("id", "dl", "terms", F.xxhash64("id").alias("alike"))
+    blocks = inverted.in_blocks(counted, 16)
+    assert "Sort" not in blocks._jdf.queryExecution().executedPlan().toString()
+    blocks.filter("term IS NOT NULL").write.parquet(str(tmp_path / "b"))
+    for path in (tmp_path / "b").glob("*.parquet"):
+        own = [(r["term"], r["slab"]) for r in pq.read_table(path, columns=["term", "slab"]).to_pylist()]
+        assert own == sorted(own)
