@@ -54,7 +54,7 @@ PART = 100_000  # n-grams of a cluster that one task takes; larger clusters are
 SAMPLE = 64  # one text in so many shows which n-grams are too frequent for one task
 HEAVY = 0xFFFFFFFF  # the document frequency given to those
 SENT = 1_000_000  # rows of two numbers that are broadcast
-FLUSH = 1 << 19  # n-grams that a task gathers before it deals them
+FLUSH = 1 << 18  # n-grams that a task gathers before it deals them
 DEAL = 1_000_000  # n-grams, 20 bytes each, that a task takes of those dealt by hash
 MOST_PARTS = 100_000  # tasks that they are dealt to; beyond, tasks grow
 ROUNDS = 2
@@ -123,10 +123,10 @@ def packed(part: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBat
 
 
 def unpacked(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> list[np.ndarray]:
-    """All rows of a partition's blobs."""
+    """All rows of a partition's blobs, which are read where Arrow has them."""
     found: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
     for batch in batches:
-        for blob in batch.column(1).to_pylist():
+        for blob in (x.as_buffer() for x in batch.column(1)):
             n, at = int(np.frombuffer(blob, np.uint64, 1)[0]), 8
             for k, kind in enumerate(kinds):
                 found[k].append(np.frombuffer(blob, kind, n, at))
@@ -228,7 +228,9 @@ def shared(docs: DataFrame, words_each: int, percent: int, parts: int, heavy: np
             yield from packed(ranges(mixed(number[often].view(np.uint64)), parts), [number[often], n[often], np.full(int(often.sum()), HEAVY, np.uint32), token[often]])
             token, number, n = token[~often], number[~often], n[~often]
         order = np.argsort(token)
-        same = token[order][1:] == token[order][:-1]
+        ordered = token[order]
+        same = ordered[1:] == ordered[:-1]
+        del ordered
         twice = np.zeros(len(token), bool)
         twice[1:] |= same
         twice[:-1] |= same

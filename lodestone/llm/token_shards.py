@@ -319,6 +319,23 @@ def manifest(spark: SparkSession, written: DataFrame) -> list[tuple[str, int]]:
     return out
 
 
+def entries(path: str, before: int) -> Iterator[pa.RecordBatch]:
+    """A shard's digest, block by block.  All shards are written by now, so this worker's encoders go: other stages need the memory."""
+    _encoders.clear()
+    reader = Reader(path)
+    for i in range(len(reader.index)):
+        doc, start, n, crc = [], [], [], []
+        for key, ids, stored in reader.block(i):
+            if zlib.crc32(ids.tobytes()) != stored:
+                raise ValueError(f"{path} is damaged")
+            doc.append(id_of(key))
+            start.append(before)
+            n.append(len(ids))
+            crc.append(stored)
+            before += len(ids)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, n, crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
 def read(spark: SparkSession, shards: list[tuple[str, int]]) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files, a task for each shard."""
     table = spark.createDataFrame(shards or [], "path string, before long").repartition(max(1, len(shards)), "path")
@@ -326,18 +343,7 @@ def read(spark: SparkSession, shards: list[tuple[str, int]]) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                reader = Reader(path)
-                for i in range(len(reader.index)):
-                    doc, start, n, crc = [], [], [], []
-                    for key, ids, stored in reader.block(i):
-                        if zlib.crc32(ids.tobytes()) != stored:
-                            raise ValueError(f"{path} is damaged")
-                        doc.append(id_of(key))
-                        start.append(before)
-                        n.append(len(ids))
-                        crc.append(stored)
-                        before += len(ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, n, crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield from entries(path, before)
 
     return table.mapInArrow(work, ENTRY)
 

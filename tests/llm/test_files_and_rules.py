@@ -111,3 +111,13 @@ def test_pseudonymised_table(spark, none):
     assert by[1]["text"] == by[4]["text"] == f"ip {new} here" and by[5]["text"].endswith(new) and by[5]["n_ip"] == 1
     assert by[2]["text"] is None and by[3]["text"] == "" and by[None]["text"] == "x"
     assert pseudonyms.pseudonymised(none, KEY).count() == 0
+
+
+def test_shards_are_read_without_an_encoder(tmp_path):
+    """A worker that goes on to other stages keeps no vocabulary and no words."""
+    path = str(tmp_path / "part-000000.sst")
+    writer = token_shards.Writer(path)
+    writer.add(token_shards.key_of(7), token_shards.encoder(vocabulary(), 2, 10).encode(b"some words"))
+    writer.close()
+    assert token_shards._encoders
+    assert [b.column("doc_id").to_pylist() for b in token_shards.entries(path, 0)] == [[7]] and not token_shards._encoders
