@@ -16,12 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
 DIGITS = 6  # scores are ranked as rounded, so that engines agree on ties
 MOST_QUERIES = 10_000  # queries of one block
 MOST_BYTES = 32 << 20  # and bytes of their vectors
 CELLS = 1 << 21  # scores that are computed at once
+PAIRS = 1 << 18  # and that are given out at once, where all are
 
 
 def rounded(x: np.ndarray, digits: int = DIGITS) -> np.ndarray:
@@ -153,3 +154,44 @@ def nearest(points: DataFrame, queries: DataFrame, most: int, metric: str = "cos
         extra = f", `{group}` {points.schema[group].dataType.simpleString()}" if group else ""
         return points.sparkSession.createDataFrame([], f"query_id long, id {points.schema['id'].dataType.simpleString()}, score double{extra}")
     return out
+
+
+def by_size(column: pa.Array) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], np.ndarray]:
+    """Vectors by their number of dimensions (dimensions, rows, vectors), and each row's length; NaN where there is no whole vector."""
+    sizes, out, norms = np.diff(column.offsets.to_numpy()), [], np.full(len(column), np.nan)
+    for dim in np.unique(sizes[column.is_valid().to_numpy(zero_copy_only=False)]).tolist():
+        rows, x = matrix(column, dim)
+        norms[rows] = np.sqrt((x * x).sum(1))
+        out.append((dim, rows, x))
+    return out, norms
+
+
+def cosines(points: DataFrame, queries: pa.Table) -> DataFrame:
+    """(query_id, id, score): every point (id, vector) with each query (query_id, query) of one block.
+
+    No score where a vector is missing, holds a null, or the two differ in dimensions; 0 where one is all zeros.
+    """
+    names = queries["query_id"].combine_chunks()
+    shared = points.sparkSession.sparkContext.broadcast((names, *by_size(queries["query"].combine_chunks())))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, asked, lengths = shared.value
+        step, asked = max(1, PAIRS // max(1, len(names))), {dim: (rows, q) for dim, rows, q in asked}
+        for whole in batches:
+            for batch in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
+                own, norms = by_size(batch.column(1))
+                dots = np.zeros((batch.num_rows, len(names)))
+                none = np.ones(dots.shape, bool)
+                for dim, rows, x in own:
+                    if dim in asked:
+                        at = np.ix_(rows, asked[dim][0])
+                        dots[at], none[at] = x @ asked[dim][1].T, False
+                size = norms[:, None] * lengths
+                none &= size != 0
+                score = np.divide(dots, size, out=np.zeros_like(dots), where=size != 0)
+                score = rounded(score).ravel()
+                of = pa.array(np.repeat(np.arange(batch.num_rows, dtype=np.int32), len(names)))
+                ids = pa.array(np.tile(np.arange(len(names), dtype=np.int32), batch.num_rows))
+                yield pa.RecordBatch.from_arrays([names.take(ids), batch.column(0).take(of), pa.array(score, mask=none.ravel())], names=["query_id", "id", "score"])
+
+    return points.select("id", F.col("vector").cast("array<double>")).mapInArrow(work, f"query_id {from_arrow_type(names.type).simpleString()}, id {points.schema['id'].dataType.simpleString()}, score double")

@@ -46,17 +46,16 @@ def dense_by(points: DataFrame, queries: DataFrame, most: int, group: str, metri
 
 
 def similarities(points: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, score): the cosine of every point and each query of a stated set, in blocks; norms are taken once."""
-    ours = points.select("id", "vector", V.norm(F.col("vector")).alias("size"))
-    asked = queries.select("query_id", "query", V.norm(F.col("query")).alias("query_size"))
-    parts = max(1, -(-queries.count() // nearest.MOST_QUERIES))
+    """(query_id, id, score): the cosine of every point and each query of a stated set, in blocks, as matrix products."""
+    asked = queries.select("query_id", F.col("query").cast("array<double>").alias("query"))
+    many, dim = asked.agg(F.count("*"), F.max(F.size("query"))).first()
+    parts = max(1, -(-many // max(1, min(nearest.MOST_QUERIES, nearest.MOST_BYTES // (8 * max(1, dim or 1))))))
     out = None
     for k in range(parts):
-        some = asked if parts == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k)
-        size = F.col("size") * F.col("query_size")
-        score = F.when(size == 0, 0.0).otherwise(V.dot(F.col("vector"), F.col("query")) / size)
-        found = ours.join(F.broadcast(some)).select("query_id", "id", F.round(score, DIGITS).alias("score"))
-        out = found if out is None else out.unionByName(found)
+        some = (asked if parts == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k)).toArrow()
+        if some.num_rows or parts == 1:
+            found = nearest.cosines(points, some)
+            out = found if out is None else out.unionByName(found)
     return out
 
 
