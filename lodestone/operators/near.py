@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import let, terms
+from lodestone.operators.search import small
 from lodestone.operators.tables import stored
 
 
@@ -32,18 +33,22 @@ def pairs(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
 
     Equal sets are one class, stood for by its smallest doc_id (members() names it for each document), so large groups of copies never meet
     each other.  N-grams of one class only cannot make a pair and are left out; of the others a class
-    brings its rarest ones, as many as any similar class must share one of, to the join.
+    brings its rarest ones, as many as any similar class must share one of, to the join.  Classes none of
+    whose first n-grams stands among another's first ones are left out before anything is counted, and
+    each n-gram is moved once to be counted.
     """
     own = stored(shingles(docs, words).withColumn("h", F.xxhash64("grams")), "near-sets")
-    heads = own.groupBy("h", "n").agg(F.min("doc_id").alias("doc_id"))
-    sets = own.join(heads.select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "grams")
-    gram = sets.select("doc_id", "n", F.explode("grams").alias("g"))
-    often = gram.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = gram.join(often, "g")
     least = F.ceil(F.col("n") * percent / 100)
-    per = shared.groupBy("doc_id", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= least)
-    ranked = shared.join(per.select("doc_id", "m"), "doc_id").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "g")))
-    front = ranked.filter(F.col("r") <= F.col("m") - least + 1).select("doc_id", "n", "g")
+    # in the order of hashes, too, similar sets share one of their first n-grams: most sets end here
+    first = own.select("h", F.explode(F.slice("grams", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("g"))
+    by_gram = Window.partitionBy("g")
+    live = first.select("h", F.min("h").over(by_gram).alias("low"), F.max("h").over(by_gram).alias("high")).filter("low <> high").select("h").distinct()
+    heads = own.groupBy("h", "n").agg(F.min("doc_id").alias("doc_id")).join(live, "h", "left_semi")
+    sets = stored(own.join(small(stored(heads.select("doc_id"), "near-heads")), "doc_id", "left_semi").select("doc_id", "n", "grams"), "near-live")
+    shared = sets.select("doc_id", "n", F.explode("grams").alias("g")).withColumn("df", F.count("*").over(by_gram)).filter("df > 1")
+    by_doc = Window.partitionBy("doc_id")
+    ranked = shared.withColumn("r", F.row_number().over(by_doc.orderBy("df", "g"))).withColumn("m", F.count("*").over(by_doc))
+    front = stored(ranked.filter((F.col("m") >= least) & (F.col("r") <= F.col("m") - least + 1)).select("doc_id", "n", "g"), "near-front")
     other = front.select(F.col("doc_id").alias("doc_b"), F.col("n").alias("n_b"), "g")
     fit = (F.col("doc_id") < F.col("doc_b")) & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
     met = front.join(other, "g").filter(fit).select(F.col("doc_id").alias("doc_a"), "doc_b").distinct()
