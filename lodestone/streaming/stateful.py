@@ -1,9 +1,13 @@
 """State kept by custom processors over the RocksDB state store: the first row of each key.
 
-Values are tried against the state a key at a time, but before rows are dealt by key each batch of them
-is reduced to its first row of each key, so a hot key sends one row for each batch and not all of them.
-A row is reported when it comes before all that were seen of its key, so whatever the order in which
-files arrive, the first of the rows reported is the first of all.
+Before rows are dealt by key each batch of them is reduced to its first row of each key, so a hot key
+sends one row for each batch and not all of them.  A row is reported when it comes before all that were
+seen of its key, so whatever the order in which files arrive, the first of the rows reported is the first of all.
+
+Keys that are never forgotten are dealt into BUCKETS by a hash, and a bucket is tried at once: its state is a
+list with one entry for each batch, which holds the rows that were reported then.  So what is asked of the
+state store follows buckets and batches, not keys.  Keys that are forgotten, or whose type has no exact
+text, are tried one at a time.
 
 Keys are forgotten either by time to live (so long after their state was last written, by the clock)
 or by a timer (so long after the last row of the key, by event time), or not at all.
@@ -21,9 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lodestone.functions.text import content_hash
-from lodestone.operators.tables import new_folder
+from lodestone.operators.tables import new_folder, stored
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+BUCKETS = 1024  # of keys; a checkpoint is bound to their number
+NAMED = ("string", "bigint", "int", "smallint", "tinyint", "boolean", "date")  # types of keys that are told by their text
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -72,6 +78,34 @@ class FirstOfKey(StatefulProcessor):
         pass
 
 
+class FirstOfKeys(StatefulProcessor):
+    """Reports (key, place) of a bucket's keys, which are texts, where place is below all seen of the key."""
+
+    def __init__(self, key: str):
+        self.key = key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.reported = handle.getListState("reported", "keys array<string>, places array<long>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new: dict = {}
+        for part in rows:
+            for k, place in zip(part[self.key].tolist(), part["place"].tolist()):
+                if k not in new or place < new[k]:
+                    new[k] = place
+        for keys, places in self.reported.get():
+            for k, place in zip(keys, places):
+                if k in new and new[k] >= place:
+                    del new[k]
+        if new:
+            keys, places = list(new), list(new.values())
+            self.reported.appendValue((keys, places))
+            yield pd.DataFrame({self.key: pd.Series(keys, dtype=object), "place": places})
+
+    def close(self) -> None:
+        pass
+
+
 def reduced(stream: DataFrame, key: str, with_time: bool) -> DataFrame:
     """The first row of each key in each batch of rows of a task; at is the latest time of the key there."""
     fields = [key, "place", *(["at"] if with_time else [])]
@@ -100,6 +134,10 @@ def first_of_key(stream: DataFrame, key: str, place: str, live_ms: int | None =
         rows = reduced(rows.withColumn("at", F.col(event_time).cast("timestamp")), key, True).withWatermark("at", delay)
     else:
         rows = reduced(rows, key, False)
+        if live_ms is None and kind in NAMED:
+            named = rows.select(F.col(key).cast("string").alias(key), "place", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket"))
+            found = named.groupBy("bucket").transformWithStateInPandas(FirstOfKeys(key), f"`{key}` string, place long", "Update", "None")
+            return found.select(F.col(key).cast(kind).alias(key), "place")
     mode = "EventTime" if event_time else "ProcessingTime" if live_ms else "None"
     return rows.groupBy(key).transformWithStateInPandas(FirstOfKey(key, live_ms, idle_ms), f"`{key}` {kind}, place long", "Update", mode)
 
@@ -138,7 +176,7 @@ def first_of_each_content(spark: SparkSession, path: str, deliveries: int = 2, f
     and goes on from its state.
     """
     folder = new_folder(spark, "deliveries")
-    docs = spark.read.parquet(path).select("doc_id", content_hash(F.col("text")).alias("content_hash"))
+    docs = stored(spark.read.parquet(path).select("doc_id", content_hash(F.col("text")).alias("content_hash")), "hashes")
     schema = docs.schema
     for k in range(deliveries):
         own = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(deliveries)) == k)
@@ -150,6 +188,7 @@ def first_of_each_content(spark: SparkSession, path: str, deliveries: int = 2, f
 
 
 def kept_state(spark: SparkSession, state: str) -> DataFrame:
-    """What the query at a checkpoint remembers now, by the state reader."""
-    rows = spark.read.format("statestore").option("stateVarName", "least").load(state)
-    return rows.select(F.col("key.*"), F.col("value.place").alias("place"))
+    """(k, place): what a query of first_of_key that deals keys into buckets remembers now, by the state reader; k is the key's text."""
+    rows = spark.read.format("statestore").option("stateVarName", "reported").load(state)
+    seen = rows.select(F.explode(F.arrays_zip("list_element.keys", "list_element.places")).alias("seen")).select(F.col("seen.keys").alias("k"), F.col("seen.places").alias("place"))
+    return seen.groupBy("k").agg(F.min("place").alias("place"))

@@ -59,6 +59,34 @@ def test_first_documents(spark, deliveries):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_state_follows_buckets_and_batches(spark, tmp_path):
+    """Two batches of 5,000 keys that are never forgotten leave an entry for each bucket and batch, not one for each key."""
+    for low in (10, 5):
+        deliver(spark, tmp_path, [(f"k{k}", low + k % 3, "2024-01-01") for k in range(5000)])
+        run(spark, tmp_path)
+    folder = str(tmp_path / "state")
+    rows = spark.read.format("statestore").option("stateVarName", "reported").load(folder).count()
+    assert rows <= 2 * stateful.BUCKETS
+    assert {r["place"] for r in stateful.kept_state(spark, folder).collect()} == {5, 6, 7} and stateful.kept_state(spark, folder).count() == 5000
+
+
+@pytest.mark.parametrize("kind", ["bigint", "date", "binary"])
+def test_keys_of_other_kinds(spark, tmp_path, kind):
+    """Numbers that no double holds, nulls beside them, and a type that is tried one key at a time; over two starts."""
+    k = F.nullif(F.col("id") % 3, F.lit(0))
+    key = {"bigint": k + F.lit(2**60), "date": F.date_add(F.lit("2024-01-01").cast("date"), k.cast("int")), "binary": k.cast("string").cast("binary")}[kind]
+    for n in (9, 8):
+        table = spark.range(n).select(key.alias("k"), (n - F.col("id")).alias("n"))
+        table.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(table.schema).parquet(f"{tmp_path}/in")
+        stateful.appended(stateful.first_of_key(stream, "k", "n"), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    want = spark.read.parquet(f"{tmp_path}/in").groupBy("k").agg(F.min("n").alias("place"))
+    assert got.schema["k"].dataType.simpleString() == kind
+    least = got.groupBy("k").agg(F.min("place").alias("place"))
+    assert sorted(map(str, least.collect())) == sorted(map(str, want.collect())) and got.count() <= 6
+
+
 def test_provider_is_put_back(spark):
     before = spark.conf.get(stateful.PROVIDER, None)
     with stateful.on_rocksdb(spark):
