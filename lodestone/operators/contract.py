@@ -124,21 +124,44 @@ def core(live: DataFrame) -> DataFrame:
 def components(e: DataFrame) -> tuple[DataFrame, int]:
     """(node, component) of edges (src, dst) taken both ways, named by the least node; and how many rounds that took.
 
-    In each round every tree hooks its root onto a neighbouring tree whose root comes before its own in
-    an order drawn anew for the round, and all nodes then point to their roots; so trees become fewer by a share,
-    whatever the graph is like.  Edges within a tree are left out, and equal ones between two trees are one.
+    In each round every tree hooks itself onto a neighbouring tree by the first of its edges in an order of
+    edges drawn anew for the round, and points to the root of what that makes; so at least half of the trees
+    go, a star in one round, whatever the graph is like.  A round works on the roots that are left and the
+    different edges between them only; what nodes pointed to is put together at the end.
     """
-    e = e.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    tree = stored(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct().select("node", F.col("node").alias("root")), "trees")
-    between, rounds = stored(graph.both_ways(e.filter("src <> dst")).distinct(), "between"), 0
-    while between.limit(1).count():
-        rounds += 1
-        drawn = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(rounds)), F.col(c))  # noqa: B023, E731
-        hooks = between.groupBy(F.col("src").alias("node")).agg(F.min_by("dst", drawn("dst")).alias("to"))
-        hooks = stored(hooks.filter(drawn("to") < drawn("node")), "hooks")
-        roots = stored(jumped(hooks)[0].select("node", "to"), "roots")
-        at = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")), c, "left").withColumn(c, F.coalesce(f"{c}_to", c)).drop(f"{c}_to")  # noqa: B023, E731
-        tree = stored(at(tree, "root"), "trees")
-        between = stored(at(at(between, "src"), "dst").filter("src <> dst").distinct(), "between")
+    e = e.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL")
+    edges = stored(e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "edges")
+    loops = edges.filter("a = b").select(F.col("a").alias("node"))
+    edges, levels = edges.filter("a <> b"), []
+    while not edges.isEmpty():
+        levels.append(hooked(edges, len(levels)))
+        pointer = levels[-1].filter("node <> root")
+        at = lambda df, c: df.join(pointer.select(F.col("node").alias(c), F.col("root").alias(f"{c}_to")), c, "left").withColumn(c, F.coalesce(f"{c}_to", c)).drop(f"{c}_to")  # noqa: B023, E731
+        between = at(at(edges, "a"), "b").filter("a <> b")
+        edges = stored(between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "between")
+    if not levels:
+        return loops.select("node", F.col("node").alias("component")), 0
+    tree = levels[-1]
+    for own in reversed(levels[:-1]):  # where a root of this level went later
+        later = tree.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        tree = stored(own.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root")), "tree")
     names = tree.groupBy("root").agg(F.min("node").alias("component"))
-    return tree.join(names, "root").select("node", "component"), rounds
+    alone = loops.join(tree.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
+    return tree.join(names, "root").select("node", "component").unionByName(alone), len(levels)
+
+
+def hooked(edges: DataFrame, draw: int) -> DataFrame:
+    """(node, root): nodes of different edges (a, b) grouped along the first edge of each, in an order drawn by a number; roots point to themselves.
+
+    Along hooks edges only come earlier, so two nodes that hook onto each other are the only cycles; of
+    these the one with more edges is the root.
+    """
+    drawn = edges.withColumn("first", F.xxhash64("a", "b", F.lit(draw)))
+    ends = drawn.select(F.col("a").alias("node"), F.col("b").alias("to"), "first").unionByName(drawn.select(F.col("b").alias("node"), F.col("a").alias("to"), "first"))
+    order = F.struct("first", F.least("node", "to"), F.greatest("node", "to"))
+    hooks = stored(ends.groupBy("node").agg(F.min_by("to", order).alias("to"), F.count("*").alias("n")), "hooks")
+    theirs = hooks.select(F.col("node").alias("to"), F.col("to").alias("beyond"), F.col("n").alias("m"))
+    ours = (F.col("beyond") == F.col("node")) & ((F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("node") < F.col("to"))))
+    both = stored(hooks.join(theirs, "to").select("node", "to", ours.alias("top")), "pointers")
+    roots = both.filter("top").select("node", F.col("node").alias("root"))
+    return stored(jumped(both.filter("NOT top").select("node", "to"))[0].select("node", F.col("to").alias("root")).unionByName(roots), "roots")

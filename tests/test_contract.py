@@ -79,3 +79,15 @@ def test_paths_name_the_way(spark):
     e = frame(spark, [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (5, 1), (6, 1)])
     got = {r["node"]: (r["distance"], r["path"]) for r in graph.paths(e, spark.createDataFrame([(1,)], "start long"), 9).collect()}
     assert got == {1: (0, [1]), 2: (1, [1, 2]), 3: (1, [1, 3]), 4: (2, [1, 2, 4]), 5: (3, [1, 2, 4, 5])}
+
+
+def test_components_of_stars_in_one_round(spark):
+    """Stars, whose leaves have one edge each; later rounds work on what is left only."""
+    pairs = [(100 * (k % 10), k) for k in range(3000) if k % 100 or k >= 1000]
+    got, rounds = contract.components(frame(spark, pairs))
+    assert {r["node"]: r["component"] for r in got.collect()} == {k: k % 10 for _, k in pairs} | {a: a // 100 for a, _ in pairs} and rounds == 1
+
+
+def test_components_with_loops_and_holes(spark):
+    got, _ = contract.components(frame(spark, [(1, 1), (2, 3), (3, 3), (None, 4), (5, None), (3, 2), (2, 3)]))
+    assert {(r["node"], r["component"]) for r in got.collect()} == {(1, 1), (2, 2), (3, 2)}
