@@ -1,9 +1,12 @@
 """Operators against plain Python on small awkward inputs."""
 
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
 from lodestone.operators import graph, nearest, search
 
 
@@ -76,3 +79,17 @@ def test_reach_and_budget(spark):
                 want.add((i, total))
     got = graph.within_budget(spark.createDataFrame(rows, "id long, g string, size long, score long").repartition(3), "size", 40, "score", "id", "g")
     assert {(r["id"], r["total"]) for r in got.collect()} == want
+
+
+def test_features_of_odd_texts(spark):
+    """Blank lines by all that counts as space, words beside letters that aren't ASCII; no line goes through a pattern."""
+    texts = ["", "\n \n\t\x0b\f\r\n", "a\n\n b \n \n", "éif if ifé ñclass class x", "class é", "subclass x", "def\n\nf function", "function  g", "undef f", "forif while", None]
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, code string")
+    got = table.select("k", *[c.alias(n) for n, c in T.code_features(F.col("code"), F.lit("python")).items()])
+    rows = [(r["has_classes"], r["has_functions"], r["line_count"], r["branch_words"]) for r in got.orderBy("k").collect()]
+    space = " \t\n\x0b\f\r"
+    assert rows[:-1] == [
+        (bool(re.search(r"\bclass[ \t\n\x0b\f\r\u0085  - ]+\w", t)), bool(re.search(r"\b(def|function)\s+\w", t)), sum(line.strip(space) != "" for line in t.split("\n")), len(re.findall(r"\b(?:if|for|while|def|class)\b", t))) for t in texts[:-1]
+    ]
+    assert rows[-1] == (None,) * 4
+    assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()
