@@ -140,9 +140,9 @@ def build(points: DataFrame, path: str, parts: int = PARTS, recall: float = RECA
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(cell.astype(np.int32))], names=["id", "vector", "code", "cell"])
 
     rows = stored(points.mapInArrow(work, f"id {kind.simpleString()}, vector array<double>, code binary, cell int"), "encoded")
-    # a cell's points may lie in several files, so no cell is one task's
-    rows.select("id", "code", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/codes")
-    rows.select("id", "vector", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+    # dealt by cell, so there are about as many files as cells and not as cells times tasks; large cells are split, so none is one task's
+    for name, part in (("codes", ["id", "code", "cell"]), ("vectors", ["id", "vector", "cell"])):
+        rows.select(*part).hint("rebalance", F.col("cell")).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/{name}")
     saved = [("center", k, 0, v.tolist()) for k, v in enumerate(model.centers)] + [("probes", model.probes, 0, [])]
     saved += [("pattern", k, c, v.tolist()) for k, part in enumerate(model.patterns) for c, v in enumerate(part)]
     spark.createDataFrame(saved, MODEL).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")

@@ -39,6 +39,13 @@ def test_index_is_opened_from_its_path(spark, clustered, tmp_path):
     assert len(got & want) >= 0.95 * len(want)
 
 
+def test_files_follow_cells(spark, clustered, tmp_path):
+    """Points of every cell in each of 16 tasks leave about a file for each cell, not one for each cell and task."""
+    index = quantised.build(clustered.repartition(16), str(tmp_path / "index"), parts=4)
+    for part in (index.codes, index.vectors):
+        assert part.count() == 3002 and len(part.inputFiles()) < 3 * len(index.model.centers)
+
+
 def test_no_points_and_no_queries(spark, clustered, tmp_path):
     none = quantised.build(clustered.limit(0), str(tmp_path / "none"))
     queries = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, query array<double>")
