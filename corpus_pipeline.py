@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import decontamination, language_id, mixing, ngram_join, token_shards
 from lodestone.llm.shared import shared_table, temporary
 
-REMEMBERED = 100_000  # words that a worker's encoder keeps: workers go on to other stages with them
+REMEMBERED = 100_000  # parts of words that a worker's encoder keeps: workers go on to other stages with them
 LEAST_SCORE = 0.5  # below it no language is likelier than all others together
 OUTPUT = "spark.lodestone.output.dir"
 

@@ -1,5 +1,6 @@
 """Token shards, licences and pseudonyms."""
 
+import json
 import zlib
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from lodestone.llm import licences, pseudonyms, token_shards
+from lodestone.llm.batches import Texts
 from lodestone.llm.queries import KEY, vocabulary
 
 
@@ -121,3 +123,31 @@ def test_shards_are_read_without_an_encoder(tmp_path):
     writer.close()
     assert token_shards._encoders
     assert [b.column("doc_id").to_pylist() for b in token_shards.entries(path, 0)] == [[7]] and not token_shards._encoders
+
+
+def test_words_of_known_parts_are_not_encoded_again():
+    """New words that differ in case or in the marks behind them have no part that is new."""
+    encoder, known = token_shards.Encoder(vocabulary(), 2), ["river", "stone", "émile", "'s", ",", ".", "***", "7"]
+    encoder.encode(" ".join(known).encode())
+    encoder.encode(" ".join(f"{a}{b}{c}" for w in known[:3] for a in (w, w.title(), w.upper()) for b in ("", "'s", "7") for c in (",", ".", "***")).encode())
+    assert len(encoder.place) == len(known)
+
+
+def test_texts_of_one_piece_are_told_apart(tokenizer, awkward):
+    texts = [*ODD, "don", "'t", "<", "|endoftext|>", "a’b c“", "12", "34", *(r[1] or "" for r in awkward)]
+    raw = [t.encode() for t in texts]
+    bounds = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    for remembered in (5, 500):
+        ids, begin = token_shards.Encoder(vocabulary(), 2, remembered).encode_all(Texts(0, np.frombuffer(b"".join(raw), np.uint8), bounds))
+        assert [ids[i:j].tolist() for i, j in zip(begin, begin[1:])] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+@pytest.mark.parametrize("change", ["normalizer", "pre_tokenizer", "added_tokens"])
+def test_other_vocabularies(tmp_path, change):
+    with open(vocabulary()) as f:
+        form = json.load(f)
+    form[change] = {"normalizer": {"type": "NFC"}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "added_tokens": [form["added_tokens"][0] | {"content": "stone"}]}[change]
+    (tmp_path / "v.json").write_text(json.dumps(form))
+    other, encoder = Tokenizer.from_file(str(tmp_path / "v.json")), token_shards.Encoder(str(tmp_path / "v.json"), 2)
+    for text in [*ODD, "The River's stones", "  7 stones"]:
+        assert encoder.encode(text.encode()).tolist() == [*other.encode(text, add_special_tokens=False).ids, 2]
